@@ -12,7 +12,7 @@ from tollgate.functions.scalars import key_hash
 
 
 def audit_log(promotions: DataFrame, runs: DataFrame, project: str = P.PROJECT) -> DataFrame:
-    """Promotions and runs in one shape, with a date column to partition the table by."""
+    """Promotions and runs in one shape, with their date, and the month to partition the table by."""
     promoted = promotions.select(
         F.lit("model_promotion").alias("event_type"),
         F.concat("model", F.lit("/"), F.col("number").cast("string"), F.lit("/"), F.col("seq").cast("string")).alias("subject"),
@@ -22,19 +22,23 @@ def audit_log(promotions: DataFrame, runs: DataFrame, project: str = P.PROJECT)
         F.lit("pipeline_run").alias("event_type"), F.col("run_id").alias("subject"),
         F.concat("flow", F.lit(" "), "status").alias("detail"), F.col("start_time").alias("ts"))
     both = promoted.unionByName(ran)
-    return both.withColumns({"project": F.lit(project), "date": F.to_date("ts")})
+    return both.select(
+        "*", F.lit(project).alias("project"), F.to_date("ts").alias("date"), F.trunc("ts", "month").alias("month"))
 
 
 def audit_export(log: DataFrame, start: str, end: str, event_types: Sequence[str], project: str) -> DataFrame:
-    """Rows of the given days, types and project. Both days count. The date filter prunes partitions."""
+    """Rows of the given days, types and project. Both days count. The filter on the month prunes partitions."""
+    first, last = F.to_date(F.lit(start)), F.to_date(F.lit(end))
     return log.where(
-        F.col("date").between(F.to_date(F.lit(start)), F.to_date(F.lit(end)))
+        F.col("month").between(F.trunc(first, "month"), F.trunc(last, "month"))
+        & F.col("date").between(first, last)
         & F.col("event_type").isin(*event_types) & (F.col("project") == project))
 
 
 def retained(log: DataFrame, as_of: str, tier: str = "standard") -> DataFrame:
     """Rows no older than the tier keeps them."""
-    return log.where(F.col("date") >= F.date_sub(F.to_date(F.lit(as_of)), P.RETENTION_DAYS[tier]))
+    oldest = F.date_sub(F.to_date(F.lit(as_of)), P.RETENTION_DAYS[tier])
+    return log.where((F.col("month") >= F.trunc(oldest, "month")) & (F.col("date") >= oldest))
 
 
 def keep_last_runs(runs: DataFrame, keep: int = P.KEEP_LAST_RUNS, by: str = "flow") -> DataFrame:

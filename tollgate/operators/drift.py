@@ -51,11 +51,11 @@ def category_drift(df: DataFrame, column: str, is_current: str = "is_current") -
     counted = df.where(F.col(column).isNotNull()).groupBy(column).agg(
         F.sum(F.when(F.col(is_current), 0).otherwise(1)).alias("ref"),
         F.sum(F.when(F.col(is_current), 1).otherwise(0)).alias("cur"))
-    sums = counted.agg(F.sum("ref").alias("ref_total"), F.sum("cur").alias("cur_total")).withColumn("column", F.lit(column))
-    joined = counted.withColumn("column", F.lit(column)).join(sums, "column")
-    share = lambda part, whole: F.col(part) / F.nullif(F.col(whole).cast("double"), F.lit(0.0))
-    psi = _psi(share("ref", "ref_total"), share("cur", "cur_total"))
-    return joined.groupBy("column").agg(F.sum(psi).alias("psi"), F.lit(None).cast("double").alias("ks"))
+    # The two totals are scalar subqueries: one number each, whatever the number of categories.
+    share = lambda part: F.col(part) / F.nullif(counted.agg(F.sum(part).cast("double")).scalar(), F.lit(0.0))
+    psi = _psi(share("ref"), share("cur"))
+    return counted.select(psi.alias("psi")).agg(F.sum("psi").alias("psi")).select(
+        F.lit(column).alias("column"), "psi", F.lit(None).cast("double").alias("ks"))
 
 
 def drift_columns(df: DataFrame, numeric: Sequence[str], categories: Sequence[str] = (),

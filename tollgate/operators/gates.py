@@ -101,3 +101,14 @@ def overall_decision(checks: DataFrame, by: Sequence[str] = (), result: str = "r
     return checks.groupBy(*by).agg(
         F.count(F.lit(1)).alias("checks"), failed.alias("failed_checks")).withColumn(
         "decision", F.when(F.col("failed_checks") == 0, "PASSED").otherwise("FAILED"))
+
+
+def after_run_decision(rows: DataFrame, versions: DataFrame, runs: DataFrame) -> DataFrame:
+    """Per version: passed iff no performance row failed and its training run is completed."""
+    decided = overall_decision(rows, VERSION)
+    status = versions.select(*VERSION, F.col("training_run_id").alias("run_id")).join(
+        runs.select("run_id", F.col("status").alias("run_status")), "run_id", "left")
+    completed = F.coalesce(F.col("run_status") == "completed", F.lit(False))
+    return decided.join(status, list(VERSION)).select(
+        *VERSION, "failed_checks", "run_status",
+        F.when((F.col("failed_checks") == 0) & completed, "PASSED").otherwise("FAILED").alias("decision"))

@@ -101,7 +101,7 @@ def nearest(df: DataFrame, key: str, features: Sequence[str], k: int, leaf_rows:
     """
     keep = k + 1
     # Of equal vectors only the first k + 1 keys can be anyone's neighbour. Spark applies this limit before the shuffle.
-    same = Window.partitionBy(*features).orderBy(key)
+    same = Window.partitionBy(*features).orderBy("key")
     members = df.select(F.col(key).alias("key"), *features).withColumn("rank", F.row_number().over(same)).where(
         F.col("rank") <= keep)
     members = materialize(

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tollgate import params as P
 from tollgate.functions.scalars import reasons, risk_tier, round_probability, short_id
@@ -34,6 +37,26 @@ def score_by_stage(model: GaussianModel, df: DataFrame, keep: Sequence[str], sta
         "model_stage": F.lit(stage), "model_version": F.lit(str(version))})
 
 
+def score_in_pandas(df: DataFrame, keep: Sequence[str], feature_columns: Sequence[str],
+                    load_model: Callable[[], object]) -> DataFrame:
+    """Score with a Python model that has ``predict_proba``, for models trained elsewhere.
+
+    ``load_model`` runs once per task and reads the model from shared storage. Rows travel in Arrow batches, and only
+    the kept and the feature columns.
+    """
+    kept = df.select(*keep).schema
+    out = T.StructType([*kept.fields, T.StructField("prediction", T.IntegerType()), T.StructField("probability", T.DoubleType())])
+    columns, names = list(feature_columns), list(keep)
+
+    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = load_model()
+        for batch in batches:
+            p = np.asarray(model.predict_proba(batch[columns].to_numpy(dtype=float)))[:, 1]
+            yield batch[names].assign(prediction=(p > 0.5).astype("int32"), probability=p)
+
+    return df.select(*dict.fromkeys([*names, *columns])).mapInPandas(apply, out)
+
+
 def respond(model: GaussianModel, requests: DataFrame, version: object, key: str = "event_id") -> DataFrame:
     """The answer to each request: id, prediction, rounded probability, tier, version and reasons."""
     fields = list(P.REQUEST_DEFAULTS)

@@ -48,7 +48,7 @@ def train_eval_gate(df: DataFrame, key: str, features: Sequence[str], params: P.
     table = fit_split(df, key, label, params.test_size, params.seed).assign(df)
     model = train_gaussian(table.where("split = 'train'"), features, label)
     scored = score(model, table.where("split = 'test'"), [key, label])
-    return gate_row(evaluate(scored, label), params.step_gate())
+    return gate_row(evaluate(scored, label=label), params.step_gate())
 
 
 def training_flow(df: DataFrame, key: str, features: Sequence[str], params: P.TrainingParams, label: str = "label") -> TrainedRun:
@@ -75,7 +75,7 @@ def training_flow(df: DataFrame, key: str, features: Sequence[str], params: P.Tr
         used = [f"PC{i + 1}" for i in range(len(components.sign))]
     model = fit_forest(train_x, key, used, label, params.n_estimators, params.max_depth, params.seed)
     scored = materialize(forest_scores(model, test_x, [key, label]), "scored_test")
-    metrics = evaluate(scored, label)
+    metrics = evaluate(scored, label=label)
     report = None
     if params.enable_governance:
         require_gate(metrics, params.step_gate())

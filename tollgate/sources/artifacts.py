@@ -46,6 +46,10 @@ MANIFEST = T.StructType([
 
 
 def write_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> str:
+    """Write Parquet. With partition columns the rows are rebalanced by them first: few files for a small partition,
+    and a large one is split over several tasks."""
+    if partition_by:
+        df = df.hint("rebalance", *[F.col(c) for c in partition_by])
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
     return path
 

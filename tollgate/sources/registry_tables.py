@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tollgate import params as P
 from tollgate.functions.scalars import key_hash, run_url
-from tollgate.operators.evaluate import binary_metrics, roc_auc
+from tollgate.operators.evaluate import evaluate
 from tollgate.sources.requests import read_events
 from tollgate.sources.tables import LARGE_ORDER, ORDER_KEY, order_features, table
 
@@ -65,14 +65,12 @@ def _version_key() -> Column:
 
 def model_versions(spark: SparkSession, folder: str) -> DataFrame:
     """One row per model and version number, with stage, environment, tags, commit, dates and training run."""
-    orders = table(spark, folder, "orders").select("o_custkey", "o_orderdate", ORDER_KEY)
     segments = (
         scored_orders(spark, folder)
         .groupBy("model", "quarter")
         .agg(F.count(F.lit(1)).alias("n_orders"), F.min("o_orderdate").alias("created"),
              F.max("o_orderdate").alias("updated"))
     )
-    del orders
     numbered = _version_numbers(segments)
     newest = numbered.groupBy("model").agg(F.max("number").alias("newest"))
     h = lambda salt: key_hash(_version_key(), salt)
@@ -114,9 +112,7 @@ def version_metrics(spark: SparkSession, folder: str) -> DataFrame:
     """Long metric table. About one version in seven has no recall; an undefined area under the curve has no row."""
     scored = scored_orders(spark, folder)
     by = ("model", "quarter")
-    counted = binary_metrics(scored, by=by)
-    curve = roc_auc(scored, by=by)
-    numbered = _version_numbers(counted.join(curve, list(by), "left"))
+    numbered = _version_numbers(evaluate(scored, by=by))
     lost = key_hash(_version_key(), "recall") < "24"
     wide = numbered.withColumn("recall", F.when(~lost, F.col("recall")))
     return (

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tollgate.functions.scalars import key_hash
@@ -14,6 +16,16 @@ LARGE_ORDER = 250_000
 RARE_LARGE_ORDER = 300_000
 
 
+def read_labelled(spark: SparkSession, path: str, key: str, features: Sequence[str], label: str = "label",
+                  file_format: str = "parquet", schema: str | None = None, **options: str) -> DataFrame:
+    """A feature table with its key and binary label from Parquet, CSV, JSON or any other source format."""
+    reader = spark.read.format(file_format).options(**options)
+    if schema:
+        reader = reader.schema(schema)
+    return reader.load(path).select(
+        key, *[F.col(f).cast("double").alias(f) for f in features], F.col(label).cast("int").alias("label"))
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -66,24 +78,24 @@ def noise_orders(spark: SparkSession, folder: str) -> DataFrame:
 
 def toxic_docs(spark: SparkSession, folder: str) -> DataFrame:
     """Character shares of the whole text of each labelled document; few rows have label 1."""
-    text, size = F.col("text"), F.length("text").cast("double")
+    size = F.length("text").cast("double")
 
-    def share(pattern: str) -> Column:
-        kept = F.length(F.regexp_replace(text, pattern, ""))
+    def share(characters: str) -> Column:
+        kept = F.length(F.translate("text", characters, ""))
         return F.coalesce((size - kept) / F.nullif(size, F.lit(0.0)), F.lit(0.0))
 
-    labels = table(spark, folder, "labels").select("doc_id", F.col("toxic").alias("label"))
-    documents = table(spark, folder, "documents").select("doc_id", "n_chars", "text")
-    return documents.join(labels, "doc_id").select(
+    # The shares come before the join: texts never go through a shuffle.
+    shares = table(spark, folder, "documents").select(
         "doc_id",
         F.col("n_chars").cast("double").alias("n_chars"),
-        share("[0-9]").alias("digit_frac"),
-        share("[ ]").alias("space_frac"),
-        share("[\n]").alias("nl_frac"),
-        share("[A-Z]").alias("upper_frac"),
-        share("[.,;:!?]").alias("punct_frac"),
-        F.col("label").cast("int").alias("label"),
+        share("0123456789").alias("digit_frac"),
+        share(" ").alias("space_frac"),
+        share("\n").alias("nl_frac"),
+        share("ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("upper_frac"),
+        share(".,;:!?").alias("punct_frac"),
     )
+    labels = table(spark, folder, "labels").select("doc_id", F.col("toxic").cast("int").alias("label"))
+    return shares.join(labels, "doc_id")
 
 
 def wide_vectors(spark: SparkSession, folder: str) -> DataFrame:

@@ -109,7 +109,7 @@ def manifest_round_trip(spark, folder):
 def training_report_rows(spark, folder):
     params = P.TrainingParams()
     table = training.split_table(src.large_order(spark, folder), KEY)
-    model = training.train_gaussian(table.where("split = 'train'"), FEATURES)
+    model = models.fit_gaussian(table.where("split = 'train'"), FEATURES)
     metrics = evaluate.evaluate(scoring.score(model, table.where("split = 'test'"), [KEY, "label"]))
     rows = training.split_report(table, FEATURES).unionByName(training.performance_report(metrics, params))
     return tidy(store.materialize(rows, "report"))
@@ -367,13 +367,12 @@ def pca_variance(spark, folder):
 
 def _closed_form(spark, folder):
     table = _split_table(spark, folder)
-    return table, training.train_gaussian(table.where("split = 'train'"), FEATURES)
+    return table, models.fit_gaussian(table.where("split = 'train'"), FEATURES)
 
 
 @query("flagship_train_eval_gate")
 def flagship(spark, folder):
-    table = store.materialize(src.large_order(spark, folder), "labelled")
-    return tidy(training.train_eval_gate(table, KEY, FEATURES, P.TrainingParams()))
+    return tidy(training.train_eval_gate(src.large_order(spark, folder), KEY, FEATURES, P.TrainingParams()))
 
 
 @query("forest_train_score")
@@ -388,8 +387,7 @@ def forest_train_score(spark, folder):
 @query("training_flow_forest")
 def training_flow_forest(spark, folder):
     """The whole flow with a forest and staging parameters: its report rows."""
-    table = store.materialize(src.large_order(spark, folder), "labelled")
-    return tidy(training.training_flow(table, KEY, FEATURES, P.ENVIRONMENTS["staging"]).report)
+    return tidy(training.training_flow(src.large_order(spark, folder), KEY, FEATURES, P.ENVIRONMENTS["staging"]).report)
 
 
 @query("env_params")
@@ -417,7 +415,7 @@ def _pair(spark, folder):
     """Champion and challenger: the same model fitted on two hash halves, both scoring every order."""
     table = store.materialize(src.large_order(spark, folder), "labelled")
     first = key_hash(KEY, "half") < "8"
-    fitted = [training.train_gaussian(table.where(part), FEATURES) for part in (first, ~first)]
+    fitted = [models.fit_gaussian(table.where(part), FEATURES) for part in (first, ~first)]
     return comparison.scored_pair(table, [KEY, "n_lines"], *fitted)
 
 
@@ -451,7 +449,7 @@ def _request_model(spark, folder):
     parsed = req.parse_requests(_requests(spark, folder))
     labelled = parsed.withColumn("label", (F.col("mean_radius") + F.col("worst_radius") + F.col("worst_texture")
                                            < 14.0 + 16.0 + 25.0).cast("int"))
-    return training.train_gaussian(store.materialize(labelled, "requests"), list(P.REQUEST_DEFAULTS))
+    return models.fit_gaussian(store.materialize(labelled, "requests"), list(P.REQUEST_DEFAULTS))
 
 
 def _flat_answers(answers: DataFrame) -> DataFrame:

@@ -213,14 +213,15 @@ part("outputs", ("steps",), f"""
   FROM (SELECT *, unnest(CASE WHEN step = 'load_data' THEN ['X_train', 'y_train']
      WHEN step = 'evaluate_model' AND {h('step_run_id', 'out')} < 'c0' THEN ['eval_Metrics']
      WHEN step = 'evaluate_model' THEN ['log'] ELSE ['data'] END) AS output FROM steps WHERE status = 'completed')""")
-part("requests", (), "SELECT event_id, " + ", ".join(
-    f"CASE WHEN CAST('0x' || substr({h('event_id', n)}, 1, 2) AS INTEGER) >= 51 "
-    f"THEN {d}e0 * (0.5e0 + CAST('0x' || substr({h('event_id', n)}, 1, 2) AS INTEGER) / 256e0) ELSE {d}e0 END AS {n}"
-    for n, d in REQUEST_DEFAULTS) + f", CASE WHEN {h('event_id', 'unknown')} < '20' THEN 'age' ELSE '' END AS unknown_fields FROM events")
+part("request_bytes", (), f"SELECT event_id, {h('event_id', 'a')} || {h('event_id', 'b')} AS digits FROM events")
+_byte = lambda i: f"CAST('0x' || substr(digits, {2 * i + 1}, 2) AS INTEGER)"
+part("requests", ("request_bytes",), "SELECT event_id, " + ", ".join(
+    f"CASE WHEN {_byte(i)} >= 51 THEN {d}e0 * (0.5e0 + {_byte(i)} / 256e0) ELSE {d}e0 END AS {n}"
+    for i, (n, d) in enumerate(REQUEST_DEFAULTS)) + f", CASE WHEN {_byte(30)} < 32 THEN 'age' ELSE '' END AS unknown_fields FROM request_bytes")
 part("dirty", (), """
-  SELECT l.* EXCLUDE (c, copy) REPLACE (CASE WHEN md5(c || '|n') < '1a' THEN NULL ELSE l_discount END AS l_discount,
-                      CASE WHEN md5(c || '|m') < '0d' THEN CAST('NaN' AS DOUBLE) ELSE l_tax END AS l_tax)
-  FROM (SELECT *, unnest(CASE WHEN md5(c || '|d') < '05' THEN [0, 1] ELSE [0] END) AS copy FROM (
+  SELECT l.* EXCLUDE (c, copy) REPLACE (CASE WHEN substr(md5(c), 1, 2) < '1a' THEN NULL ELSE l_discount END AS l_discount,
+                      CASE WHEN substr(md5(c), 3, 2) < '0d' THEN CAST('NaN' AS DOUBLE) ELSE l_tax END AS l_tax)
+  FROM (SELECT *, unnest(CASE WHEN substr(md5(c), 5, 2) < '05' THEN [0, 1] ELSE [0] END) AS copy FROM (
     SELECT *, concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(round(l_quantity) AS BIGINT),
                         CAST(round(l_extendedprice * 100) AS BIGINT)) AS c FROM lineitem)) l""")
 DIRTY = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",

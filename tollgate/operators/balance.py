@@ -49,7 +49,7 @@ def smote(df: DataFrame, key: str, features: Sequence[str], label: str = "label"
 def _synthesize(members: DataFrame, key: str, features: Sequence[str], k: int, seed: int, wanted: int, rows: int,
                 leaf_rows: int) -> DataFrame:
     each, rest = divmod(wanted, rows)
-    extra = fit_rank_cut(members, key, rest, rows, f"{seed}|copies")
+    extra = fit_rank_cut(members, key, rest, f"{seed}|copies")
     copies = F.lit(each) + F.when(extra, 1).otherwise(0)
     bases = members.select(F.col(key), *features).withColumn("__copies", copies).where(F.col("__copies") > 0)
     near = nearest(members, key, features, k, leaf_rows)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from math import log
+from math import log, sqrt
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
@@ -65,24 +65,38 @@ class GaussianModel:
             tuple((r["var0"], r["var1"]) for r in rows), scaler)
 
 
-def fit_gaussian(df: DataFrame, features: Sequence[str], label: str = "label", scaler: Scaler | None = None) -> GaussianModel:
-    """One aggregate over the (raw) features; with a scaler the moments are taken of the scaled values."""
-    value = {f: scaler.expression(f) if scaler else F.col(f) for f in features}
+def fit_gaussian(df: DataFrame, features: Sequence[str], label: str = "label", scaled: bool = True) -> GaussianModel:
+    """Scaler and model from one aggregate: rows, mean and variance per class and feature.
+
+    The scaler's moments follow from those of the classes, and the classes' scaled moments from both, so the table is
+    read once. Two rows of numbers reach the driver.
+    """
     moments = [
-        a for f in features for a in (F.avg(value[f]).alias(f"{f}__mean"), F.var_pop(value[f]).alias(f"{f}__var"))
+        a for f in features for a in (
+            F.count(f).alias(f"{f}__n"), F.avg(f).alias(f"{f}__mean"), F.var_pop(f).alias(f"{f}__var"))
     ]
     rows = df.where(F.col(label).isin(0, 1)).groupBy(label).agg(F.count(F.lit(1)).alias("n"), *moments).collect()
     found = {r[label]: r for r in rows}
     if set(found) != {0, 1}:
         raise ValueError("both classes are needed to fit")
     pair = lambda f, part: tuple(found[c][f"{f}__{part}"] for c in (0, 1))
-    return GaussianModel(
-        tuple(features),
-        (found[0]["n"], found[1]["n"]),
-        tuple(pair(f, "mean") for f in features),
-        tuple(tuple(max(v, SMALLEST_VARIANCE) for v in pair(f, "var")) for f in features),
-        scaler,
-    )
+    mean, variance = [pair(f, "mean") for f in features], [pair(f, "var") for f in features]
+    scaler = None
+    if scaled:
+        pooled = [_pool(pair(f, "n"), m, v) for f, m, v in zip(features, mean, variance)]
+        scaler = Scaler(tuple(features), tuple(m for m, _ in pooled), tuple(s for _, s in pooled))
+        mean = [tuple((m - c) / (s or 1.0) for m in pair_) for pair_, (c, s) in zip(mean, pooled)]
+        variance = [tuple(v / (s or 1.0) ** 2 for v in pair_) for pair_, (_, s) in zip(variance, pooled)]
+    floor = [tuple(max(v, SMALLEST_VARIANCE) for v in pair_) for pair_ in variance]
+    return GaussianModel(tuple(features), (found[0]["n"], found[1]["n"]), tuple(mean), tuple(floor), scaler)
+
+
+def _pool(n: tuple, mean: tuple, variance: tuple) -> tuple[float, float]:
+    """Mean and population deviation of two groups together."""
+    total = sum(n)
+    centre = sum(a * b for a, b in zip(n, mean)) / total
+    spread = sum(a * (v + (m - centre) ** 2) for a, m, v in zip(n, mean, variance)) / total
+    return centre, sqrt(spread)
 
 
 def fit_forest(df: DataFrame, key: str, features: Sequence[str], label: str = "label", n_estimators: int = 100,

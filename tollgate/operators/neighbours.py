@@ -10,11 +10,13 @@ is close to all pairs by nature.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +24,9 @@ from pyspark.sql import types as T
 from tollgate.functions.scalars import key_hash
 from tollgate.sources.artifacts import materialize
 
+# The helpers below travel with the tasks, so the executors need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 LEAF_ROWS = 2_000
 MAX_LEAVES = 16_384
 SAMPLE_PER_LEAF = 8

@@ -13,6 +13,7 @@ from tollgate.functions.scalars import key_hash
 
 PREFIX_STEP = 3  # hex digits looked at per pass: 4096 counts per class
 FINISH_ROWS = 20_000  # small enough to number in one task
+MAX_CLASSES = 100
 
 
 class SplitError(ValueError):
@@ -55,8 +56,7 @@ def class_test_sizes(counts: dict, test_size: float) -> dict:
     return {c: counts[c] - train[c] for c in counts}
 
 
-def fit_split(df: DataFrame, key: str, label: str = "label", test_size: float = 0.2, seed: int = P.SEED,
-              max_classes: int = 1000) -> SplitCut:
+def fit_split(df: DataFrame, key: str, label: str = "label", test_size: float = 0.2, seed: int = P.SEED) -> SplitCut:
     """Find each class's cut in hash order.
 
     The rank of a row among millions of its class is found by counting rows per hash prefix, three digits deeper per
@@ -65,38 +65,47 @@ def fit_split(df: DataFrame, key: str, label: str = "label", test_size: float =
     """
     hashed = df.where(F.col(label).isNotNull()).select(
         F.col(label).alias("label"), F.col(key).alias("key"), key_hash(key, seed).alias("h"))
-    counts = {r["label"]: r["n"] for r in
-              hashed.groupBy("label").agg(F.count(F.lit(1)).alias("n")).limit(max_classes + 1).collect()}
-    if len(counts) > max_classes:
-        raise SplitError(f"more than {max_classes} classes")
+    first = _prefix_counts(hashed, PREFIX_STEP)
+    counts = {c: sum(n for _, n in found) for c, found in first.items()}
     small = [c for c, n in counts.items() if n < 2]
     if small:
         raise SplitError(f"classes with fewer than 2 rows: {sorted(small)}")
-
     sizes = class_test_sizes(counts, test_size)
-    return SplitCut(key, label, seed, _find_cuts(hashed, counts, sizes, key))
+    return SplitCut(key, label, seed, _find_cuts(hashed, first, sizes, key))
+
+
+def _prefix_counts(hashed: DataFrame, depth: int) -> dict:
+    """Per class the rows per hash prefix, in order: at most 4096 numbers per class and pass reach the driver."""
+    counted = hashed.groupBy("label", F.substring("h", 1, depth).alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
+    limit = MAX_CLASSES * 16**PREFIX_STEP
+    rows = counted.limit(limit + 1).collect()
+    found: dict = {}
+    for row in sorted(rows, key=lambda r: r["prefix"]):
+        found.setdefault(row["label"], []).append((row["prefix"], row["n"]))
+    if len(rows) > limit or len(found) > MAX_CLASSES:
+        raise SplitError(f"more than {MAX_CLASSES} classes")
+    return found
 
 
-def _find_cuts(hashed: DataFrame, counts: dict, sizes: dict, key: str) -> dict:
+def _find_cuts(hashed: DataFrame, first: dict, sizes: dict, key: str) -> dict:
     """Per class the (hash, key) of its row number ``sizes[class]`` in hash order; None for size 0."""
-    cuts: dict = {c: None for c in counts}
+    cuts: dict = {c: None for c in first}
     # Per class: the prefix that holds the cut, the cut's rank within it, and the rows in it.
-    open_cuts = {c: ("", size, counts[c]) for c, size in sizes.items() if size > 0}
-    while any(rows > FINISH_ROWS for _, _, rows in open_cuts.values()):
-        depth = len(next(iter(open_cuts.values()))[0]) + PREFIX_STEP
-        if depth > 30:
-            raise SplitError(f"'{key}' is not unique: one value holds more than {FINISH_ROWS} rows")
-        deeper = hashed.where(_in_prefixes(open_cuts)).groupBy("label", F.substring("h", 1, depth).alias("prefix")).agg(
-            F.count(F.lit(1)).alias("n"))
-        found: dict = {}
-        for row in sorted(deeper.collect(), key=lambda r: r["prefix"]):
-            found.setdefault(row["label"], []).append((row["prefix"], row["n"]))
+    open_cuts = {c: ("", size, 0) for c, size in sizes.items() if size > 0}
+    found = first
+    while open_cuts:
         for c, (_, rank, _) in open_cuts.items():
             for prefix, n in found[c]:
                 if rank <= n:
                     open_cuts[c] = (prefix, rank, n)
                     break
                 rank -= n
+        if all(rows <= FINISH_ROWS for _, _, rows in open_cuts.values()):
+            break
+        depth = len(next(iter(open_cuts.values()))[0]) + PREFIX_STEP
+        if depth > 30:
+            raise SplitError(f"'{key}' is not unique: one value holds more than {FINISH_ROWS} rows")
+        found = _prefix_counts(hashed.where(_in_prefixes(open_cuts)), depth)
     if open_cuts:
         order = Window.partitionBy("label").orderBy("h", "key")
         rank_of = F.lit(None).cast("int")
@@ -109,16 +118,6 @@ def _find_cuts(hashed: DataFrame, counts: dict, sizes: dict, key: str) -> dict:
     return cuts
 
 
-def fit_rank_cut(df: DataFrame, key: str, size: int, rows: int, seed: object) -> Column:
-    """A condition that holds for exactly ``size`` of the table's ``rows`` rows: the first in hash order."""
-    if size <= 0:
-        return F.lit(False)
-    hashed = df.select(F.lit(0).alias("label"), F.col(key).alias("key"), key_hash(key, seed).alias("h"))
-    last, last_key = _find_cuts(hashed, {0: rows}, {0: size}, key)[0]
-    h = key_hash(key, seed)
-    return (h < last) | ((h == last) & (F.col(key) <= F.lit(last_key)))
-
-
 def _in_prefixes(open_cuts: dict) -> Column:
     inside = F.lit(False)
     for c, (prefix, _, _) in open_cuts.items():
@@ -126,6 +125,16 @@ def _in_prefixes(open_cuts: dict) -> Column:
     return inside
 
 
+def fit_rank_cut(df: DataFrame, key: str, size: int, seed: object) -> Column:
+    """A condition that holds for exactly ``size`` rows of the table: the first in hash order."""
+    if size <= 0:
+        return F.lit(False)
+    hashed = df.select(F.lit(0).alias("label"), F.col(key).alias("key"), key_hash(key, seed).alias("h"))
+    last, last_key = _find_cuts(hashed, _prefix_counts(hashed, PREFIX_STEP), {0: size}, key)[0]
+    h = key_hash(key, seed)
+    return (h < last) | ((h == last) & (F.col(key) <= F.lit(last_key)))
+
+
 def stratified_split(df: DataFrame, key: str, label: str = "label", test_size: float = 0.2, seed: int = P.SEED) -> DataFrame:
     return fit_split(df, key, label, test_size, seed).assign(df)
 

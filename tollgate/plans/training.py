@@ -13,7 +13,7 @@ from tollgate.operators.balance import balance
 from tollgate.operators.evaluate import evaluate, metric_rows, performance_rows
 from tollgate.operators.features import Components, Scaler, fit_components, fit_scaler, use_components
 from tollgate.operators.gates import gate_row, require_gate
-from tollgate.operators.models import GaussianModel, fit_forest, fit_gaussian, forest_scores
+from tollgate.operators.models import fit_forest, fit_gaussian, forest_scores
 from tollgate.operators.quality import quality_measures, report_rows, require_quality, split_min_rows
 from tollgate.operators.scoring import score
 from tollgate.operators.split import fit_split
@@ -34,19 +34,18 @@ class TrainedRun:
 
 
 def split_table(df: DataFrame, key: str, label: str = "label", test_size: float = 0.2, seed: int = P.SEED) -> DataFrame:
-    """Write the split table once; every later step reads it with only the columns it needs."""
-    return materialize(fit_split(df, key, label, test_size, seed).assign(df), "split")
+    """Write the feature table once and split it; every later step reads it with only the columns it needs.
 
-
-def train_gaussian(train: DataFrame, features: Sequence[str], label: str = "label") -> GaussianModel:
-    """Scaler and model, both from the train part only."""
-    return fit_gaussian(train, features, label, fit_scaler(train, features))
+    The split itself is a comparison per row, so it is not stored.
+    """
+    table = materialize(df, "features")
+    return fit_split(table, key, label, test_size, seed).assign(table)
 
 
 def train_eval_gate(df: DataFrame, key: str, features: Sequence[str], params: P.TrainingParams, label: str = "label") -> DataFrame:
     """Split, fit the closed-form model, score the test part: one row with the metrics and the gate's verdict."""
-    table = fit_split(df, key, label, params.test_size, params.seed).assign(df)
-    model = train_gaussian(table.where("split = 'train'"), features, label)
+    table = split_table(df, key, label, params.test_size, params.seed)
+    model = fit_gaussian(table.where("split = 'train'"), features, label)
     scored = score(model, table.where("split = 'test'"), [key, label])
     return gate_row(evaluate(scored, label=label), params.step_gate())
 

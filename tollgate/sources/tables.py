@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tollgate.functions.scalars import key_hash
-
 ORDER_KEY = "o_orderkey"
 ORDER_FEATURES = ("o_totalprice", "n_lines", "avg_discount", "avg_quantity", "avg_tax")
 DOCUMENT_FEATURES = ("n_chars", "digit_frac", "space_frac", "nl_frac", "upper_frac", "punct_frac")
@@ -109,11 +107,12 @@ def dirty_lineitem(spark: SparkSession, folder: str) -> DataFrame:
     content = F.concat_ws("|", *[F.col(c).cast("string") for c in
                                  ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")],
                           F.rint(F.col("l_quantity")).cast("bigint").cast("string"), _cents("l_extendedprice").cast("string"))
-    spoiled = lines.select(
+    byte = lambda i: F.substring("__hash", 2 * i + 1, 2)
+    spoiled = lines.withColumn("__hash", F.md5(content)).select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
-        F.when(key_hash(content, "n") < "1a", None).otherwise(F.col("l_discount")).alias("l_discount"),
-        F.when(key_hash(content, "m") < "0d", F.lit(float("nan"))).otherwise(F.col("l_tax")).alias("l_tax"),
+        F.when(byte(0) < "1a", None).otherwise(F.col("l_discount")).alias("l_discount"),
+        F.when(byte(1) < "0d", F.lit(float("nan"))).otherwise(F.col("l_tax")).alias("l_tax"),
         "l_returnflag", "l_linestatus", "l_shipdate",
-        F.when(key_hash(content, "d") < "05", F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))).alias("copies"),
+        F.when(byte(2) < "05", F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))).alias("copies"),
     )
     return spoiled.withColumn("copy", F.explode("copies")).drop("copies", "copy")

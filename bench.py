@@ -18,7 +18,7 @@ from checks.catalog import QUERIES
 from tollgate.session import build_session
 
 HEADLINE = [
-    "flagship_train_eval_gate", "stratified_split", "batch_score", "roc_auc_exact", "comparison_metrics",
+    "flagship_train_eval_gate", "stratified_split", "batch_score", "roc_auc_exact", "comparison_metrics", "comparison_one_pass",
     "roc_auc_by_segment", "dq_gate", "column_profile", "smote_exact", "forest_train_score", "request_defaults",
     "stream_score", "promotion_gate", "rollback_plan", "export_manifest", "lineage_trace", "run_alert_rows", "drift_score",
 ]
@@ -27,7 +27,7 @@ HEADLINE = [
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    repeat = int(os.environ.get("BENCH_REPEAT", "2"))
+    repeat = int(os.environ.get("BENCH_REPEAT", "1"))
     spark = build_session(f"local[{cpus}]", "bench", **{
         "spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false", "spark.driver.memory": "16g",
         "spark.ui.showConsoleProgress": "false"})

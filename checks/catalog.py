@@ -375,6 +375,19 @@ def flagship(spark, folder):
     return tidy(training.train_eval_gate(src.large_order(spark, folder), KEY, FEATURES, P.TrainingParams()))
 
 
+@query("noise_gate")
+def noise_gate(spark, folder):
+    """The flagship flow on a label that the features say nothing about."""
+    return tidy(training.train_eval_gate(src.noise_orders(spark, folder), KEY, FEATURES, P.TrainingParams()))
+
+
+@query("toxic_gate")
+def toxic_gate(spark, folder):
+    """The flagship flow on a rare label of documents."""
+    return tidy(training.train_eval_gate(
+        src.toxic_docs(spark, folder), "doc_id", list(src.DOCUMENT_FEATURES), P.TrainingParams()))
+
+
 @query("forest_train_score")
 def forest_train_score(spark, folder):
     table = _split_table(spark, folder)
@@ -411,11 +424,16 @@ def score_with_id(spark, folder):
     return tidy(scoring.score_with_id(model, table, KEY))
 
 
-def _pair(spark, folder):
-    """Champion and challenger: the same model fitted on two hash halves, both scoring every order."""
+def _two_models(spark, folder):
+    """Champion and challenger: the same model fitted on two hash halves of the orders."""
     table = store.materialize(src.large_order(spark, folder), "labelled")
     first = key_hash(KEY, "half") < "8"
-    fitted = [models.fit_gaussian(table.where(part), FEATURES) for part in (first, ~first)]
+    return table, [models.fit_gaussian(table.where(part), FEATURES) for part in (first, ~first)]
+
+
+def _pair(spark, folder):
+    """Both scoring every order, as two tables."""
+    table, fitted = _two_models(spark, folder)
     return comparison.scored_pair(table, [KEY, "n_lines"], *fitted)
 
 
@@ -554,6 +572,13 @@ def comparison_metrics(spark, folder):
     return tidy(compare.comparison(_aligned(spark, folder), 1, 2))
 
 
+@query("comparison_one_pass")
+def comparison_one_pass(spark, folder):
+    """The comparison flow: both models in one projection of the table."""
+    table, fitted = _two_models(spark, folder)
+    return tidy(comparison.compare_models(table, KEY, *fitted))
+
+
 @query("comparison_by_segment")
 def comparison_by_segment(spark, folder):
     summary = compare.comparison(_aligned(spark, folder), by=["n_lines"])

@@ -81,21 +81,31 @@ part("lines", (), f"""
          CAST(sum({cents('l_tax')}) AS DOUBLE) / 100e0 / count(*) AS avg_tax,
          CAST(sum({cents('l_extendedprice')}) AS BIGINT) AS price_cents
   FROM lineitem GROUP BY l_orderkey""")
-for _name, _limit in (("large", 250000), ("rare", 300000)):
-    part(_name, ("lines",), f"""
-  SELECT o_orderkey, {', '.join(FEATURES)}, CASE WHEN price_cents > {_limit} * 100 THEN 1 ELSE 0 END AS label
-  FROM orders JOIN lines ON o_orderkey = l_orderkey""")
-    # Exact stratified split: rank in hash order within the class, against the class's share of the test rows.
-    part(f"{_name}_sizes", (_name,), f"""
+
+
+def split_parts(name: str, key: str) -> None:
+    """Exact stratified split: rank in hash order within the class, against the class's share of the test rows."""
+    part(f"{name}_sizes", (name,), f"""
   SELECT label, n, base + CASE WHEN place <= n_train - sum(base) OVER () THEN 1 ELSE 0 END AS train_rows FROM (
     SELECT *, row_number() OVER (ORDER BY base - n * n_train / total, label) AS place FROM (
       SELECT *, floor(n * n_train / total) AS base FROM (
         SELECT *, total - ceil(0.2e0 * total) AS n_train FROM (
-          SELECT label, CAST(count(*) AS DOUBLE) AS n, CAST(sum(count(*)) OVER () AS DOUBLE) AS total FROM {_name} GROUP BY label))))""")
-    part(f"{_name}_split", (_name, f"{_name}_sizes"), f"""
-  SELECT t.*, CASE WHEN row_number() OVER (PARTITION BY t.label ORDER BY {h('o_orderkey', '42')}, o_orderkey) <= s.n - s.train_rows
+          SELECT label, CAST(count(*) AS DOUBLE) AS n, CAST(sum(count(*)) OVER () AS DOUBLE) AS total FROM {name} GROUP BY label))))""")
+    part(f"{name}_split", (name, f"{name}_sizes"), f"""
+  SELECT t.*, CASE WHEN row_number() OVER (PARTITION BY t.label ORDER BY {h(key, '42')}, {key}) <= s.n - s.train_rows
               THEN 'test' ELSE 'train' END AS split
-  FROM {_name} t JOIN {_name}_sizes s ON t.label = s.label""")
+  FROM {name} t JOIN {name}_sizes s ON t.label = s.label""")
+
+
+for _name, _limit in (("large", 250000), ("rare", 300000)):
+    part(_name, ("lines",), f"""
+  SELECT o_orderkey, {', '.join(FEATURES)}, CASE WHEN price_cents > {_limit} * 100 THEN 1 ELSE 0 END AS label
+  FROM orders JOIN lines ON o_orderkey = l_orderkey""")
+    split_parts(_name, KEY)
+part("noise", ("lines",), f"""
+  SELECT o_orderkey, {', '.join(FEATURES)}, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS label
+  FROM orders JOIN lines ON o_orderkey = l_orderkey WHERE o_orderstatus IN ('F', 'O')""")
+split_parts("noise", KEY)
 
 
 def gaussian(name: str, train: str, features: list[str], key: str, score: str, extra: str = "", label: str = "label") -> None:
@@ -390,11 +400,25 @@ ORACLES["pca_gate"] = "SELECT count(*) AS n_rows, CAST(max(len(embedding)) AS IN
 
 # --- Training, scoring ------------------------------------------------------------------------------------------------
 
-ORACLES["flagship_train_eval_gate"] = sql("test_metrics", f"""
+def flagship(name: str, features: list[str], key: str) -> str:
+    """Split, fit, score the test part, five metrics and the verdict."""
+    gaussian(f"{name}_nb", f"SELECT * FROM {name}_split WHERE split = 'train'", features, key,
+             f"SELECT * FROM {name}_split WHERE split = 'test'", ", label")
+    part(f"{name}_counts", (), confusion(f"{name}_nb"))
+    part(f"{name}_auc", (), auc(f"{name}_nb"))
+    verdict = ", ".join(f"CASE WHEN {m} < 0.7 THEN '{m.capitalize()} ' || printf('%.3f', {r(m, 3)}) || ' < 0.700' END"
+                        for m in ("accuracy", "precision", "recall"))
+    return sql(f"{name}_split {name}_nb {name}_counts {name}_auc", f"""
 SELECT {rounded(['accuracy', 'precision', 'recall', 'f1_score', 'roc_auc'])}, n, 'step' AS gate,
   CASE WHEN accuracy < 0.7 OR precision < 0.7 OR recall < 0.7 THEN 'FAIL' ELSE 'PASS' END AS outcome,
-  concat_ws('; ', {', '.join(f"CASE WHEN {m} < 0.7 THEN '{m.capitalize()} ' || printf('%.3f', {r(m, 3)}) || ' < 0.700' END" for m in ('accuracy', 'precision', 'recall'))}) AS failures
-FROM test_metrics""")
+  concat_ws('; ', {verdict}) AS failures
+FROM {name}_counts, {name}_auc""")
+
+
+split_parts("toxic_docs", "doc_id")
+ORACLES["flagship_train_eval_gate"] = flagship("large", FEATURES, KEY)
+ORACLES["noise_gate"] = flagship("noise", FEATURES, KEY)
+ORACLES["toxic_gate"] = flagship("toxic_docs", ["n_chars", "digit_frac", "space_frac", "nl_frac", "upper_frac", "punct_frac"], "doc_id")
 ORACLES["env_params"] = sql("versions", """
 SELECT model, number, v.environment, test_size, n_estimators, max_depth, min_accuracy, min_precision, min_recall, enable_resampling,
   imbalance_threshold, enable_pca, enable_governance
@@ -495,6 +519,7 @@ RATES = ["agreement_rate", "champion_positive_rate", "challenger_positive_rate",
 ADVICE = """CASE WHEN agreement_rate >= 0.95 AND avg_probability_diff < 0.05 THEN 'SAFE TO PROMOTE'
   WHEN agreement_rate >= 0.85 THEN 'REVIEW RECOMMENDED' ELSE 'CAUTION' END"""
 ORACLES["comparison_metrics"] = sql("compared", f"SELECT '1' AS champion_version, '2' AS challenger_version, total_samples, {rounded(RATES)} FROM compared")
+ORACLES["comparison_one_pass"] = sql("compared", f"SELECT '1' AS champion_version, '2' AS challenger_version, total_samples, {rounded(RATES)}, {ADVICE} AS recommendation FROM compared")
 ORACLES["recommendation"] = sql("compared", f"SELECT '1' AS champion_version, '2' AS challenger_version, {ADVICE} AS recommendation FROM compared")
 part("compared_by_lines", ("aligned",), PARTS["compared"][1].replace("SELECT count(*)", "SELECT n_lines, count(*)") + " GROUP BY n_lines")
 ORACLES["comparison_by_segment"] = sql("compared_by_lines", f"SELECT {r('n_lines')} AS n_lines, total_samples, {rounded(RATES)}, {ADVICE} AS recommendation FROM compared_by_lines")

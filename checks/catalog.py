@@ -121,6 +121,11 @@ def registry_listing(spark, folder):
     return tidy(versions.select("model", "number", "stage", "created", "updated"))
 
 
+@query("listing_by_model")
+def listing_by_model(spark, folder):
+    return registry.newest_per_model(reg.model_versions(spark, folder)).select("model", "number", "stage", "place")
+
+
 @query("latest_training_run")
 def latest_training_run(spark, folder):
     runs = reg.flow_runs(reg.step_runs(spark, folder)).where("flow = 'training'")
@@ -596,6 +601,11 @@ def disagreements(spark, folder):
     return tidy(compare.disagreements(_aligned(spark, folder), KEY).drop("n_lines"))
 
 
+@query("top_disagreements")
+def top_disagreements(spark, folder):
+    return tidy(compare.disagreements(_aligned(spark, folder), KEY, 20).drop("n_lines"))
+
+
 # --- Registry -------------------------------------------------------------------------------------------------------
 
 def _versions(spark, folder):

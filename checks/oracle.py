@@ -315,6 +315,8 @@ FROM (UNPIVOT (SELECT accuracy, precision, recall, f1_score, roc_auc FROM test_m
 ORACLES["registry_listing"] = sql("versions", f"""
 SELECT model, number, stage, {stamp('created')} AS created, {stamp('updated')} AS updated
 FROM versions ORDER BY versions.updated DESC, model, number DESC LIMIT 5""")
+ORACLES["listing_by_model"] = sql("versions", """
+SELECT model, number, stage, row_number() OVER (PARTITION BY model ORDER BY updated DESC, number DESC) AS place FROM versions QUALIFY place <= 5""")
 ORACLES["latest_training_run"] = sql("runs", f"""
 SELECT run_id, flow, status, {stamp('start_time')} AS start_time, n_steps FROM runs r
 WHERE flow = 'training' ORDER BY r.start_time DESC, run_id DESC LIMIT 1""")
@@ -525,6 +527,9 @@ part("compared_by_lines", ("aligned",), PARTS["compared"][1].replace("SELECT cou
 ORACLES["comparison_by_segment"] = sql("compared_by_lines", f"SELECT {r('n_lines')} AS n_lines, total_samples, {rounded(RATES)}, {ADVICE} AS recommendation FROM compared_by_lines")
 ORACLES["disagreements"] = sql("aligned", f"SELECT {ALIGNED} FROM aligned WHERE champion_prediction <> challenger_prediction")
 
+ORACLES["top_disagreements"] = sql("aligned", f"""
+SELECT {ALIGNED} FROM (SELECT * FROM aligned WHERE champion_prediction <> challenger_prediction ORDER BY probability_diff DESC, o_orderkey LIMIT 20)""")
+
 # --- Registry ---------------------------------------------------------------------------------------------------------
 
 part("measured", ("metrics_wide", "versions"), """

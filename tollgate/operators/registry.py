@@ -6,9 +6,7 @@ combines on the map side, and neighbours in a chain are found by joining on (mod
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tollgate import params as P
@@ -25,6 +23,13 @@ def newest_first(versions: DataFrame, rows: int = P.LISTING_ROWS, by: str = "upd
     return versions.orderBy(F.col(by).desc(), F.col("model"), F.col("number").desc()).limit(rows)
 
 
+def newest_per_model(versions: DataFrame, rows: int = P.LISTING_ROWS, by: str = "updated") -> DataFrame:
+    """The listing of every model at once. Spark applies the rank limit before the shuffle, so a model with very many
+    versions costs each task ``rows`` rows."""
+    newest = Window.partitionBy("model").orderBy(F.col(by).desc(), F.col("number").desc())
+    return versions.withColumn("place", F.row_number().over(newest)).where(F.col("place") <= rows)
+
+
 def latest_with_metrics(versions: DataFrame, metrics: DataFrame, prefer: str | None = "staging") -> DataFrame:
     """Per model the newest version with all gated metrics, first among those of the preferred environment."""
     complete = metric_columns(metrics).dropna("any", subset=list(P.GATED_METRICS)).select("model", "number")

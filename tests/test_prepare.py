@@ -74,8 +74,9 @@ def brute_force(rows, k):
     return out
 
 
-@pytest.mark.parametrize("leaf_rows", [10_000, 40, 5])
-def test_nearest_equals_brute_force_with_a_hot_vector(spark, leaf_rows):
+@pytest.mark.parametrize("leaf_rows, group_rows", [(10_000, 20_000), (40, 20_000), (5, 20_000), (40, 3)])
+def test_nearest_equals_brute_force_with_a_hot_vector(spark, monkeypatch, leaf_rows, group_rows):
+    monkeypatch.setattr(neighbours, "GROUP_ROWS", group_rows)
     rng = random.Random(9)
     rows = [(i, (1.0, 2.0, 3.0)) for i in range(120)]
     rows += [(120 + i, (float(rng.randint(0, 6)), round(rng.gauss(2, 2), 1), rng.random())) for i in range(240)]

@@ -31,6 +31,7 @@ LEAF_ROWS = 2_000
 MAX_LEAVES = 16_384
 SAMPLE_PER_LEAF = 8
 CHUNK_CELLS = 4_000_000
+GROUP_ROWS = 20_000  # visits answered by one group
 
 
 @dataclass(frozen=True)
@@ -200,9 +201,9 @@ def _other_leaves(placed: DataFrame, local: DataFrame, boxes: list, keep: int, o
     return _salted_cogroup(visits, placed.select("key", "x", "leaf"), in_leaf, out)
 
 
-def _salted_cogroup(visits: DataFrame, rows: DataFrame, fn, out: str, group_rows: int = 20_000) -> DataFrame:
+def _salted_cogroup(visits: DataFrame, rows: DataFrame, fn, out: str) -> DataFrame:
     visits = materialize(visits, "visits")
-    parts = visits.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / group_rows).cast("int").alias("parts"))
+    parts = visits.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / GROUP_ROWS).cast("int").alias("parts"))
     asked = visits.join(parts, "leaf").withColumn("part", F.pmod(F.xxhash64("vid"), F.col("parts")).cast("int")).select(
         "leaf", "part", "vid", "x")
     copies = rows.join(parts, "leaf").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(

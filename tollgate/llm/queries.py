@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tollgate.llm import mixing, near_text, sharding
+from tollgate.llm import bpe, language, mixing, near_text, quality_text, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -85,3 +85,38 @@ def op7_shards(spark, folder):
         F.col("row.doc_id").alias("doc_id"), "size", F.col("row.text_crc32").alias("text_crc32"), F.lit("bytes").alias("law"),
         F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"))
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+@query
+def op5_bpe(spark, folder):
+    docs, path = table(spark, folder, "documents").select("doc_id", "text"), tokenizer_path()
+    decoded = bpe.decode(bpe.encode(docs, path, bpe.build_lexicon(docs, path)), path)
+    return decoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op8_language(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang", (id_fold(3) == 1).alias("held_out"))
+    model = language.fit(docs.where("not held_out"))
+    return language.identify(docs, model, keep=("doc_id", "held_out"))
+
+
+def labelled_docs(spark: SparkSession, folder: str, docs: DataFrame) -> DataFrame:
+    """Documents with the quality labels of the rows that may be learned from."""
+    labels = table(spark, folder, "labels").where(id_fold(5) != 0).select("doc_id", F.col("quality").alias("label"))
+    return docs.select("doc_id", "text").join(labels, "doc_id")
+
+
+@query
+def op9_quality(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text", (id_fold(5) == 0).alias("held_out"))
+    scored = quality_text.score(docs, quality_text.fit(labelled_docs(spark, folder, docs)), keep=("doc_id", "held_out"))
+    return scored.select("doc_id", "held_out", F.col("quality").alias("score"), (F.col("quality") >= 0.3).cast("int").alias("predicted"))

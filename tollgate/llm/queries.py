@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tollgate.llm import bpe, language, mixing, near_text, quality_text, sharding
+from tollgate.llm import bpe, interpolation, language, mixing, near_text, quality_text, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -120,3 +120,13 @@ def op9_quality(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text", (id_fold(5) == 0).alias("held_out"))
     scored = quality_text.score(docs, quality_text.fit(labelled_docs(spark, folder, docs)), keep=("doc_id", "held_out"))
     return scored.select("doc_id", "held_out", F.col("quality").alias("score"), (F.col("quality") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op4_interpolation(spark, folder):
+    docs, fold = table(spark, folder, "documents").select("doc_id", "text"), id_fold(5)
+    # Of the four training parts one is deleted while the weights are learned.
+    role = F.when(fold == 1, interpolation.SCORED).when(fold == 0, interpolation.DELETED).otherwise(interpolation.RETAINED)
+    scored = interpolation.interpolated_scores(docs, role)
+    return scored.select("doc_id", (F.col("role") == interpolation.SCORED).alias("held_out"), "n_tokens", "n_known",
+                         "train_tokens", "base_score", "score")

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tollgate.llm import bpe, interpolation, language, mixing, near_text, quality_text, sharding
+from tollgate.llm import (
+    bpe, interpolation, language, mixing, near_text, near_vectors, neighbours_index, quality_text, sharding)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -130,3 +131,29 @@ def op4_interpolation(spark, folder):
     scored = interpolation.interpolated_scores(docs, role)
     return scored.select("doc_id", (F.col("role") == interpolation.SCORED).alias("held_out"), "n_tokens", "n_known",
                          "train_tokens", "base_score", "score")
+
+
+@query
+def op3_multi_index(spark, folder):
+    return neighbours_index.nearest(table(spark, folder, "embeddings").select("vec_id", "embedding"), lambda i: i % 50 == 0)
+
+
+@query
+def op10_near_vectors(spark, folder):
+    found = near_vectors.near_vectors(table(spark, folder, "embeddings").select("vec_id", "embedding"))
+    return found.withColumnRenamed("id", "vec_id")
+
+
+ORACLES["op10_near_vectors"] = r"""
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0
+      AND len(list_filter(embedding, lambda y: y <> 0)) > 0),
+n AS (SELECT *, sqrt(list_inner_product(x, x)) AS size FROM v),
+e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.vec_id <> b.vec_id
+      WHERE list_inner_product(a.x, b.x) >= 0.95 * (a.size * b.size)),
+r AS (SELECT a AS node, b AS seen FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.seen),
+m AS (SELECT node, least(node, min(seen)) AS component_id FROM r GROUP BY node),
+k AS (SELECT a, count(*) AS n FROM e GROUP BY a)
+SELECT t.vec_id, coalesce(k.n, 0)::BIGINT AS n_links, coalesce(m.component_id, t.vec_id) AS component_id,
+       coalesce(m.component_id, t.vec_id) = t.vec_id AS kept
+FROM embeddings t LEFT JOIN k ON k.a = t.vec_id LEFT JOIN m ON m.node = t.vec_id"""

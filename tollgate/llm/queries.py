@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tollgate.llm import (
-    bpe, interpolation, language, mixing, near_text, near_vectors, neighbours_index, quality_text, sharding)
+    bpe, interpolation, language, licences, mixing, near_text, near_vectors, neighbours_index, quality_text, sharding)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -29,6 +29,14 @@ def id_fold(folds: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % folds
 
 
+@query
+def op1_licences(spark, folder):
+    return licences.scan_licences(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+ORACLES["op1_licences"] = licences.oracle_sql()
+
+
 @query
 def op2_mix_sources(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("words"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import isfinite
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
@@ -16,7 +17,8 @@ def value_buckets(df: DataFrame, order: str, buckets: int, bucket: str = "bucket
     ``buckets`` numbers reach the driver.
     """
     shares = [i / buckets for i in range(1, buckets)]
-    limits = sorted(set(df.approxQuantile(order, shares, 0.5 / buckets))) if buckets > 1 else []
+    found = df.approxQuantile(order, shares, 0.5 / buckets) if buckets > 1 else []
+    limits = sorted({x for x in found if isfinite(x)})  # values at infinity fall into the outer buckets
     if not limits:
         return df.withColumn(bucket, F.lit(0.0))
     splits = [float("-inf"), *limits, float("inf")]
@@ -25,7 +27,7 @@ def value_buckets(df: DataFrame, order: str, buckets: int, bucket: str = "bucket
 
 def default_buckets(df: DataFrame) -> int:
     """One bucket per shuffle partition: the size the cluster was set up for."""
-    return max(1, min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2000))
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def bucket_below(bucketed: DataFrame, sums: Sequence[str], by: Sequence[str], bucket: str = "bucket") -> DataFrame:

@@ -58,6 +58,8 @@ def approval_gate(approvals: DataFrame, stage: str) -> DataFrame:
 
 
 def sampled_log(predictions: DataFrame, key: str, share: float = 0.1, salt: object = "log") -> DataFrame:
-    """A fixed share of the predictions by key hash: a filter, the same rows on every run."""
-    limit = f"{int(share * 16**6):06x}"
-    return predictions.where(F.substring(key_hash(key, salt), 1, 6) < limit)
+    """A fixed share of the predictions by key hash: a filter, the same rows on every run. 0 keeps none and 1 all."""
+    if not 0 <= share <= 1:
+        raise ValueError(f"a share lies between 0 and 1, not at {share}")
+    number = F.conv(F.substring(key_hash(key, salt), 1, 6), 16, 10).cast("int")
+    return predictions.where(number < int(share * 16**6))

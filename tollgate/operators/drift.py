@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tollgate import params as P
 from tollgate.functions.running import running_totals
+from tollgate.sources.artifacts import materialize
 
 BINS = 10
 EMPTY_SHARE = 1e-4  # share used for an empty bin
@@ -29,9 +30,9 @@ def numeric_drift(df: DataFrame, columns: Sequence[str], is_current: str = "is_c
     """
     long = df.unpivot([is_current], list(columns), "column", "value").where(
         F.col("value").isNotNull() & ~F.isnan("value"))
-    counted = long.groupBy("column", "value").agg(
+    counted = materialize(long.groupBy("column", "value").agg(
         F.sum(F.when(F.col(is_current), 0).otherwise(1)).alias("ref"),
-        F.sum(F.when(F.col(is_current), 1).otherwise(0)).alias("cur"))
+        F.sum(F.when(F.col(is_current), 1).otherwise(0)).alias("cur")), "value_counts")
     ranked = running_totals(counted, "value", ["ref", "cur"], ["column"], buckets)
     share = lambda part, whole: part / F.nullif(whole.cast("double"), F.lit(0.0))
     gap = F.abs(share(F.col("ref_below") + F.col("ref"), F.col("ref_total"))

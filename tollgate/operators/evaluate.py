@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tollgate import params as P
 from tollgate.functions.running import default_buckets, value_buckets
 from tollgate.functions.scalars import flag_sum, ratio
+from tollgate.sources.artifacts import materialize
 
 
 def confusion_counts(df: DataFrame, by: Sequence[str] = (), label: str = "label",
@@ -42,12 +43,18 @@ def binary_metrics(df: DataFrame, by: Sequence[str] = (), label: str = "label",
 
 
 def _score_counts(df: DataFrame, by: Sequence[str], label: str, score: str, prediction: str | None) -> DataFrame:
-    """Rows per distinct score: positives, negatives, and how many of each are predicted 1."""
+    """Rows per distinct score: positives, negatives, and how many of each are predicted 1.
+
+    A row without a prediction takes no part, as in :func:`binary_metrics`. The counts are written once: their limits and
+    their sums are two readings, and everything before them is computed once.
+    """
+    if prediction:
+        df = df.where(F.col(prediction).isNotNull())
     y = F.col(label)
     hit = F.col(prediction) == 1 if prediction else F.lit(False)
-    return df.groupBy(*by, F.col(score).alias("score")).agg(
+    return materialize(df.groupBy(*by, F.col(score).alias("score")).agg(
         flag_sum(y == 1).alias("pos"), flag_sum(y == 0).alias("neg"),
-        flag_sum((y == 1) & hit).alias("pos_hit"), flag_sum((y == 0) & hit).alias("neg_hit"))
+        flag_sum((y == 1) & hit).alias("pos_hit"), flag_sum((y == 0) & hit).alias("neg_hit")), "score_counts")
 
 
 def _ranked_sums(per_score: DataFrame, by: Sequence[str], buckets: int | None) -> DataFrame:

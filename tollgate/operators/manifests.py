@@ -147,17 +147,20 @@ def unwrap_metadata(metadata: DataFrame) -> DataFrame:
     """Schemaless metadata (model, number, name, raw JSON value) to metric rows.
 
     Numbers, text and booleans are kept, an object is read through its ``value`` field, other types are dropped, and
-    the promotion chain is left to :func:`unwrap_chains`.
+    the promotion chain is left to :func:`unwrap_chains`. Only an unquoted JSON number has a ``value``; quoted text is kept
+    whatever it says.
     """
     raw = F.trim("raw")
     inner = F.when(raw.startswith("{"), F.get_json_object("raw", "$.value")).otherwise(
         F.when(raw.startswith('"'), F.get_json_object(F.concat(F.lit('{"v":'), "raw", F.lit("}")), "$.v")).otherwise(raw))
-    kept = F.col("text").isNotNull() & ~F.col("text").rlike(r"^\s*[\[{]") & (F.col("text") != "null")
+    parsed = F.try_parse_json("raw")
+    kind = F.schema_of_variant(F.when(raw.startswith("{"), F.try_variant_get(parsed, "$.value", "variant")).otherwise(parsed))
+    number = F.col("kind").rlike("^(BIGINT|DOUBLE|DECIMAL)")
     return (
         metadata.where(F.col("name") != "promotion_chain")
-        .select("model", "number", "name", inner.alias("text"))
-        .where(kept)
-        .select("model", "number", "name", "text", F.col("text").try_cast("double").alias("value"))
+        .select("model", "number", "name", inner.alias("text"), kind.alias("kind"))
+        .where(F.col("text").isNotNull() & (number | F.col("kind").isin("STRING", "BOOLEAN")))
+        .select("model", "number", "name", "text", F.when(number, F.col("text").try_cast("double")).alias("value"))
     )
 
 
@@ -168,8 +171,3 @@ def unwrap_chains(metadata: DataFrame) -> DataFrame:
     return metadata.where(F.col("name") == "promotion_chain").select(
         "model", "number", F.from_json(text, f"array<{CHAIN_ENTRY.simpleString()}>").alias("chain"))
 
-
-__all__ = [
-    "MANIFEST", "back_links", "export_manifests", "import_manifests", "manifest_json", "metric_maps",
-    "unwrap_chains", "unwrap_metadata", "validate_manifests",
-]

@@ -100,13 +100,12 @@ def _pool(n: tuple, mean: tuple, variance: tuple) -> tuple[float, float]:
 
 
 def fit_forest(df: DataFrame, key: str, features: Sequence[str], label: str = "label", n_estimators: int = 100,
-               max_depth: int = 10, seed: int = P.SEED, partitions: int | None = None) -> PipelineModel:
+               max_depth: int = 10, seed: int = P.SEED, partitions: int = P.TrainingParams.forest_partitions) -> PipelineModel:
     """Random forest with gini splits and the square root of the features per node.
 
     The same seed gives another forest when rows arrive in another order, so the rows are put into key order first,
-    with a partition count that does not depend on the input's.
+    with a partition count that is part of the training parameters and depends on neither the input nor the cluster.
     """
-    partitions = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = df.select(key, *features, label).repartition(partitions, key_hash(key, seed)).sortWithinPartitions(key)
     forest = RandomForestClassifier(
         labelCol=label, featuresCol="__features", numTrees=n_estimators, maxDepth=max_depth, impurity="gini",

@@ -15,25 +15,36 @@ class QualityError(ValueError):
     """A data-quality check did not pass."""
 
 
-def repeated_rows(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Per group: how many rows repeat an earlier row over all ``columns``. Groups without repeats have no row.
+def _row_hash(df: DataFrame, columns: Sequence[str]) -> list[Column]:
+    """256 bits that tell rows apart: four hashes over values and null marks, each with its own first value.
 
-    Only a 64-bit hash and a count go through the first shuffle. Whole rows are compared only where a hash occurs more
-    than once, so the result is exact and the wide shuffle carries the repeats instead of the table. Both group-bys
-    combine on the map side, so a row copied very often is one row per task.
+    A zero and a negative zero are equal, as are all NaN: adding 0.0 and folding NaN gives equal rows equal hashes.
     """
-    # A zero and a negative zero are equal, as are all NaN: adding 0.0 and folding NaN gives equal rows equal hashes.
     def canonical(name: str) -> Column:
         if df.schema[name].dataType.typeName() in ("double", "float"):
             return F.when(F.isnan(name), F.lit(float("nan"))).otherwise(F.col(name) + F.lit(0.0))
         return F.col(name)
 
-    hashed = df.select(*by, *[c for c in columns if c not in by],
-                       F.xxhash64(*[canonical(c) for c in [*by, *columns]]).alias("__hash"))
-    suspects = hashed.groupBy("__hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__hash")
-    copies = hashed.join(suspects, "__hash", "left_semi").groupBy(*dict.fromkeys([*by, *columns])).agg(
-        (F.count(F.lit(1)) - 1).alias("extra"))
-    return copies.groupBy(*by).agg(F.coalesce(F.sum("extra"), F.lit(0)).alias("duplicate_rows"))
+    cells = [part for c in columns for part in (F.isnull(c), canonical(c))]
+    return [F.xxhash64(F.lit(i), *cells).alias(f"__hash{i}") for i in range(4)]
+
+
+def _distinct_rows(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """One row per group and distinct row: its number, and the missing cells of all its copies.
+
+    Only hashes and two counts go through the shuffle, and copies combine on the map side. Two different rows share all
+    256 bits with a probability that no table reaches.
+    """
+    cells = sum((F.when(is_missing(df, c), 1).otherwise(0) for c in columns), F.lit(0))
+    hashed = df.select(*by, *_row_hash(df, [c for c in columns if c not in by]), cells.alias("__missing"))
+    return hashed.groupBy(*by, *[f"__hash{i}" for i in range(4)]).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("__missing").alias("missing"))
+
+
+def repeated_rows(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Per group: how many rows repeat an earlier row over all ``columns``. Groups without repeats have no row."""
+    copies = _distinct_rows(df, columns, by).where("n > 1").groupBy(*by).agg(F.sum(F.col("n") - 1).alias("duplicate_rows"))
+    return copies if by else copies.select(F.coalesce("duplicate_rows", F.lit(0)).cast("bigint").alias("duplicate_rows"))
 
 
 def missing_counts(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -44,14 +55,15 @@ def missing_counts(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()
 
 
 def quality_measures(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Rows, missing cells, missing fraction and repeated rows; one row per group, or one row in all."""
-    shape = ["n_rows", "missing_cells", "duplicate_rows"]
-    zero = lambda name: F.lit(0).cast("bigint").alias(name)
-    parts = missing_counts(df, columns, by).select(*by, "n_rows", "missing_cells", zero("duplicate_rows")).unionByName(
-        repeated_rows(df, columns, by).select(*by, zero("n_rows"), zero("missing_cells"), "duplicate_rows"))
-    summed = parts.groupBy(*by).agg(*[F.sum(c).cast("bigint").alias(c) for c in shape])
+    """Rows, missing cells, missing fraction and repeated rows; one row per group, or one row in all.
+
+    One scan and one narrow shuffle: all three follow from the counts of the distinct rows.
+    """
+    measures = _distinct_rows(df, columns, by).groupBy(*by).agg(
+        *[F.coalesce(F.sum(x), F.lit(0)).cast("bigint").alias(name) for x, name in (
+            (F.col("n"), "n_rows"), (F.col("missing"), "missing_cells"), (F.col("n") - 1, "duplicate_rows"))])
     cells = F.col("n_rows") * len(columns)
-    return summed.select(*by, *shape, ratio(F.col("missing_cells"), cells).alias("missing_fraction"))
+    return measures.select("*", ratio(F.col("missing_cells"), cells).alias("missing_fraction"))
 
 
 def quality_verdict(measures: DataFrame, min_rows: int | Column = P.MIN_ROWS,

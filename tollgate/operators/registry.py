@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tollgate import params as P
 from tollgate.functions.scalars import run_url
-from tollgate.operators.gates import metric_columns
+from tollgate.operators.gates import apply_gate, metric_columns
 
 
 def _newest(condition: Column | None = None) -> Column:
@@ -93,16 +93,20 @@ def comparison_pair(versions: DataFrame) -> DataFrame:
 
 
 def occupancy(candidates: DataFrame, versions: DataFrame, target: str, force: bool = False) -> DataFrame:
-    """Whether another version holds the target stage, and what follows: free, blocked, or the other is demoted.
+    """Whether other versions hold the target stage, and what follows: free, blocked, or the others are demoted.
 
-    Archived has no limit on its versions.
+    ``occupant`` is the newest other holder. Archived has no limit on its versions.
     """
-    holder = versions.where(F.col("stage") == target).groupBy("model").agg(_newest().alias("occupant"))
-    other = F.when(F.col("occupant") != F.col("number"), F.col("occupant"))
     if target == "archived":
-        other = F.lit(None).cast("int")
+        return candidates.select("model", "number", F.lit(target).alias("target"), F.lit(None).cast("int").alias("occupant"),
+                                 F.lit("free").alias("outcome"))
+    # The two newest holders of each model: the newest other one is among them.
+    holders = versions.where(F.col("stage") == target).groupBy("model").agg(_newest().alias("newest"))
+    second = versions.where(F.col("stage") == target).join(holders, "model").where(
+        F.col("number") != F.col("newest")).groupBy("model").agg(_newest().alias("second"))
+    other = F.when(F.col("newest") != F.col("number"), F.col("newest")).otherwise(F.col("second"))
     outcome = F.when(other.isNull(), "free").otherwise("demote" if force else "blocked")
-    return candidates.select("model", "number").join(holder, "model", "left").select(
+    return candidates.select("model", "number").join(holders, "model", "left").join(second, "model", "left").select(
         "model", "number", F.lit(target).alias("target"), other.alias("occupant"), outcome.alias("outcome"))
 
 
@@ -127,20 +131,52 @@ def stage_events(moves: DataFrame, events: DataFrame, workspace: str = P.DEV_WOR
 
 def promote(candidates: DataFrame, versions: DataFrame, events: DataFrame, target: str, ts: Column,
             force: bool = True, workspace: str = P.DEV_WORKSPACE) -> DataFrame:
-    """Entries that promote the candidates (model, number) to the target stage.
+    """Entries that promote the candidates (model, number), at most one per model, to the target stage.
 
-    With ``force`` the version that held the stage is archived in the same append, so a stage has one holder at any
-    time; without it a candidate whose target is held gets no entry.
+    With ``force`` every other version that held the stage is archived in the same append, so a stage has one holder at
+    any time; without it a candidate whose target is held gets no entry. This looks at no gate: see ``promotion_flow``.
     """
     state = versions.select("model", "number", F.col("stage").alias("from_stage"), "training_run_id")
     verdict = occupancy(candidates, versions, target, force).where(F.col("outcome") != "blocked")
     promoted = verdict.select("model", "number", F.lit(target).alias("to_stage"))
-    demoted = verdict.where(F.col("outcome") == "demote").select(
-        "model", F.col("occupant").alias("number"), F.lit("archived").alias("to_stage"))
+    demoting = verdict.where(F.col("outcome") == "demote").select("model", F.col("number").alias("candidate"))
+    demoted = versions.where(F.col("stage") == target).join(demoting, "model").where(
+        F.col("number") != F.col("candidate")).select("model", "number", F.lit("archived").alias("to_stage"))
     moves = promoted.unionByName(demoted).join(state, ["model", "number"]).withColumn("ts", ts)
     return stage_events(moves, events, workspace)
 
 
+def promotion_decisions(wanted: DataFrame, versions: DataFrame, metrics: DataFrame, target: str, force: bool = False,
+                        skip_validation: bool = False) -> DataFrame:
+    """One row per request (model, version, from_stage): the version found, the gate's verdict, the stage's occupant and
+    the decision: promoted, not found, refused by the gate, or blocked by the occupant.
+
+    The version of a request without version and stage is the newest with metrics. ``skip_validation`` leaves the gate
+    out, ``force`` demotes the occupants.
+    """
+    found = look_up(wanted, versions, metrics)
+    existing = found.where("found").select("model", "number").distinct()
+    gate = apply_gate(existing, metrics, P.STAGE_GATES[target]).select("model", "number", "outcome", "failures")
+    held = occupancy(existing, versions, target, force).select("model", "number", "occupant", F.col("outcome").alias("place"))
+    passed = F.lit(True) if skip_validation else F.col("outcome") == "PASS"
+    decision = (
+        F.when(~F.col("found"), "not found").when(~passed, "refused").when(F.col("place") == "blocked", "blocked")
+        .otherwise("promoted")
+    )
+    return found.join(gate, ["model", "number"], "left").join(held, ["model", "number"], "left").select(
+        "model", "number", "chosen_by", F.lit(target).alias("target"),
+        F.col("outcome").alias("gate"), "failures", "occupant", decision.alias("decision"))
+
+
+def promotion_flow(wanted: DataFrame, versions: DataFrame, metrics: DataFrame, events: DataFrame, target: str, ts: Column,
+                   force: bool = False, skip_validation: bool = False,
+                   workspace: str = P.DEV_WORKSPACE) -> tuple[DataFrame, DataFrame]:
+    """Look up, validate, check the stage, and append: the decisions, and the entries that the promoted ones add."""
+    decisions = promotion_decisions(wanted, versions, metrics, target, force, skip_validation)
+    accepted = decisions.where("decision = 'promoted'").select("model", "number")
+    return decisions, promote(accepted, versions, events, target, ts, force, workspace)
+
+
 def current_stage(events: DataFrame) -> DataFrame:
     """Per version the stage its last entry set."""
     return events.groupBy("model", "number").agg(
@@ -154,16 +190,18 @@ def chains(events: DataFrame) -> DataFrame:
 
 
 def stage_history(events: DataFrame) -> DataFrame:
-    """Each entry with the stage before it, the time of the next entry and the days between; null for the last."""
-    entry = events.select("model", "number", "seq", "action", "to_stage", "ts")
-    before = entry.select("model", "number", (F.col("seq") + 1).alias("seq"), F.col("to_stage").alias("previous_stage"))
-    after = entry.select("model", "number", (F.col("seq") - 1).alias("seq"), F.col("ts").alias("until"))
-    at = ["model", "number", "seq"]
-    return entry.join(before, at, "left").join(after, at, "left").select(
-        *at, "action", "previous_stage", F.col("to_stage").alias("stage"), "ts", "until",
-        F.date_diff("until", "ts").alias("days_in_stage"),
-        F.col("until").isNull().alias("is_last"),
-    )
+    """Each entry with the stage before it, the time of the next entry and the days between; null for the last.
+
+    Neighbours are those in order of ``seq``, whether or not it has gaps. A window holds one version's stage changes.
+    """
+    chain = Window.partitionBy("model", "number").orderBy("seq")
+    return events.select(
+        "model", "number", "seq", "action", F.lag("to_stage").over(chain).alias("previous_stage"),
+        F.col("to_stage").alias("stage"), "ts", F.lead("ts").over(chain).alias("until"),
+        F.lead("seq").over(chain).isNull().alias("is_last"),
+    ).select(
+        "model", "number", "seq", "action", "previous_stage", "stage", "ts", "until",
+        F.date_diff("until", "ts").alias("days_in_stage"), "is_last")
 
 
 def last_actions(events: DataFrame) -> DataFrame:

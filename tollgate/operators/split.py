@@ -40,8 +40,9 @@ class SplitCut:
         return test
 
     def assign(self, df: DataFrame) -> DataFrame:
-        """Add ``split``. This is a comparison per row: no join, no shuffle."""
-        return df.withColumn("split", F.when(self.is_test(), "test").otherwise("train"))
+        """Add ``split``, null where the label is. This is a comparison per row: no join, no shuffle."""
+        part = F.when(self.is_test(), "test").otherwise("train")
+        return df.withColumn("split", F.when(F.col(self.label).isNotNull(), part))
 
 
 def class_test_sizes(counts: dict, test_size: float) -> dict:

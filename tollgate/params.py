@@ -73,6 +73,7 @@ class TrainingParams:
     pca_components: int = 30
     enable_governance: bool = True
     seed: int = SEED
+    forest_partitions: int = 32  # rows are put in order in so many parts, whatever the cluster
 
     def step_gate(self) -> Gate:
         return replace(

@@ -72,7 +72,7 @@ def training_flow(df: DataFrame, key: str, features: Sequence[str], params: P.Tr
         components = fit_components(vectors[0], "__x", len(features), params.pca_components)
         train_x, test_x = (components.transform(v, "__x", [key, label]) for v in vectors)
         used = [f"PC{i + 1}" for i in range(len(components.sign))]
-    model = fit_forest(train_x, key, used, label, params.n_estimators, params.max_depth, params.seed)
+    model = fit_forest(train_x, key, used, label, params.n_estimators, params.max_depth, params.seed, params.forest_partitions)
     scored = materialize(forest_scores(model, test_x, [key, label]), "scored_test")
     metrics = evaluate(scored, label=label)
     report = None

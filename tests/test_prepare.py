@@ -35,7 +35,6 @@ def test_split_descends_into_large_prefixes(spark, monkeypatch):
     df = labelled(spark, 3000)
     expected = {r.id for r in split.stratified_split(df, "id").where("split = 'test'").collect()}
     monkeypatch.setattr(split, "PREFIX_STEP", 1)
-    monkeypatch.setattr(split, "FINISH_ROWS", 4)
     assert {r.id for r in split.stratified_split(df, "id").where("split = 'test'").collect()} == expected
 
 
@@ -45,13 +44,31 @@ def test_split_rejects_a_class_with_one_row(spark):
         split.fit_split(df, "id")
 
 
-def test_split_rejects_a_repeated_key(spark, monkeypatch):
-    monkeypatch.setattr(split, "FINISH_ROWS", 10)
+def test_split_rejects_a_repeated_key(spark):
     df = spark.createDataFrame([(1, i % 2) for i in range(100)], "id long, label int")
     with pytest.raises(split.SplitError, match="not unique"):
         split.fit_split(df, "id")
 
 
+def test_split_of_many_classes_and_of_null_labels(spark):
+    rows = [(i, i % 1500) for i in range(6000)] + [(10_000 + i, None) for i in range(5)]
+    got = split.stratified_split(spark.createDataFrame(rows, "id long, label int"), "id").collect()
+    assert sum(r.split == "test" for r in got) == 1200 and {r.split for r in got if r.label is None} == {None}
+    parts = {}
+    for r in got:
+        parts.setdefault(r.label, []).append(r.split)
+    assert all(p.count("test") in (0, 1) for c, p in parts.items() if c is not None)
+
+
+def test_smote_of_many_classes_and_of_missing_features(spark):
+    rows = [(i, float(i % 7), float(i // 1500), i % 300) for i in range(2100)] + [(9000 + i, float(i), 0.5, 300) for i in range(9)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, label int")
+    got = {r.label: r["count"] for r in balance.smote(df, "id", ["a", "b"]).groupBy("label").count().collect()}
+    assert len(got) == 301 and set(got.values()) == {9}
+    with pytest.raises(ValueError, match="null or NaN"):
+        balance.smote(df.withColumn("a", F.when(F.col("id") != 4, F.col("a"))), "id", ["a", "b"])
+
+
 def test_inference_sample_is_the_same_on_any_partitioning(spark):
     df = labelled(spark)
     ids = [sorted(r.id for r in split.inference_sample(d, "id").collect()) for d in (df, df.repartition(9))]

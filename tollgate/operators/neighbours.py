@@ -2,7 +2,8 @@
 
 Equal vectors are folded first. A small sample sets the cuts of a k-d tree, whose leaves then hold about equally many
 distinct vectors. Each leaf answers its own vectors, which bounds how far their true neighbours can be; a vector is sent
-to another leaf only if that leaf's box lies within this bound. The sample affects the balance, never the result.
+to another leaf only if that leaf's box lies within this bound, which is asked from the root of the tree downwards. The
+sample affects the balance, never the result.
 
 The work grows with the leaves a bound reaches: few in low dimensions, most of them in high ones, where an exact answer
 is close to all pairs by nature.
@@ -79,11 +80,15 @@ def _nearest_in(queries: np.ndarray, rows: np.ndarray, keys: np.ndarray, k: int)
     block = max(1, CHUNK_CELLS // max(1, len(rows)))
     by_key = np.argsort(keys, kind="stable")
     rows = rows[by_key]
+    width = min(k, len(rows))
     for start in range(0, len(queries), block):
         d = _squared(queries[start:start + block], rows)
-        order = np.argsort(d, axis=1, kind="stable")[:, :k]
-        near = np.take_along_axis(d, order, axis=1)
-        yield np.arange(start, start + len(d)), by_key[order], near
+        # Everything up to the k-th distance, in order of distance and key; the first k of each query.
+        q, r = np.nonzero(d <= np.partition(d, width - 1, axis=1)[:, width - 1:width])
+        order = np.lexsort((r, d[q, r], q))
+        first = np.searchsorted(q, np.arange(len(d)))
+        take = order[(first[:, None] + np.arange(width)).ravel()]
+        yield np.arange(start, start + len(d)), by_key[r[take]].reshape(-1, width), d[q[take], r[take]].reshape(-1, width)
 
 
 def _long(vids, query_rows: np.ndarray, found: np.ndarray, near: np.ndarray, keys) -> pd.DataFrame:
@@ -99,113 +104,133 @@ def _matrix(pdf: pd.DataFrame, column: str) -> np.ndarray:
     return np.array(pdf[column].tolist(), dtype=np.float64)
 
 
-def nearest(df: DataFrame, key: str, features: Sequence[str], k: int, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+def nearest(df: DataFrame, key: str, features: Sequence[str], k: int, leaf_rows: int = LEAF_ROWS,
+            by: str | None = None) -> DataFrame:
     """Per distinct vector the k + 1 nearest rows of the table by (distance, key), itself included.
 
-    Returns the feature columns and ``near``: an ordered array of (distance2, neighbour, features). A row finds its own
-    k neighbours by leaving itself out. Feature columns must hold no nulls.
+    With ``by`` a row's neighbours are those of its own group, and the result has that column too. Returns the feature
+    columns and ``near``: an ordered array of (distance2, neighbour, features). A row finds its own k neighbours by
+    leaving itself out. Feature columns must hold no nulls. Leaves stop multiplying at MAX_LEAVES per group; a leaf's
+    rows grow from there on, and its questions are dealt over groups of GROUP_ROWS.
     """
     keep = k + 1
+    group = F.col(by) if by else F.lit(0)
     # Of equal vectors only the first k + 1 keys can be anyone's neighbour. Spark applies this limit before the shuffle.
-    same = Window.partitionBy(*features).orderBy("key")
-    members = df.select(F.col(key).alias("key"), *features).withColumn("rank", F.row_number().over(same)).where(
+    same = Window.partitionBy("part", *features).orderBy("key")
+    members = df.select(group.alias("part"), F.col(key).alias("key"), *features).withColumn("rank", F.row_number().over(same)).where(
         F.col("rank") <= keep)
     members = materialize(
-        members.select("key", "rank", F.array(*[F.col(f).cast("double") for f in features]).alias("x")), "vectors")
-    vectors = members.where("rank = 1").select(F.col("key").alias("vid"), "x")
-
-    n = vectors.count()
-    depth = int(np.ceil(np.log2(max(1, min(MAX_LEAVES, n / leaf_rows)))))
-    tree = _fit_tree(vectors, n, depth)
-    leaf_of = F.pandas_udf(
-        lambda x: pd.Series(tree.leaf(np.array(x.tolist(), dtype=np.float64).reshape(len(x), -1))), T.LongType())
-
-    rows = members.withColumn("leaf", leaf_of("x"))
-    placed = materialize(rows, "leaves")
-    boxes = _boxes(placed, len(features))
-    key_type = df.schema[key].dataType.simpleString()
+        members.select("part", "key", "rank", F.array(*[F.col(f).cast("double") for f in features]).alias("x")), "vectors")
+    trees = _fit_trees(members.where("rank = 1"), leaf_rows)
+
+    def leaf_of(parts: pd.Series, x: pd.Series) -> pd.Series:
+        leaf = np.zeros(len(x), dtype=np.int64)
+        for part in set(parts) & set(trees):
+            at = np.flatnonzero(parts == part)
+            leaf[at] = trees[part].leaf(np.array(x.iloc[at].tolist(), dtype=np.float64))
+        return pd.Series(leaf)
+
+    number = F.pandas_udf(leaf_of, T.LongType())("part", "x") if trees else F.lit(0).cast("long")
+    placed = materialize(members.withColumn("leaf", number), "leaves")
+    key_type, part_type = (members.schema[c].dataType.simpleString() for c in ("key", "part"))
     out = f"vid {key_type}, neighbour {key_type}, distance2 double"
 
-    def own_leaf(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, keys = _matrix(pdf, "x"), pdf["key"].to_numpy()
-        asked = np.flatnonzero(pdf["rank"].to_numpy() == 1)
-        parts = [_long(keys[asked], q, found, near, keys) for q, found, near in _nearest_in(x[asked], x, keys, keep)]
+    def in_leaf(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        if not len(queries) or not len(rows):
+            return pd.DataFrame({"vid": queries["vid"][:0], "neighbour": rows["key"][:0], "distance2": np.zeros(0)})
+        keys, vids = rows["key"].to_numpy(), queries["vid"].to_numpy()
+        parts = [_long(vids, q, near_rows, near, keys)
+                 for q, near_rows, near in _nearest_in(_matrix(queries, "x"), _matrix(rows, "x"), keys, keep)]
         return pd.concat(parts)
 
-    local = materialize(placed.groupBy("leaf").applyInPandas(own_leaf, out), "local")
-    if len(boxes) == 1:
-        found = local
-    else:
-        found = local.unionByName(_other_leaves(placed, local, boxes, keep, out))
+    rows = placed.select("part", "key", "x", "leaf")
+    asked = placed.where("rank = 1").select("part", F.col("key").alias("vid"), "x", "leaf")
+    local = materialize(_salted_cogroup(asked, rows, in_leaf, out), "local")
+    found = local
+    if trees:
+        visits = materialize(_visits(asked, local, trees, _boxes(placed, trees, len(features)), keep, part_type), "visits")
+        found = local.unionByName(_salted_cogroup(visits, rows, in_leaf, out))
     best = Window.partitionBy("vid").orderBy("distance2", "neighbour")
     top = found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= keep)
     with_x = top.join(members.select(F.col("key").alias("neighbour"), F.col("x").alias("nx")), "neighbour")
     lists = with_x.groupBy("vid").agg(F.sort_array(F.collect_list(F.struct("distance2", "neighbour", "nx"))).alias("near"))
-    return lists.join(vectors, "vid").select(
-        *[F.col("x")[i].alias(f) for i, f in enumerate(features)], "near")
-
-
-def _fit_tree(vectors: DataFrame, n: int, depth: int) -> Tree:
-    """Cuts from a hash sample of about SAMPLE_PER_LEAF vectors per leaf: bounded by MAX_LEAVES, not by the table."""
-    if depth == 0:
-        return Tree(np.zeros(0, dtype=np.int64), np.zeros(0), 0)
-    share = min(1.0, 2**depth * SAMPLE_PER_LEAF / n)
-    limit = f"{min(int(share * 16**8), 16**8 - 1):08x}"
-    picked = vectors.where(F.substring(key_hash("vid", "tree"), 1, 8) <= limit).select("x").collect()
-    return build_tree(np.array([r["x"] for r in picked], dtype=np.float64), depth)
-
-
-def _boxes(placed: DataFrame, width: int) -> list:
-    """Per leaf the smallest and largest value of every feature."""
+    return lists.join(asked.select("vid", "part", "x"), "vid").select(
+        *([F.col("part").alias(by)] if by else []), *[F.col("x")[i].alias(f) for i, f in enumerate(features)], "near")
+
+
+def _fit_trees(vectors: DataFrame, leaf_rows: int) -> dict[object, Tree]:
+    """A tree for each group of more than ``leaf_rows`` vectors, from a hash sample of about SAMPLE_PER_LEAF per leaf: at most
+    SAMPLE_PER_LEAF * MAX_LEAVES vectors of a group reach the driver."""
+    large = {r["part"]: r["n"] for r in vectors.groupBy("part").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > leaf_rows).collect()}
+    trees = {}
+    for part, n in large.items():
+        depth = int(np.ceil(np.log2(min(MAX_LEAVES, n / leaf_rows))))
+        share = min(1.0, 2**depth * SAMPLE_PER_LEAF / n)
+        limit = f"{min(int(share * 16**8), 16**8 - 1):08x}"
+        picked = vectors.where((F.col("part") == F.lit(part)) & (F.substring(key_hash("key", "tree"), 1, 8) <= limit)).select("x").collect()
+        if picked and depth:
+            trees[part] = build_tree(np.array([r["x"] for r in picked], dtype=np.float64), depth)
+    return trees
+
+
+def _boxes(placed: DataFrame, trees: dict, width: int) -> dict[object, tuple[np.ndarray, np.ndarray]]:
+    """Per group the smallest and largest value of every feature in each node of its tree, in heap order."""
     edges = [e for i in range(width) for e in (F.min(F.col("x")[i]).alias(f"lo{i}"), F.max(F.col("x")[i]).alias(f"hi{i}"))]
-    return [
-        (r["leaf"], [r[f"lo{i}"] for i in range(width)], [r[f"hi{i}"] for i in range(width)])
-        for r in placed.groupBy("leaf").agg(*edges).collect()
-    ]
-
-
-def _other_leaves(placed: DataFrame, local: DataFrame, boxes: list, keep: int, out: str) -> DataFrame:
-    """Neighbours found in the leaves whose box lies within a vector's bound, its own leaf left out."""
-    ids = np.array([b[0] for b in boxes])
-    low, high = np.array([b[1] for b in boxes]), np.array([b[2] for b in boxes])
-    found = local.groupBy("vid").agg(
-        F.max("distance2").alias("furthest"), F.count(F.lit(1)).alias("n"))
+    boxes = {p: (np.full((2 ** (t.depth + 1) - 1, width), np.inf), np.full((2 ** (t.depth + 1) - 1, width), -np.inf)) for p, t in trees.items()}
+    for r in placed.where(F.col("part").isin(list(trees))).groupBy("part", "leaf").agg(*edges).collect():
+        low, high = boxes[r["part"]]
+        node = 2 ** trees[r["part"]].depth - 1 + r["leaf"]
+        low[node], high[node] = [r[f"lo{i}"] for i in range(width)], [r[f"hi{i}"] for i in range(width)]
+    for low, high in boxes.values():
+        for node in range(len(low) // 2 - 1, -1, -1):
+            low[node] = np.minimum(low[2 * node + 1], low[2 * node + 2])
+            high[node] = np.maximum(high[2 * node + 1], high[2 * node + 2])
+    return boxes
+
+
+def _reached(x: np.ndarray, bound: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
+    """Queries and the leaves whose box lies within their bound: down the tree, leaving out what an inner box excludes."""
+    inner = len(low) // 2
+    stack = [(0, np.arange(len(x)))]
+    while stack:
+        node, at = stack.pop()
+        outside = np.maximum(low[node] - x[at], 0) + np.maximum(x[at] - high[node], 0)
+        # Slightly lowered, so that rounding can never leave out a leaf.
+        at = at[(outside * outside).sum(axis=1) * (1 - 1e-9) <= bound[at]]
+        if not len(at):
+            continue
+        if node < inner:
+            stack += [(2 * node + 1, at), (2 * node + 2, at)]
+        else:
+            yield at, node - inner
+
+
+def _visits(asked: DataFrame, local: DataFrame, trees: dict, boxes: dict, keep: int, part_type: str) -> DataFrame:
+    """Each vector with every leaf of its group, but its own, that can hold a nearer neighbour."""
+    found = local.groupBy("vid").agg(F.max("distance2").alias("furthest"), F.count(F.lit(1)).alias("n"))
     bound = F.when(F.col("n") >= keep, F.col("furthest")).otherwise(F.lit(float("inf")))
-    asked = placed.where("rank = 1").select(F.col("key").alias("vid"), "x", "leaf").join(
-        found.select("vid", bound.alias("bound")), "vid")
+    bounded = asked.where(F.col("part").isin(list(trees))).join(found.select("vid", bound.alias("bound")), "vid").select(
+        "part", "vid", "x", "leaf", "bound")
 
     def reach(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            x = _matrix(pdf, "x").reshape(len(pdf), -1)
-            for start in range(0, len(pdf), 256):
-                part = slice(start, start + 256)
-                outside = np.maximum(low[None] - x[part, None], 0) + np.maximum(x[part, None] - high[None], 0)
-                # Slightly lowered, so that rounding can never leave out a leaf.
-                gap = (outside * outside).sum(axis=2) * (1 - 1e-9)
-                hit = (gap <= pdf["bound"].to_numpy()[part, None]) & (ids[None] != pdf["leaf"].to_numpy()[part, None])
-                q, b = np.nonzero(hit)
-                yield pd.DataFrame({"vid": pdf["vid"].to_numpy()[part][q], "x": pdf["x"].to_numpy()[part][q], "leaf": ids[b]})
-
-    visits = asked.mapInPandas(
-        reach, T.StructType([asked.schema["vid"], asked.schema["x"], T.StructField("leaf", T.LongType())]))
-
-    def in_leaf(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        if not len(queries) or not len(rows):
-            return pd.DataFrame({"vid": queries["vid"][:0], "neighbour": rows["key"][:0], "distance2": np.zeros(0)})
-        keys, vids = rows["key"].to_numpy(), queries["vid"].to_numpy()
-        parts = [_long(vids, q, near_rows, near, keys)
-                 for q, near_rows, near in _nearest_in(_matrix(queries, "x"), _matrix(rows, "x"), keys, keep)]
-        return pd.concat(parts)
+            for part, rows in pdf.groupby("part", sort=False):
+                x, own = _matrix(rows, "x").reshape(len(rows), -1), rows["leaf"].to_numpy()
+                for at, leaf in _reached(x, rows["bound"].to_numpy(), *boxes[part]):
+                    at = at[own[at] != leaf]
+                    if len(at):
+                        yield rows.iloc[at][["part", "vid", "x"]].assign(leaf=leaf)
 
-    # A popular leaf is asked by many vectors: they are dealt over several groups, each with a copy of the leaf's rows.
-    return _salted_cogroup(visits, placed.select("key", "x", "leaf"), in_leaf, out)
+    return bounded.mapInPandas(reach, T.StructType([bounded.schema[c] for c in ("part", "vid", "x", "leaf")]))
 
 
 def _salted_cogroup(visits: DataFrame, rows: DataFrame, fn, out: str) -> DataFrame:
-    visits = materialize(visits, "visits")
-    parts = visits.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / GROUP_ROWS).cast("int").alias("parts"))
-    asked = visits.join(parts, "leaf").withColumn("part", F.pmod(F.xxhash64("vid"), F.col("parts")).cast("int")).select(
-        "leaf", "part", "vid", "x")
-    copies = rows.join(parts, "leaf").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
-        "leaf", "part", "key", "x")
-    return asked.groupBy("leaf", "part").cogroup(copies.groupBy("leaf", "part")).applyInPandas(fn, out)
+    """Answer the questions to each leaf; those to a popular leaf are dealt over several groups, each with the leaf's rows."""
+    leaf = ["part", "leaf"]
+    rows = rows.toDF(*rows.columns)  # columns of its own, where both sides come from one table
+    shares = visits.groupBy(*leaf).agg(F.ceil(F.count(F.lit(1)) / GROUP_ROWS).cast("int").alias("shares"))
+    asked = visits.join(shares, leaf).withColumn("share", F.pmod(F.xxhash64("vid"), F.col("shares")).cast("int")).select(
+        *leaf, "share", "vid", "x")
+    copies = rows.join(shares, leaf).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).select(
+        *leaf, "share", "key", "x")
+    return asked.groupBy(*leaf, "share").cogroup(copies.groupBy(*leaf, "share")).applyInPandas(fn, out)

@@ -3,17 +3,15 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from math import ceil, floor
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tollgate import params as P
 from tollgate.functions.scalars import key_hash
+from tollgate.sources.artifacts import materialize
 
-PREFIX_STEP = 3  # hex digits looked at per pass: 4096 counts per class
-FINISH_ROWS = 20_000  # small enough to number in one task
-MAX_CLASSES = 100
+PREFIX_STEP = 3  # hex digits of a range of keys: 4096 ranges per class, and 4096 in the range that holds the cut
 
 
 class SplitError(ValueError):
@@ -22,118 +20,80 @@ class SplitError(ValueError):
 
 @dataclass(frozen=True)
 class SplitCut:
-    """Per class the last test row in hash order: rows up to (hash, key) are test rows."""
+    """Per class the last test row in hash order (null if it has none): rows up to it are test rows."""
 
     key: str
     label: str
     seed: int
-    cuts: dict  # label -> (hash, key), or None where the class has no test row
-
-    def is_test(self) -> Column:
-        h = key_hash(self.key, self.seed)
-        test = F.lit(False)
-        for label, cut in self.cuts.items():
-            if cut is not None:
-                last, key = cut
-                below = (h < last) | ((h == last) & (F.col(self.key) <= F.lit(key)))
-                test = F.when(F.col(self.label) == F.lit(label), below).otherwise(test)
-        return test
+    cuts: DataFrame  # label, last
 
     def assign(self, df: DataFrame) -> DataFrame:
-        """Add ``split``, null where the label is. This is a comparison per row: no join, no shuffle."""
-        part = F.when(self.is_test(), "test").otherwise("train")
-        return df.withColumn("split", F.when(F.col(self.label).isNotNull(), part))
-
-
-def class_test_sizes(counts: dict, test_size: float) -> dict:
-    """Test rows per class: the train part is shared out by largest remainder, the rest is test."""
-    total = sum(counts.values())
-    n_train = total - ceil(test_size * total)
-    exact = {c: n * n_train / total for c, n in counts.items()}
-    train = {c: floor(x) for c, x in exact.items()}
-    by_remainder = sorted(counts, key=lambda c: (train[c] - exact[c], c))
-    for c in by_remainder[: n_train - sum(train.values())]:
-        train[c] += 1
-    return {c: counts[c] - train[c] for c in counts}
+        """Add ``split``, null where the label is. The join's other side has one row per class."""
+        cuts = self.cuts.select(F.col("label").alias("__label"), F.col("last").alias("__last"))
+        part = F.when(key_hash(self.key, self.seed) <= F.col("__last"), "test").otherwise("train")
+        joined = df.join(cuts, F.col(self.label) == F.col("__label"), "left")
+        return joined.select(*df.columns, F.when(F.col(self.label).isNotNull(), part).alias("split"))
+
+
+def class_test_sizes(counts: DataFrame, test_size: float) -> DataFrame:
+    """Test rows per class from ``label, n``: the train part is shared out by largest remainder, the rest is test."""
+    every = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    total = F.sum("n").over(every)
+    shared = counts.select("label", "n", total.alias("total")).withColumn(
+        "n_train", F.col("total") - F.ceil(F.lit(test_size) * F.col("total")))
+    exact = F.col("n") * F.col("n_train") / F.col("total")
+    shared = shared.withColumn("train", F.floor(exact)).withColumn("rest", exact - F.floor(exact))
+    place = F.row_number().over(Window.orderBy(F.desc("rest"), "label"))
+    more = (place <= F.col("n_train") - F.sum("train").over(every)).cast("int")
+    return shared.select("label", "n", (F.col("n") - F.col("train") - more).alias("size"))
 
 
 def fit_split(df: DataFrame, key: str, label: str = "label", test_size: float = 0.2, seed: int = P.SEED) -> SplitCut:
     """Find each class's cut in hash order.
 
-    The rank of a row among millions of its class is found by counting rows per hash prefix, three digits deeper per
-    pass, until the prefix that holds the cut has few rows. Every pass is one aggregate; a class of any size is spread
-    over all tasks. ``key`` is the row identity and must be unique.
+    The rank of a row among millions of its class is found by counting rows per hash prefix, twice, so that a range of a
+    16-millionth of the class is left to be sorted. Classes of any number and size stay in tables; a class of any size is
+    spread over all tasks. ``key`` is the row identity: a repeated key raises, whatever the size of the table.
     """
-    hashed = df.where(F.col(label).isNotNull()).select(
-        F.col(label).alias("label"), F.col(key).alias("key"), key_hash(key, seed).alias("h"))
-    first = _prefix_counts(hashed, PREFIX_STEP)
-    counts = {c: sum(n for _, n in found) for c, found in first.items()}
-    small = [c for c, n in counts.items() if n < 2]
+    hashed = df.where(F.col(label).isNotNull()).select(F.col(label).alias("label"), key_hash(key, seed).alias("h"))
+    hashed = materialize(hashed, "hashed")
+    if not hashed.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        raise SplitError(f"'{key}' is not unique")
+    ranges = materialize(_ranges(hashed, PREFIX_STEP), "ranges")
+    sizes = materialize(class_test_sizes(ranges.groupBy("label").agg(F.sum("n").alias("n")), test_size), "sizes")
+    small = [r["label"] for r in sizes.where("n < 2").orderBy("label").limit(10).collect()]
     if small:
-        raise SplitError(f"classes with fewer than 2 rows: {sorted(small)}")
-    sizes = class_test_sizes(counts, test_size)
-    return SplitCut(key, label, seed, _find_cuts(hashed, first, sizes, key))
-
-
-def _prefix_counts(hashed: DataFrame, depth: int) -> dict:
-    """Per class the rows per hash prefix, in order: at most 4096 numbers per class and pass reach the driver."""
-    counted = hashed.groupBy("label", F.substring("h", 1, depth).alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
-    limit = MAX_CLASSES * 16**PREFIX_STEP
-    rows = counted.limit(limit + 1).collect()
-    found: dict = {}
-    for row in sorted(rows, key=lambda r: r["prefix"]):
-        found.setdefault(row["label"], []).append((row["prefix"], row["n"]))
-    if len(rows) > limit or len(found) > MAX_CLASSES:
-        raise SplitError(f"more than {MAX_CLASSES} classes")
-    return found
-
-
-def _find_cuts(hashed: DataFrame, first: dict, sizes: dict, key: str) -> dict:
-    """Per class the (hash, key) of its row number ``sizes[class]`` in hash order; None for size 0."""
-    cuts: dict = {c: None for c in first}
-    # Per class: the prefix that holds the cut, the cut's rank within it, and the rows in it.
-    open_cuts = {c: ("", size, 0) for c, size in sizes.items() if size > 0}
-    found = first
-    while open_cuts:
-        for c, (_, rank, _) in open_cuts.items():
-            for prefix, n in found[c]:
-                if rank <= n:
-                    open_cuts[c] = (prefix, rank, n)
-                    break
-                rank -= n
-        if all(rows <= FINISH_ROWS for _, _, rows in open_cuts.values()):
-            break
-        depth = len(next(iter(open_cuts.values()))[0]) + PREFIX_STEP
-        if depth > 30:
-            raise SplitError(f"'{key}' is not unique: one value holds more than {FINISH_ROWS} rows")
-        found = _prefix_counts(hashed.where(_in_prefixes(open_cuts)), depth)
-    if open_cuts:
-        order = Window.partitionBy("label").orderBy("h", "key")
-        rank_of = F.lit(None).cast("int")
-        for c, (_, rank, _) in open_cuts.items():
-            rank_of = F.when(F.col("label") == F.lit(c), F.lit(rank)).otherwise(rank_of)
-        last = hashed.where(_in_prefixes(open_cuts)).withColumn("rn", F.row_number().over(order)).where(
-            F.col("rn") == rank_of)
-        for row in last.collect():
-            cuts[row["label"]] = (row["h"], row["key"])
-    return cuts
-
-
-def _in_prefixes(open_cuts: dict) -> Column:
-    inside = F.lit(False)
-    for c, (prefix, _, _) in open_cuts.items():
-        inside = inside | ((F.col("label") == F.lit(c)) & F.col("h").startswith(prefix))
-    return inside
-
-
-def fit_rank_cut(df: DataFrame, key: str, size: int, seed: object) -> Column:
-    """A condition that holds for exactly ``size`` rows of the table: the first in hash order."""
-    if size <= 0:
-        return F.lit(False)
-    hashed = df.select(F.lit(0).alias("label"), F.col(key).alias("key"), key_hash(key, seed).alias("h"))
-    last, last_key = _find_cuts(hashed, _prefix_counts(hashed, PREFIX_STEP), {0: size}, key)[0]
-    h = key_hash(key, seed)
-    return (h < last) | ((h == last) & (F.col(key) <= F.lit(last_key)))
+        raise SplitError(f"classes with fewer than 2 rows, the first of them: {small}")
+    return SplitCut(key, label, seed, materialize(_cuts(hashed, ranges, sizes.select("label", "size")), "cuts"))
+
+
+def _ranges(hashed: DataFrame, depth: int) -> DataFrame:
+    return hashed.groupBy("label", F.substring("h", 1, depth).alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _at(ranges: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Per class the range that holds row number ``size``, and that row's number within it."""
+    upto = F.sum("n").over(Window.partitionBy("label").orderBy("prefix"))
+    inside = ranges.join(sizes, "label").withColumn("before", upto - F.col("n"))
+    inside = inside.where((F.col("before") < F.col("size")) & (F.col("size") <= F.col("before") + F.col("n")))
+    return inside.select("label", "prefix", (F.col("size") - F.col("before")).alias("size"))
+
+
+def _cuts(hashed: DataFrame, ranges: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Per class the hash of its row number ``size`` in hash order; null for size 0."""
+    first = _at(ranges, sizes)
+    near = hashed.withColumn("prefix", F.substring("h", 1, PREFIX_STEP)).join(first, ["label", "prefix"]).drop("prefix")
+    second = _at(_ranges(near, 2 * PREFIX_STEP), first.select("label", "size"))
+    last = near.drop("size").withColumn("prefix", F.substring("h", 1, 2 * PREFIX_STEP)).join(second, ["label", "prefix"])
+    rank = F.row_number().over(Window.partitionBy("label").orderBy("h"))
+    found = last.withColumn("rank", rank).where(F.col("rank") == F.col("size")).select("label", F.col("h").alias("last"))
+    return sizes.select("label").join(found, "label", "left")
+
+
+def rank_cuts(df: DataFrame, key: str, sizes: DataFrame, seed: object, label: str = "label") -> DataFrame:
+    """``label, last``: per class the hash up to which exactly ``size`` of its rows lie, for sizes ``label, size``."""
+    hashed = df.select(F.col(label).alias("label"), key_hash(key, seed).alias("h"))
+    return _cuts(hashed, _ranges(hashed, PREFIX_STEP), sizes)
 
 
 def stratified_split(df: DataFrame, key: str, label: str = "label", test_size: float = 0.2, seed: int = P.SEED) -> DataFrame:

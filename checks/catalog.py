@@ -115,6 +115,12 @@ def training_report_rows(spark, folder):
     return tidy(store.materialize(rows, "report"))
 
 
+@query("in_flow_decision")
+def in_flow_decision(spark, folder):
+    """The decision inside a run: the train table's, the test table's and the metrics' checks together."""
+    return gates.overall_decision(training_report_rows(spark, folder))
+
+
 @query("registry_listing")
 def registry_listing(spark, folder):
     versions = registry.newest_first(reg.model_versions(spark, folder))
@@ -141,7 +147,21 @@ def _requests(spark, folder):
 
 @query("request_defaults")
 def request_defaults(spark, folder):
-    return tidy(req.parse_requests(_requests(spark, folder)).drop("ts"), None)
+    return tidy(req.valid_requests(req.parse_requests(_requests(spark, folder))).drop("ts"), None)
+
+
+BODIES = ["not json", '{"mean_radius":', '{"mean_radius": "abc"}', '{"mean_radius": "20.5"}', '{"mean_radius": null}', "[1]", None,
+          '{"mean_radius": 12.25, "age": 3}', "{}"]
+
+
+@query("request_validation")
+def request_validation(spark, folder):
+    """A body per event, most of them wrong in some way."""
+    body = F.element_at(F.array(*[F.lit(b) for b in BODIES]), (F.col("event_id") % len(BODIES) + 1).cast("int"))
+    parsed = req.parse_requests(req.read_events(spark, folder).select("event_id", body.alias("body")))
+    accepted = req.valid_requests(parsed).select("event_id", F.lit(None).cast("string").alias("problem"), "mean_radius", "worst_area")
+    refused = req.rejected_requests(parsed).withColumns({"mean_radius": F.lit(None).cast("double"), "worst_area": F.lit(None).cast("double")})
+    return accepted.unionByName(refused)
 
 
 def _order_scores(spark, folder):
@@ -678,6 +698,25 @@ def _promoted(spark, folder):
     return events.unionByName(added)
 
 
+@query("promotion_flow")
+def promotion_flow(spark, folder):
+    """Every version asks for production, once by the rules and once with force: the decisions, and what is appended."""
+    versions = _versions(spark, folder)
+    metrics = store.materialize(reg.version_metrics(spark, folder), "metrics")
+    events = store.materialize(reg.promotion_events(spark, folder, versions), "events")
+    # Every third number is asked for, of which a model's newest is forced; one number does not exist.
+    wanted = versions.where("number % 3 = 0").select("model", F.col("number").alias("version"), F.lit(None).cast("string").alias("from_stage"))
+    wanted = wanted.unionByName(versions.select("model", F.lit(1000).alias("version"), F.lit(None).cast("string").alias("from_stage")).distinct())
+    ts = F.lit("2024-06-01 00:00:00").cast("timestamp_ntz")
+    decided, _ = registry.promotion_flow(wanted, versions, metrics, events, "production", ts)
+    newest = wanted.where("version < 1000").groupBy("model", "from_stage").agg(F.max("version").alias("version"))
+    _, added = registry.promotion_flow(newest, versions, metrics, events, "production", ts, force=True)
+    shown = decided.select("model", F.coalesce("number", F.lit(1000)).alias("number"), F.lit("decision").alias("row"), F.col("decision").alias("what"),
+                           F.coalesce("gate", F.lit("none")).alias("gate"))
+    return shown.unionByName(added.select("model", "number", F.lit("entry").alias("row"),
+                                          F.concat_ws(" > ", "from_stage", "to_stage").alias("what"), F.col("seq").cast("string").alias("gate")))
+
+
 @query("current_stage")
 def current_stage(spark, folder):
     return tidy(registry.current_stage(_promoted(spark, folder)).drop("since"))
@@ -701,9 +740,9 @@ def stage_history(spark, folder):
 def last_actions(spark, folder):
     """The chains, with an import at the end of those that reached production."""
     events = store.materialize(reg.promotion_events(spark, folder), "events")
-    arrived = events.where("to_stage = 'production'").withColumns({"action": F.lit("imported"), "seq": F.col("seq") + 1})
-    kept = events.where("seq < 2")
-    return registry.last_actions(kept.unionByName(arrived))
+    arrived = events.where("to_stage = 'production'").join(registry.next_seq(events), ["model", "number"]).withColumns(
+        {"action": F.lit("imported"), "seq": F.col("next_seq")}).drop("next_seq")
+    return registry.last_actions(events.unionByName(arrived))
 
 
 @query("rollback_target")
@@ -764,13 +803,14 @@ def export_manifest(spark, folder):
 def import_record(spark, folder):
     run = F.when(F.col("number") % 3 != 0, F.concat(F.lit("import-"), F.col("model"), F.lit("-"), F.col("number").cast("string")))
     records = manifests.import_manifests(
-        _exported(spark, folder), P.PRODUCTION_WORKSPACE, "production", IMPORTED_AT, run)
+        _exported(spark, folder), P.PRODUCTION_WORKSPACE, "production", IMPORTED_AT, run,
+        F.sha1(F.concat("model", F.lit("/"), F.col("number").cast("string"))))
     last = F.element_at("promotion_chain", -1)
     return tidy(records.select(
         "model", F.col("source.model_version").alias("number"), "status", "source_workspace", "dest_stage", "has_scaler",
         F.size("promotion_chain").alias("entries"), last["action"].alias("last_action"),
         last["to_workspace"].alias("to_workspace"), last["import_run_url"].alias("import_run_url"),
-        F.col("source.training_run_url").alias("training_run_url"), "imported_at"))
+        F.col("source.training_run_url").alias("training_run_url"), "imported_at", "git_commit"))
 
 
 @query("back_links")
@@ -899,7 +939,11 @@ def prediction_log_sample(spark, folder):
 
 @query("stream_monitor")
 def stream_monitor(spark, folder):
-    scores = req.stream_events(spark, folder).select(
+    events, source = req.read_events(spark, folder), work_folder(spark, "events")
+    events.repartitionByRange(4, "ts").write.parquet(source)
+    # The stream has ended: a closing row lets its last windows be written.
+    events.limit(0).unionByName(monitor.closing_rows(events), allowMissingColumns=True).write.mode("append").parquet(source)
+    scores = req.stream_events(spark, source, "*.parquet").select(
         F.col("ts").cast("timestamp").alias("ts"), (F.col("value") > 50).cast("int").alias("prediction"),
         (F.col("value") / (F.col("value") + 50)).alias("probability"))
     output = work_folder(spark, "windows")

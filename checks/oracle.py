@@ -312,6 +312,9 @@ ORACLES["training_report_rows"] = sql("large_split test_metrics", QUALITY + f"""
 UNION ALL SELECT 'performance', metric, CASE WHEN metric IN ('accuracy', 'precision', 'recall') THEN 0.7e0 END, {r('value')},
   CASE WHEN metric NOT IN ('accuracy', 'precision', 'recall') THEN 'INFO' WHEN value >= 0.7 THEN 'PASS' ELSE 'FAIL' END
 FROM (UNPIVOT (SELECT accuracy, precision, recall, f1_score, roc_auc FROM test_metrics) ON COLUMNS(*) INTO NAME metric VALUE value)""")
+ORACLES["in_flow_decision"] = f"""
+SELECT count(*) AS checks, count(*) FILTER (WHERE result = 'FAIL') AS failed_checks,
+  CASE WHEN count(*) FILTER (WHERE result = 'FAIL') = 0 THEN 'PASSED' ELSE 'FAILED' END AS decision FROM ({ORACLES["training_report_rows"]})"""
 ORACLES["registry_listing"] = sql("versions", f"""
 SELECT model, number, stage, {stamp('created')} AS created, {stamp('updated')} AS updated
 FROM versions ORDER BY versions.updated DESC, model, number DESC LIMIT 5""")
@@ -323,6 +326,10 @@ WHERE flow = 'training' ORDER BY r.start_time DESC, run_id DESC LIMIT 1""")
 
 # --- Projections ------------------------------------------------------------------------------------------------------
 
+_area = next(v for k, v in REQUEST_DEFAULTS if k == "worst_area")
+ORACLES["request_validation"] = f"""
+SELECT event_id, CASE WHEN event_id % 9 IN (0, 1, 5, 6) THEN 'body is not a JSON object' WHEN event_id % 9 IN (2, 4) THEN 'not a number: mean_radius' END AS problem,
+  CASE event_id % 9 WHEN 3 THEN 20.5e0 WHEN 7 THEN 12.25e0 WHEN 8 THEN 14e0 END AS mean_radius, CASE WHEN event_id % 9 IN (3, 7, 8) THEN {_area}::DOUBLE END AS worst_area FROM events"""
 ORACLES["request_defaults"] = sql("requests", f"SELECT event_id, {', '.join(REQUEST_FIELDS)}, unknown_fields FROM requests")
 TIER = "CASE WHEN {p} > 0.7 THEN 'LOW' WHEN {p} > 0.4 THEN 'MEDIUM' ELSE 'HIGH' END"
 RISKS = """concat_ws('; ', CASE WHEN mean_radius > 15 THEN 'Large mean radius' END, CASE WHEN mean_concavity > 0.1e0 THEN 'High concavity' END,
@@ -364,9 +371,11 @@ SELECT n_rows, missing_cells, duplicate_rows, {r('missing_cells / (n_rows * 11e0
   CASE WHEN n_rows < 100 THEN 'min_rows' WHEN missing_cells / (n_rows * 11e0) > 0.1 THEN 'missing_fraction' END AS first_failure,
   n_rows >= 100 AND missing_cells / (n_rows * 11e0) <= 0.1 AS passed FROM dirty_measures""")
 _types = dict(zip(DIRTY, ["bigint", "bigint", "bigint", "int", "double", "double", "double", "double", "string", "string", "timestamp_ntz"]))
+_widths = {"int": 4, "date": 4, "float": 4}
 ORACLES["column_profile"] = sql("dirty", "\nUNION ALL ".join(
     f"SELECT '{c}' AS \"column\", '{_types[c]}' AS dtype, count(*) FILTER (WHERE {c} IS NULL{f' OR isnan({c})' if c in DIRTY[4:8] else ''}) AS missing_count, "
     f"{r(f'''count(*) FILTER (WHERE {c} IS NULL{f' OR isnan({c})' if c in DIRTY[4:8] else ''}) / count(*) * 100''')} AS missing_pct, "
+    f"CAST({'coalesce(sum(strlen(' + c + ')), 0)' if _types[c] == 'string' else f'count({c}) * {_widths.get(_types[c], 8)}'} AS BIGINT) AS n_bytes, "
     f"count(*) AS n_rows, 11 AS n_cols FROM dirty" for c in DIRTY))
 ORACLES["class_distribution"] = "SELECT toxic AS label, count(*) AS n FROM labels JOIN documents USING (doc_id) WHERE toxic IS NOT NULL GROUP BY toxic"
 ORACLES["resample_decision"] = sql("large rare", "\nUNION ALL ".join(f"""
@@ -554,6 +563,22 @@ SELECT *, number IS NOT NULL AS found FROM (SELECT w.model, w.version, w.from_st
 FROM (SELECT DISTINCT model, CAST(CASE WHEN {_ask} < '60' THEN 1 + length(model) % 30 END AS INTEGER) AS version,
         CASE WHEN {_ask} < '30' THEN 'staging' WHEN {_ask} BETWEEN '60' AND '80' THEN 'latest' WHEN {_ask} BETWEEN '80' AND 'b0' THEN 'production'
              WHEN {_ask} BETWEEN 'b0' AND 'd0' THEN 'staging' END AS from_stage FROM versions) w)""")
+part("asked", ("versions",), """
+  SELECT model, number FROM versions WHERE number % 3 = 0""")
+part("holders", ("versions",), "SELECT model, max(number) AS holder FROM versions WHERE stage = 'production' GROUP BY model")
+part("verdicts", ("asked", "metrics_wide", "holders"), """
+  SELECT a.model, a.number, h.holder,
+    CASE WHEN accuracy IS NULL OR precision IS NULL OR recall IS NULL THEN 'ERROR'
+         WHEN accuracy < 0.8 OR precision < 0.8 OR recall < 0.8 THEN 'FAIL' ELSE 'PASS' END AS gate
+  FROM asked a LEFT JOIN metrics_wide USING (model, number) LEFT JOIN holders h USING (model)""")
+part("forced", ("verdicts", "versions"), """
+  SELECT * FROM (SELECT * FROM verdicts QUALIFY number = max(number) OVER (PARTITION BY model)) WHERE gate = 'PASS'""")
+ORACLES["promotion_flow"] = sql("verdicts forced versions promotions", """
+SELECT model, number, 'decision' AS "row", CASE WHEN gate <> 'PASS' THEN 'refused' WHEN holder <> number THEN 'blocked' ELSE 'promoted' END AS what, gate
+FROM verdicts UNION ALL SELECT DISTINCT model, 1000, 'decision', 'not found', 'none' FROM versions
+UNION ALL SELECT v.model, v.number, 'entry', coalesce(v.stage, 'none') || ' > ' || CASE WHEN v.number = f.number THEN 'production' ELSE 'archived' END,
+  CAST((SELECT count(*) FROM promotions p WHERE p.model = v.model AND p.number = v.number) AS VARCHAR)
+FROM forced f JOIN versions v ON v.model = f.model AND (v.number = f.number OR v.number = f.holder)""")
 ORACLES["stage_occupancy"] = sql("versions", """
 SELECT model, number, 'staging' AS target, CASE WHEN holder <> number THEN holder END AS occupant,
   CASE WHEN holder <> number THEN 'blocked' ELSE 'free' END AS outcome
@@ -604,7 +629,8 @@ SELECT model, number, 'imported' AS status, 'enterprise-dev-staging' AS source_w
   (SELECT count(*) FROM promotions p WHERE p.model = v.model AND p.number = v.number) + 2 AS entries, 'imported' AS last_action,
   'enterprise-production' AS to_workspace,
   CASE WHEN number % 3 <> 0 THEN {run_link("('import-' || model || '-' || CAST(number AS VARCHAR))", 'enterprise-production')} END AS import_run_url,
-  {run_link('training_run_id')} AS training_run_url, '2024-06-01T12:00:00' AS imported_at FROM versions v""")
+  {run_link('training_run_id')} AS training_run_url, '2024-06-01T12:00:00' AS imported_at,
+  sha1(model || '/' || CAST(number AS VARCHAR)) AS git_commit FROM versions v""")
 _new = "md5('imported/' || version_id)"
 ORACLES["back_links"] = sql("versions", f"""
 SELECT model, number, 'enterprise-production' AS workspace, 'production' AS stage, {_new} AS model_version_id,
@@ -702,5 +728,4 @@ SELECT o_orderkey, model, prediction, {r('probability')} AS probability FROM sco
 ORACLES["stream_monitor"] = f"""
 SELECT {stamp('start')} AS window_start, {stamp("start + INTERVAL 1 HOUR")} AS window_end, count(*) AS n,
   {r('count(*) FILTER (WHERE value > 50) / count(*)')} AS positive_rate, {r('avg(value / (value + 50))')} AS mean_probability
-FROM (SELECT *, date_trunc('hour', ts) AS start FROM events)
-WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE GROUP BY start"""
+FROM (SELECT *, date_trunc('hour', ts) AS start FROM events) GROUP BY start"""

@@ -18,11 +18,23 @@ def model(spark, folder):
 
 
 def test_defaults_fixed_order_and_unknown_names(spark):
-    df = spark.createDataFrame([(1, '{"mean_radius": 20.5, "age": 72, "num_inpatient": 3}'), (2, "{}"), (3, '{"worst_area": null}')], "event_id long, body string")
+    df = spark.createDataFrame([(1, '{"mean_radius": 20.5, "age": 72, "num_inpatient": 3}'), (2, "{}"), (3, '{"worst_area": "881.5"}')], "event_id long, body string")
     rows = {r.event_id: r for r in req.parse_requests(df).collect()}
     assert rows[1].mean_radius == 20.5 and rows[1].mean_texture == 19.0 and list(rows[1].unknown_fields) == ["age", "num_inpatient"]
     assert [rows[2][n] for n in P.REQUEST_DEFAULTS] == list(P.REQUEST_DEFAULTS.values()) and len(P.REQUEST_DEFAULTS) == 30
-    assert rows[3].worst_area == 881.0
+    assert rows[3].worst_area == 881.5 and all(r.valid for r in rows.values())
+
+
+def test_invalid_requests_are_rejected_and_never_scored(spark, model):
+    bodies = ["not json", '{"mean_radius":', '{"mean_radius": "abc"}', '{"mean_radius": null}', "[1]", None, "7", '{"mean_radius": {"a": 1}}',
+              '{"mean_radius": 1, "mean_radius": 2}', '{"mean_radius": 3}']
+    df = spark.createDataFrame(list(enumerate(bodies)), "event_id long, body string")
+    parsed = req.parse_requests(df)
+    rows = {r.event_id: r for r in parsed.collect()}
+    assert [rows[i].valid for i in range(10)] == [False] * 9 + [True]
+    assert all(rows[i].mean_radius is None and rows[i].problem for i in range(9))
+    assert {r.event_id for r in req.rejected_requests(parsed).collect()} == set(range(9))
+    assert [r.event_id for r in scoring.score_requests(df, model, 1).collect()] == [9]
 
 
 def test_stream_scores_equal_batch_scores_and_follow_a_promotion(spark, folder, model, tmp_path):

@@ -97,7 +97,8 @@ def validate_manifests(manifests: DataFrame, raw: str = "manifest") -> DataFrame
         *[c for c in manifests.columns if c != raw], problem.isNull().alias("valid"), problem.alias("problem"))
 
 
-def import_manifests(parsed: DataFrame, workspace: str, stage: str, imported_at: str, import_run: Column) -> DataFrame:
+def import_manifests(parsed: DataFrame, workspace: str, stage: str, imported_at: str, import_run: Column,
+                     git_commit: Column | None = None) -> DataFrame:
     """Import records: the chain with an 'imported' entry that links its run, and the source lineage as it was.
 
     ``parsed`` has one struct column ``parsed`` in the manifest schema.
@@ -124,6 +125,7 @@ def import_manifests(parsed: DataFrame, workspace: str, stage: str, imported_at:
         F.transform("chain", with_run).alias("promotion_chain"),
         F.col("parsed.export_timestamp").alias("imported_at"),
         F.col("parsed.artifacts.scaler").isNotNull().alias("has_scaler"),
+        (F.lit(None) if git_commit is None else git_commit).cast("string").alias("git_commit"),
     )
 
 

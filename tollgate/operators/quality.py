@@ -11,6 +11,9 @@ from tollgate import params as P
 from tollgate.functions.scalars import flag_sum, is_missing, ratio
 
 
+WIDTHS = {"boolean": 1, "byte": 1, "short": 2, "integer": 4, "float": 4, "date": 4}  # all other fixed types have 8 bytes
+
+
 class QualityError(ValueError):
     """A data-quality check did not pass."""
 
@@ -94,18 +97,28 @@ def require_quality(df: DataFrame, columns: Sequence[str], min_rows: int = P.MIN
 
 
 def column_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """One row per column from one pass: type, missing count and percentage, and the table's shape."""
+    """One row per column from one pass: type, missing count and percentage, bytes of its values, and the table's shape.
+
+    Bytes are those of the values that are there: a fixed width per type, the encoded length of text.
+    """
     columns = list(columns or df.columns)
-    counts = df.agg(F.count(F.lit(1)).alias("n_rows"), *[flag_sum(is_missing(df, c)).alias(c) for c in columns])
+
+    def size(name: str) -> Column:
+        kind = df.schema[name].dataType.typeName()
+        each = F.octet_length(name) if kind in ("string", "binary") else F.lit(WIDTHS.get(kind, 8))
+        return F.coalesce(F.sum(F.when(F.col(name).isNotNull(), each)), F.lit(0)).cast("bigint").alias(f"{name}__bytes")
+
+    counts = df.agg(F.count(F.lit(1)).alias("n_rows"), *[flag_sum(is_missing(df, c)).alias(c) for c in columns],
+                    *[size(c) for c in columns])
     cells = F.array(*[
         F.struct(F.lit(c).alias("column"), F.lit(df.schema[c].dataType.simpleString()).alias("dtype"),
-                 F.col(c).alias("missing_count"))
+                 F.col(c).alias("missing_count"), F.col(f"{c}__bytes").alias("n_bytes"))
         for c in columns
     ])
     return counts.select("n_rows", F.inline(cells)).select(
         "column", "dtype", "missing_count",
         F.when(F.col("n_rows") > 0, F.col("missing_count") / F.col("n_rows") * 100).alias("missing_pct"),
-        "n_rows", F.lit(len(columns)).alias("n_cols"))
+        "n_bytes", "n_rows", F.lit(len(columns)).alias("n_cols"))
 
 
 def report_rows(measures: DataFrame, dataset: Column, min_rows: Column, max_missing: float = P.MAX_MISSING_FRACTION) -> DataFrame:

@@ -12,7 +12,7 @@ from tollgate import params as P
 from tollgate.operators.balance import balance
 from tollgate.operators.evaluate import evaluate, metric_rows, performance_rows
 from tollgate.operators.features import Components, Scaler, fit_components, fit_scaler, use_components
-from tollgate.operators.gates import gate_row, require_gate
+from tollgate.operators.gates import gate_row, overall_decision, require_gate
 from tollgate.operators.models import fit_forest, fit_gaussian, forest_scores
 from tollgate.operators.quality import quality_measures, report_rows, require_quality, split_min_rows
 from tollgate.operators.scoring import score
@@ -30,6 +30,7 @@ class TrainedRun:
     scored_test: DataFrame
     metrics: DataFrame  # one row
     report: DataFrame | None
+    decision: DataFrame | None  # one row: whether no check of the report failed
     environment: str
 
 
@@ -75,11 +76,12 @@ def training_flow(df: DataFrame, key: str, features: Sequence[str], params: P.Tr
     model = fit_forest(train_x, key, used, label, params.n_estimators, params.max_depth, params.seed, params.forest_partitions)
     scored = materialize(forest_scores(model, test_x, [key, label]), "scored_test")
     metrics = evaluate(scored, label=label)
-    report = None
+    report = decision = None
     if params.enable_governance:
         require_gate(metrics, params.step_gate())
-        report = training_report(train, test_x, used, features, metrics, params)
-    return TrainedRun(model, scaler, components, scored, metrics, report, params.environment)
+        report = materialize(training_report(train, test_x, used, features, metrics, params), "report")
+        decision = overall_decision(report)
+    return TrainedRun(model, scaler, components, scored, metrics, report, decision, params.environment)
 
 
 def training_report(train: DataFrame, test: DataFrame, test_columns: Sequence[str], train_columns: Sequence[str],

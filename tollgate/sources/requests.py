@@ -18,7 +18,6 @@ EVENTS = T.StructType([
     T.StructField("props", T.StringType()),
 ])
 
-REQUEST = T.StructType([T.StructField(name, T.DoubleType()) for name in P.REQUEST_DEFAULTS])
 FIELDS = tuple(P.REQUEST_DEFAULTS)
 
 
@@ -54,11 +53,33 @@ def request_bodies(events: DataFrame) -> DataFrame:
 
 
 def parse_requests(requests: DataFrame, body: str = "body") -> DataFrame:
-    """The 30 fields in model order with defaults filled in, plus the names in the body that no field has."""
-    parsed = requests.withColumn("__parsed", F.from_json(F.col(body), REQUEST))
+    """The 30 fields in model order with defaults for those left out, the names in the body that no field has, and
+    whether the request is valid.
+
+    A body must be a JSON object, and a field that is there must be a number or text that reads as one: null, other types
+    and other text are a problem. The fields of an invalid request are null, so nothing can score it by mistake.
+    """
+    kept = [c for c in requests.columns if c != body]
+    read = requests.select(*kept, F.try_parse_json(body).alias("__parsed"), F.json_object_keys(F.col(body)).alias("__names"))
+    field = lambda name: F.try_variant_get("__parsed", f"$.{name}", "double")
+    wrong = [F.when(F.array_contains("__names", name) & field(name).isNull(), F.lit(name)) for name in FIELDS]
+    problem = F.when(F.col("__parsed").isNull() | F.col("__names").isNull(), F.lit("body is not a JSON object")).when(
+        F.size("__wrong") > 0, F.concat(F.lit("not a number: "), F.array_join("__wrong", ", ")))
+    checked = read.withColumn("__wrong", F.array_compact(F.array(*wrong))).withColumn("problem", problem)
     known = F.array(*[F.lit(name) for name in FIELDS])
-    return parsed.select(
-        *[c for c in requests.columns if c != body],
-        *[F.coalesce(F.col("__parsed")[name], F.lit(default)).alias(name) for name, default in P.REQUEST_DEFAULTS.items()],
-        F.array_except(F.json_object_keys(F.col(body)), known).alias("unknown_fields"),
+    value = lambda name, default: F.when(F.col("problem").isNull(), F.coalesce(field(name), F.lit(default)))
+    return checked.select(
+        *kept,
+        *[value(name, default).alias(name) for name, default in P.REQUEST_DEFAULTS.items()],
+        F.array_except("__names", known).alias("unknown_fields"),
+        F.col("problem").isNull().alias("valid"), "problem",
     )
+
+
+def valid_requests(parsed: DataFrame) -> DataFrame:
+    return parsed.where("valid").drop("valid", "problem")
+
+
+def rejected_requests(parsed: DataFrame) -> DataFrame:
+    """What cannot be scored: the request's own columns and the problem."""
+    return parsed.where("not valid").drop(*FIELDS, "unknown_fields", "valid")

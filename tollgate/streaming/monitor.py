@@ -25,9 +25,17 @@ def window_summary(scores: DataFrame, width: str = "1 hour", late: str = "10 min
     )
 
 
-def start_monitor(summary: DataFrame, output: str, checkpoint: str) -> StreamingQuery:
-    """Write every closed window once."""
+def start_monitor(summary: DataFrame, output: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Write every closed window once. A window is closed when the watermark has passed its end; the last ones of a stream
+    that has ended are written by :func:`closing_rows`."""
     return (
         summary.writeStream.format("parquet").outputMode("append").option("path", output)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
     )
+
+
+def closing_rows(scores: DataFrame, width: str = "1 hour", ts: str = "ts") -> DataFrame:
+    """Rows to append to a stream that has ended, so that its last windows close: one row without a score, a window and
+    a year after the last. Its own window stays open and is never written."""
+    return scores.agg(F.max(ts).alias(ts)).where(F.col(ts).isNotNull()).select(
+        (F.col(ts) + F.expr(f"INTERVAL {width}") + F.expr("INTERVAL 1 YEAR")).alias(ts))

@@ -9,27 +9,32 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tollgate.operators.models import GaussianModel
 from tollgate.operators.scoring import respond
-from tollgate.sources.requests import parse_requests
+from tollgate.sources.requests import parse_requests, rejected_requests, valid_requests
 
 
 def score_requests(requests: DataFrame, model: GaussianModel, version: object) -> DataFrame:
-    """Fill defaults, scale, score, and add tier and reasons. Works on a batch and on a stream."""
-    return respond(model, parse_requests(requests), version)
+    """Fill defaults, scale, score, and add tier and reasons; invalid requests have no answer. Works on a batch and on a
+    stream."""
+    return respond(model, valid_requests(parse_requests(requests)), version)
 
 
 def start_scoring(requests: DataFrame, production: Callable[[], tuple[GaussianModel, object] | None], output: str,
-                  checkpoint: str) -> StreamingQuery:
+                  checkpoint: str, rejects: str | None = None, trigger: dict | None = None) -> StreamingQuery:
     """Score with the version that is in production when a batch starts; a promotion takes effect with the next batch.
 
-    Each batch goes to its own folder, so a batch that is run again after a failure replaces what it wrote before.
+    Each batch goes to its own folder, so a batch that is run again after a failure replaces what it wrote before. Invalid
+    requests go to ``rejects`` with their problem. The default trigger takes what is there and stops; a service gives
+    another, such as ``{"processingTime": "10 seconds"}``.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         served = production()
         if served is None:
             raise RuntimeError("no production version")
         score_requests(batch, *served).write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
+        if rejects:
+            rejected_requests(parse_requests(batch)).write.mode("overwrite").parquet(f"{rejects}/batch={batch_id}")
 
     return (
         requests.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
+        .trigger(**(trigger or {"availableNow": True})).start()
     )

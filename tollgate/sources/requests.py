@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +18,8 @@ EVENTS = T.StructType([
     T.StructField("props", T.StringType()),
 ])
 
+#: Read as text: numbers and numeric text look alike, and what is not a number can be told from what is missing.
+REQUEST = T.StructType([T.StructField(name, T.StringType()) for name in P.REQUEST_DEFAULTS])
 FIELDS = tuple(P.REQUEST_DEFAULTS)
 
 
@@ -60,14 +62,16 @@ def parse_requests(requests: DataFrame, body: str = "body") -> DataFrame:
     and other text are a problem. The fields of an invalid request are null, so nothing can score it by mistake.
     """
     kept = [c for c in requests.columns if c != body]
-    read = requests.select(*kept, F.try_parse_json(body).alias("__parsed"), F.json_object_keys(F.col(body)).alias("__names"))
-    field = lambda name: F.try_variant_get("__parsed", f"$.{name}", "double")
-    wrong = [F.when(F.array_contains("__names", name) & field(name).isNull(), F.lit(name)) for name in FIELDS]
-    problem = F.when(F.col("__parsed").isNull() | F.col("__names").isNull(), F.lit("body is not a JSON object")).when(
-        F.size("__wrong") > 0, F.concat(F.lit("not a number: "), F.array_join("__wrong", ", ")))
-    checked = read.withColumn("__wrong", F.array_compact(F.array(*wrong))).withColumn("problem", problem)
+    read = requests.select(*kept, F.from_json(F.col(body), REQUEST).alias("__parsed"), F.json_object_keys(F.col(body)).alias("__names"))
+    numbers = read.select(*kept, "__names", *[F.col("__parsed")[name].try_cast("double").alias(name) for name in FIELDS])
+    absent = F.array_compact(F.array(*[F.when(F.isnull(name), F.lit(name)) for name in FIELDS]))
+    wrong = numbers.withColumn("__wrong", F.array_intersect("__names", absent))
+    problem = F.when(F.col("__names").isNull(), F.lit("body is not a JSON object")).when(
+        F.size("__wrong") > 0, F.concat(F.lit("not a number: "), F.array_join("__wrong", ", "))).when(
+        F.size(F.array_distinct("__names")) < F.size("__names"), F.lit("a name is given twice"))
+    checked = wrong.withColumn("problem", problem)
     known = F.array(*[F.lit(name) for name in FIELDS])
-    value = lambda name, default: F.when(F.col("problem").isNull(), F.coalesce(field(name), F.lit(default)))
+    value = lambda name, default: F.when(F.col("problem").isNull(), F.coalesce(name, F.lit(default)))
     return checked.select(
         *kept,
         *[value(name, default).alias(name) for name, default in P.REQUEST_DEFAULTS.items()],
@@ -76,10 +80,16 @@ def parse_requests(requests: DataFrame, body: str = "body") -> DataFrame:
     )
 
 
+def _rows_where(parsed: DataFrame, condition: Column, columns: list[str]) -> DataFrame:
+    """The rows for which a computed condition holds. A plain filter would be pushed below the parsing and repeat all of it;
+    a generator that makes one row or none stays where it is."""
+    return parsed.select(F.inline(F.when(condition, F.array(F.struct(*columns)))))
+
+
 def valid_requests(parsed: DataFrame) -> DataFrame:
-    return parsed.where("valid").drop("valid", "problem")
+    return _rows_where(parsed, F.col("valid"), [c for c in parsed.columns if c not in ("valid", "problem")])
 
 
 def rejected_requests(parsed: DataFrame) -> DataFrame:
     """What cannot be scored: the request's own columns and the problem."""
-    return parsed.where("not valid").drop(*FIELDS, "unknown_fields", "valid")
+    return _rows_where(parsed, ~F.col("valid"), [c for c in parsed.columns if c not in (*FIELDS, "unknown_fields", "valid")])

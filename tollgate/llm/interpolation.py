@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +28,9 @@ from tollgate.sources.artifacts import materialize
 
 RETAINED, DELETED, SCORED = 0, 1, 2
 #: Text bytes of a block, and of the blocks' text for each range of hashes.
-BLOCK_BYTES, RANGE_BYTES = 6 << 20, 12 << 20
+BLOCK_BYTES, RANGE_BYTES = 4 << 20, 8 << 20
+#: Bigram hashes have as many bits as the text's bytes need, and these.
+SAFE = 18
 #: Cells per doubling in the histogram that the weights are learned from.
 FINE = 4
 DOCUMENT, CELLS, TOTALS = 0, 1, 2
@@ -39,17 +42,18 @@ _COUNTED = "kind int, doc_id long, role int, first binary, second binary, n long
 
 
 def pack(x: np.ndarray) -> bytes:
-    """Integers as planes of bytes: the planes of small numbers are zeros, which the shuffle and Parquet compress away."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+    """Integers as compressed planes of bytes: the upper planes of small numbers are zeros."""
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes)
 
 
 def unpack(data: bytes, kind) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, len(planes) // np.dtype(kind).itemsize).T).view(kind).ravel()
 
 
-def _tokens(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Token and bigram hashes of all texts (each with an end), and the number of tokens of each text."""
+def _tokens(column, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Token hashes (64 bits) and bigram hashes (``bits``) of all texts, each with an end, and the tokens of each text."""
     data, offsets = text_bytes(column)
     parts = []
     for i, j in slices(offsets):
@@ -61,30 +65,32 @@ def _tokens(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         tokens[inner] = words
         before = np.append(_BEGIN, tokens[:-1])
         before[ends[:-1]] = _BEGIN
-        parts.append((tokens, mix(before * _FACTOR + tokens), counts + 1))
+        cut = np.uint64(64 - bits)
+        parts.append((tokens, mix(before * _FACTOR + tokens) >> cut, counts + 1))
     if not parts:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def _bounds(hashes: np.ndarray, ranges: int) -> np.ndarray:
-    edges = [(i << 64) // ranges for i in range(1, ranges)]
+def _bounds(hashes: np.ndarray, ranges: int, bits: int) -> np.ndarray:
+    edges = [(i << bits) // ranges for i in range(1, ranges)]
     return np.concatenate([[0], np.searchsorted(hashes, np.array(edges, np.uint64)), [len(hashes)]]).astype(np.int64)
 
 
-def _ask(ranges: int):
+def _ask(ranges: int, bits: int):
     def run(table: pa.Table) -> pa.Table:
-        tokens, pairs, counts = _tokens(table.column("text"))
+        tokens, pairs, counts = _tokens(table.column("text"), bits)
         block = table.column("block")[0].as_py()
         role = np.repeat(table.column("role").to_numpy(), counts)
         rows = []
         for pair, hashes in ((False, tokens), (True, pairs)):
             known, which = np.unique(hashes, return_inverse=True)
             numbers = [np.bincount(which[role == r], minlength=len(known)).astype(np.uint32) for r in (RETAINED, DELETED)]
-            bounds = _bounds(known, ranges)
+            width = bits if pair else 64
+            bounds = _bounds(known, ranges, width)
             for at in np.flatnonzero(np.diff(bounds)).tolist():
                 i, j = bounds[at], bounds[at + 1]
-                steps = np.diff(known[i:j], prepend=np.uint64((at << 64) // ranges))
+                steps = np.diff(known[i:j], prepend=np.uint64((at << width) // ranges))
                 rows.append((at, block, pair, pack(steps), *[pack(n[i:j]) for n in numbers]))
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
         kinds = [pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()]
@@ -93,16 +99,16 @@ def _ask(ranges: int):
     return run
 
 
-def _answer(ranges: int):
+def _answer(ranges: int, bits: int):
     def run(table: pa.Table) -> pa.Table:
         at = table.column("range")[0].as_py()
-        start = np.uint64((at << 64) // ranges)
         rows = table.to_pylist()
         out, n, v, k = [], 0, 0, 0
         for pair in (False, True):
             asked = [r for r in rows if r["pair"] == pair]
             if not asked:
                 continue
+            start = np.uint64((at << (bits if pair else 64)) // ranges)
             hashes = [np.cumsum(unpack(r["hashes"], np.uint64), dtype=np.uint64) + start for r in asked]
             known, which = np.unique(np.concatenate(hashes), return_inverse=True)
             retained = np.concatenate([unpack(r["retained"], np.uint32) for r in asked])
@@ -145,32 +151,34 @@ def _cells(kept: np.ndarray, context: np.ndarray, both: np.ndarray) -> np.ndarra
     return _places(context) << 32 | x << 16 | y
 
 
-def _count(docs: pa.Table, answers: pa.Table) -> pa.Table:
-    names, kinds = zip(*[(f.split()[0], {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[f.split()[1]])
-                         for f in _COUNTED.split(", ")], strict=True)
-    out: list[tuple] = []
-    rows = sorted(answers.to_pylist(), key=lambda r: r["range"])
-    out += [(TOTALS, None, None, None, None, r["n"], r["v"], r["k"]) for r in rows if r["block"] < 0]
-    if docs.num_rows:
-        tokens, pairs, counts = _tokens(docs.column("text"))
-        ends = np.cumsum(counts)
-        totals, keeps = [], []
-        for pair, hashes in ((False, tokens), (True, pairs)):
-            _, which = np.unique(hashes, return_inverse=True)
-            mine = [r for r in rows if r["block"] >= 0 and r["pair"] == pair]
-            totals.append(np.concatenate([unpack(r["total"], np.uint64) for r in mine])[which])
-            keeps.append(np.concatenate([unpack(r["retained"], np.uint64) for r in mine])[which])
-        ids, roles = docs.column("doc_id").to_pylist(), docs.column("role").to_numpy()
-        deleted = np.repeat(roles == DELETED, counts)
-        if deleted.any():
-            # Deleted texts alone, so that every context's count is there.
-            kept, both = keeps[0][deleted], keeps[1][deleted]
-            cells, number = np.unique(_cells(kept, _shift(kept, np.cumsum(counts[roles == DELETED])), both), return_counts=True)
-            out.append((CELLS, None, None, cells.tobytes(), number.tobytes(), None, None, None))
-        for i, (end, n) in enumerate(zip(ends.tolist(), counts.tolist(), strict=True)):
-            out.append((DOCUMENT, ids[i], int(roles[i]), pack(totals[0][end - n:end]), pack(totals[1][end - n:end]), None, None, None))
-    columns = list(zip(*out, strict=True)) if out else [[]] * len(names)
-    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=list(names))
+def _count(bits: int):
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        names, kinds = zip(*[(f.split()[0], {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[f.split()[1]])
+                             for f in _COUNTED.split(", ")], strict=True)
+        out: list[tuple] = []
+        rows = sorted(answers.to_pylist(), key=lambda r: r["range"])
+        out += [(TOTALS, None, None, None, None, r["n"], r["v"], r["k"]) for r in rows if r["block"] < 0]
+        if docs.num_rows:
+            tokens, pairs, counts = _tokens(docs.column("text"), bits)
+            ends = np.cumsum(counts)
+            totals, keeps = [], []
+            for pair, hashes in ((False, tokens), (True, pairs)):
+                _, which = np.unique(hashes, return_inverse=True)
+                mine = [r for r in rows if r["block"] >= 0 and r["pair"] == pair]
+                totals.append(np.concatenate([unpack(r["total"], np.uint64) for r in mine])[which])
+                keeps.append(np.concatenate([unpack(r["retained"], np.uint64) for r in mine])[which])
+            ids, roles = docs.column("doc_id").to_pylist(), docs.column("role").to_numpy()
+            deleted = np.repeat(roles == DELETED, counts)
+            if deleted.any():
+                # Deleted texts alone, so that every context's count is there.
+                kept, both = keeps[0][deleted], keeps[1][deleted]
+                cells, number = np.unique(_cells(kept, _shift(kept, np.cumsum(counts[roles == DELETED])), both), return_counts=True)
+                out.append((CELLS, None, None, cells.tobytes(), number.tobytes(), None, None, None))
+            for i, (end, n) in enumerate(zip(ends.tolist(), counts.tolist(), strict=True)):
+                out.append((DOCUMENT, ids[i], int(roles[i]), pack(totals[0][end - n:end]), pack(totals[1][end - n:end]), None, None, None))
+        columns = list(zip(*out, strict=True)) if out else [[]] * len(names)
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=list(names))
+    return run
 
 
 def _list_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,11 +252,13 @@ def interpolated_scores(docs: DataFrame, role: Column, id_col: str = "doc_id", t
                        role.cast("int").alias("role"))
     size = rows.agg(F.sum(F.octet_length("text") + 8)).first()[0] or 0
     blocks, ranges = size // BLOCK_BYTES + 1, size // RANGE_BYTES + 1
+    # Bits for which a bigram shares its hash with another one with a probability of 2 ** -SAFE at most.
+    bits = min(64, -(-(int(size).bit_length() - 1 + SAFE) // 8) * 8)
     block = F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(blocks)).cast("int").alias("block")
     blocked = rows.select(block, "doc_id", "text", "role")
-    asked = blocked.groupBy("block").applyInArrow(_ask(ranges), _REQUEST)
-    answers = asked.groupBy("range").applyInArrow(_answer(ranges), _ANSWER)
-    counted = blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_count, _COUNTED)
+    asked = blocked.groupBy("block").applyInArrow(_ask(ranges, bits), _REQUEST)
+    answers = asked.groupBy("range").applyInArrow(_answer(ranges, bits), _ANSWER)
+    counted = blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_count(bits), _COUNTED)
     counted = materialize(counted, "counted")
 
     n, v, k = (x or 0 for x in counted.where(F.col("kind") == TOTALS).agg(F.sum("n"), F.sum("v"), F.sum("k")).first())

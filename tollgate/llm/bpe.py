@@ -31,7 +31,7 @@ from tollgate.sources.artifacts import materialize
 #: Words of the lexicon: the most frequent ones, as many counts as fit. A word's bytes are at most WORD_BYTES.
 LEXICON_WORDS = 50_000
 WORD_BYTES = 48
-_SLICE = 6 << 20
+_SLICE, _TALLY = 3 << 20, 8 << 20
 
 
 def byte_characters() -> list[str]:
@@ -81,13 +81,18 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
         self.split = regex.compile(vocabulary.pattern)
+        # The same split for lower-case ASCII without white space or control characters.
+        self.ascii_split = regex.compile(vocabulary.pattern.replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9").encode())
         self.special = regex.compile("(" + "|".join(map(regex.escape, vocabulary.special)) + ")") if vocabulary.special else None
 
     def pieces(self, word: bytes) -> list[bytes | int]:
         """What is merged by itself, and ids of special tokens."""
-        if word.isalpha() and word.isascii():
-            return [word.lower()]
+        if word.isascii() and min(word, default=0) > 32 and b"<|" not in word:
+            return [word.lower()] if word.isalpha() else self.ascii_split.findall(word.lower())
         text, out = word.decode("utf-8", "replace"), []
+        # The lower case of a whole text is that of its characters, but for a sigma at its end.
+        if text.isalpha() and "\u03a3" not in text and unicodedata.is_normalized("NFC", text) and (low := text.lower()).isalpha():
+            return [low.encode()]
         for k, part in enumerate(self.special.split(text) if self.special else [text]):
             if k % 2:
                 out.append(self.v.special[part])
@@ -238,7 +243,7 @@ def _distinct(data: np.ndarray, offsets: np.ndarray) -> tuple[list[bytes], np.nd
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = text_bytes(batch.column(0))
-        for i, j in slices(offsets, _SLICE):
+        for i, j in slices(offsets, _TALLY):
             words, which, _ = _distinct(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
             counts = np.bincount(which, minlength=len(words))
             short = [k for k, w in enumerate(words) if len(w) <= WORD_BYTES]
@@ -281,8 +286,16 @@ def _send(spark: SparkSession, content: bytes) -> str:
     return target.getName()
 
 
-def encode(docs: DataFrame, path: str, lexicon: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The ``keep`` columns and ``ids``, the tokens of the whole text. Null and empty texts have none. Nothing is shuffled."""
+def _decode(tokens: list[str], bounds: np.ndarray, ids: np.ndarray) -> pa.Array:
+    return pa.array([" ".join([tokens[i] for i in ids[a:b].tolist()]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.string())
+
+
+def encode(docs: DataFrame, path: str, lexicon: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",),
+           decoded: bool = False) -> DataFrame:
+    """The ``keep`` columns and ``ids``, the tokens of the whole text. Null and empty texts have none. Nothing is shuffled.
+
+    With ``decoded`` the ids are decoded in the same pass, as :func:`decode` does for stored ids.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(load_vocabulary(path))  # the tokenizer's size, whatever the data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,12 +318,14 @@ def encode(docs: DataFrame, path: str, lexicon: str, text_col: str = "text", kee
                 ids = pool[np.repeat(start[which] - (ends - sizes), sizes) + np.arange(total)]
                 bounds = np.append(0, ends)[np.append(0, np.cumsum(per_text))]
                 part = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.ListArray.from_arrays(
-                    pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))], names=[*part.schema.names[:-1], "ids"])
+                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
+                more = [_decode(shared.value.tokens, bounds, ids)] if decoded else []
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists, *more],
+                                                 names=[*part.schema.names[:-1], "ids", *["decoded"] * decoded])
 
     inner = docs.select(*[F.col(c) for c in keep], F.col(text_col).alias("__text"))
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema.fields[:-1])
-    return inner.mapInArrow(run, f"{types}, ids array<int>")
+    return inner.mapInArrow(run, f"{types}, ids array<int>" + ", decoded string" * decoded)
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
@@ -324,9 +339,8 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
             bounds, values = lists.offsets.to_numpy(), lists.values.to_numpy()
             for at in range(0, batch.num_rows, 256):
                 n = min(256, batch.num_rows - at)
-                texts = [" ".join([tokens[i] for i in values[bounds[k]:bounds[k + 1]].tolist()]) for k in range(at, at + n)]
                 part = batch.slice(at, n)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, "decoded"])
+                yield pa.RecordBatch.from_arrays([*part.columns, _decode(tokens, bounds[at:at + n + 1], values)], names=[*part.schema.names, "decoded"])
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
     return encoded.mapInArrow(run, f"{types}, decoded string")

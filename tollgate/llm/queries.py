@@ -105,7 +105,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 @query
 def op5_bpe(spark, folder):
     docs, path = table(spark, folder, "documents").select("doc_id", "text"), tokenizer_path()
-    decoded = bpe.decode(bpe.encode(docs, path, bpe.build_lexicon(docs, path)), path)
+    decoded = bpe.encode(docs, path, bpe.build_lexicon(docs, path), decoded=True)
     return decoded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))

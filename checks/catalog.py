@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +17,7 @@ from tollgate.operators import policy, quality, registry, scoring, split
 from tollgate.plans import comparison, environments, training
 from tollgate.session import work_folder
 from tollgate.sources import artifacts as store
+from tollgate.sources import bundles
 from tollgate.sources import registry_tables as reg
 from tollgate.sources import requests as req
 from tollgate.sources import tables as src
@@ -376,6 +378,31 @@ def pca_components(spark, folder):
     return tidy(fitted.transform(scaled, "features", ["vec_id"]))
 
 
+@query("pca_checks")
+def pca_checks(spark, folder):
+    """What makes components components, against a covariance summed by plain aggregates over all rows."""
+    scaled, fitted = _components(spark, folder)
+    cells = scaled.select("vec_id", F.posexplode("features").alias("i", "x"))
+    pairs = cells.join(cells.toDF("vec_id", "j", "y"), "vec_id").groupBy("i", "j").agg(F.covar_samp("x", "y").alias("c"))
+    size = max(r["i"] for r in cells.agg(F.max("i").alias("i")).collect()) + 1
+    cov = np.zeros((size, size))
+    for r in pairs.collect():  # features x features numbers
+        cov[r["i"], r["j"]] = r["c"]
+    v, share = fitted.loadings, np.array(fitted.explained)
+    values = share * np.trace(cov)
+    scores = fitted.transform(scaled, "features", ["vec_id"])
+    spread = scores.agg(*[F.var_samp(f"PC{k + 1}").alias(f"v{k}") for k in range(len(values))]).first()
+    checks = {
+        "eigenvectors": np.abs(cov @ v - v * values).max() < 1e-8,
+        "orthonormal": np.abs(v.T @ v - np.eye(len(values))).max() < 1e-8,
+        "largest first": bool((np.diff(values) <= 1e-12).all()),
+        "largest loading is positive": bool((v[np.abs(v).argmax(axis=0), np.arange(len(values))] > 0).all()),
+        "no larger direction is left": np.linalg.eigvalsh(cov)[::-1][len(values) - 1] <= values[-1] + 1e-8,
+        "variance of scores": np.abs(np.array([spread[f"v{k}"] for k in range(len(values))]) - values).max() < 1e-8,
+    }
+    return spark.createDataFrame([(name, bool(ok)) for name, ok in checks.items()], "`check` string, ok boolean")
+
+
 @query("pca_variance")
 def pca_variance(spark, folder):
     """Explained share per component, measured on the projected rows."""
@@ -413,6 +440,24 @@ def toxic_gate(spark, folder):
         src.toxic_docs(spark, folder), "doc_id", list(src.DOCUMENT_FEATURES), P.TrainingParams()))
 
 
+@query("forest_checks")
+def forest_checks(spark, folder):
+    """What must hold for a forest's scores: the test part's keys, shares between 0 and 1, a class that follows the share, the
+    same scores again on other partitions, and an order of the rows that is far better than chance."""
+    table = _split_table(spark, folder)
+    train, test = store.materialize(table.where("split = 'train'"), "train"), table.where("split = 'test'")
+    fit = lambda df: models.forest_scores(models.fit_forest(df, KEY, FEATURES, n_estimators=10, max_depth=5), test, [KEY, "label"])
+    one, two = store.materialize(fit(train), "forest"), fit(train.repartition(3, "label"))
+    both = one.join(two.select(KEY, F.col("probability").alias("again")), KEY)
+    p = F.col("probability")
+    found = both.agg(
+        F.count(F.lit(1)).alias("n"), F.bool_and((p >= 0) & (p <= 1)).alias("shares"),
+        F.bool_and((F.col("prediction") == 1) == (p > 0.5)).alias("classes"), F.max(F.abs(p - F.col("again"))).alias("moved"))
+    area = evaluate.roc_auc(one)
+    return found.crossJoin(area).select(  # one row each
+        F.col("n"), "shares", "classes", (F.col("moved") == 0).alias("repeatable"), (F.col("roc_auc") > 0.8).alias("orders_rows"))
+
+
 @query("forest_train_score")
 def forest_train_score(spark, folder):
     table = _split_table(spark, folder)
@@ -468,6 +513,19 @@ def score_by_stage(spark, folder):
     return tidy(first.unionByName(second).drop("n_lines"))
 
 
+@query("score_stages")
+def score_stages(spark, folder):
+    """Two stored versions, scored by stage: staging, production, and a third model's newest for want of a stage."""
+    table, (first, second) = _two_models(spark, folder)
+    paths = [bundles.save_bundle(bundles.Bundle(tuple(FEATURES), m), spark, work_folder(spark, "bundle")) for m in (first, second)]
+    versions = spark.createDataFrame(
+        [("orders", 1, "staging", paths[0]), ("orders", 2, "production", paths[1]), ("fresh", 1, None, paths[0])],
+        "model string, number int, stage string, bundle string")
+    parts = [bundles.score_stage(table, versions, model, stage, [KEY], fall_back=model == "fresh")
+             for model, stage in (("orders", "staging"), ("orders", "production"), ("fresh", "production"))]
+    return tidy(parts[0].unionByName(parts[1]).unionByName(parts[2].withColumn("model_stage", F.lit("fallback"))))
+
+
 @query("model_round_trip")
 def model_round_trip(spark, folder):
     """Forest scores before and after saving and loading the model."""

@@ -443,6 +443,12 @@ ORACLES["coefficient_round_trip"] = sql("test_scores", f"SELECT o_orderkey, pred
 ORACLES["score_by_stage"] = sql("large nb_first nb_second", f"""
 SELECT o_orderkey, prediction, {r('probability')} AS probability, 'staging' AS model_stage, '1' AS model_version FROM nb_first
 UNION ALL SELECT o_orderkey, prediction, {r('probability')}, 'challenger', '2' FROM nb_second""")
+ORACLES["pca_checks"] = "SELECT unnest(['eigenvectors', 'orthonormal', 'largest first', 'largest loading is positive', 'no larger direction is left', 'variance of scores']) AS \"check\", true AS ok"
+ORACLES["forest_checks"] = sql("large_split", "SELECT count(*) AS n, true AS shares, true AS classes, true AS repeatable, true AS orders_rows FROM large_split WHERE split = 'test'")
+ORACLES["score_stages"] = sql("large nb_first nb_second", f"""
+SELECT o_orderkey, prediction, {r('probability')} AS probability, 'staging' AS model_stage, '1' AS model_version FROM nb_first
+UNION ALL SELECT o_orderkey, prediction, {r('probability')}, 'production', '2' FROM nb_second
+UNION ALL SELECT o_orderkey, prediction, {r('probability')}, 'fallback', '1' FROM nb_first""")
 ORACLES["model_round_trip"] = sql("large_split", "SELECT count(*) AS n, 0e0 AS max_probability_diff FROM large_split WHERE split = 'test'")
 part("labelled_requests", ("requests",), "SELECT *, CASE WHEN mean_radius + worst_radius + worst_texture < 55 THEN 1 ELSE 0 END AS label FROM requests")
 gaussian("nb_requests", "SELECT * FROM labelled_requests", REQUEST_FIELDS, "event_id", "SELECT * FROM labelled_requests",

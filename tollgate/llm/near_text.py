@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tollgate.llm.arrays import mix, runs_of, shingle_sets, slices, text_bytes
@@ -27,8 +27,8 @@ from tollgate.sources.artifacts import materialize
 VALUES, CHUNKS, WIDTH = 64, 16, 4
 #: The guaranteed distance: one error per chunk, and one more in each but the last would still leave a chunk with one.
 DISTANCE = 2 * CHUNKS - 1
-#: Rows compared at once; a larger group is dealt over pairs of tiles of this size.
-TILE = 1024
+#: Rows compared at once; a larger group is dealt over tiles of this size, or over all pairs of them.
+TILE = 512
 
 _FACTORS = mix(np.arange(1, VALUES + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -78,16 +78,15 @@ def _file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids)], names=["key", "rep"])
 
 
-def _within(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    values = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(-1, VALUES)
-    return table.column("rep").to_numpy(), table.column("part").to_numpy(), values
+def _signatures(table: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(-1, VALUES)
 
 
 def _tree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The edges of a smallest spanning tree over the signatures of each group, where they lie within the distance."""
     found: list[tuple[int, int]] = []
     for table in runs_of(batches, ["key", "low", "high"]):
-        ids, _, values = _within(table)
+        ids, values = table.column("rep").to_numpy(), _signatures(table)
         n = len(ids)
         near, by = np.full(n, VALUES + 1), np.zeros(n, np.int64)
         left = np.ones(n, bool)
@@ -98,7 +97,7 @@ def _tree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             closer = left & (away < near)
             near[closer], by[closer] = away[closer], at
             at = int(np.where(left, near, VALUES + 2).argmin())
-            if near[at] <= DISTANCE:
+            if near[at] <= DISTANCE and ids[at] != ids[by[at]]:
                 found.append((int(ids[at]), int(ids[by[at]])))
         if len(found) >= 10_000:
             yield _pairs(found)
@@ -106,18 +105,30 @@ def _tree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _pairs(found)
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All pairs of each group within the distance whose ends lie in different parts."""
-    for table in runs_of(batches, ["key", "low", "high"]):
-        ids, parts, values = _within(table)
-        if (parts == parts[0]).all():
-            continue
-        for i in range(len(ids) - 1):
-            other = np.flatnonzero(parts[i + 1:] != parts[i]) + i + 1
-            if len(other):
-                close = other[(values[other] != values[i]).sum(axis=1) <= DISTANCE]
-                if len(close):
-                    yield _pairs([(int(ids[i]), x) for x in ids[close].tolist()])
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _across(length: int, percent: int):
+    """The links of each group whose ends lie in different parts: within the distance, and confirmed on full sets."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in runs_of(batches, ["key", "low", "high"]):
+            parts = table.column("part").to_numpy()
+            if (parts == parts[0]).all():
+                continue
+            ids, values = table.column("rep").to_numpy(), _signatures(table)
+            data, offsets = text_bytes(table.column("text"))
+            sets = [s for i, j in slices(offsets) for s in shingle_sets(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i], length)]
+            size = np.array([len(s) for s in sets])
+            found = []
+            for i in range(len(ids) - 1):
+                other = np.flatnonzero((parts[i + 1:] != parts[i]) & (100 * np.minimum(size[i], size[i + 1:]) >= percent * np.maximum(size[i], size[i + 1:]))) + i + 1
+                if len(other):
+                    other = other[(values[other] != values[i]).sum(axis=1) <= DISTANCE]
+                    found += [(int(ids[i]), int(ids[k])) for k in other.tolist() if _linked(sets[i], sets[k], percent)]
+            yield _pairs(found)
+    return run
 
 
 def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -132,45 +143,60 @@ def _confirm(length: int, percent: int):
             a, b = batch.column(0), batch.column(1)
             for i, j in slices(left[1] + right[1]):
                 one, two = (shingle_sets(d[o[i]:o[j]], o[i:j + 1] - o[i], length) for d, o in (left, right))
-                good = []
-                for x, y in zip(one, two, strict=True):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    good.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
-                keep = pa.array(good, pa.bool_())
+                keep = pa.array([_linked(x, y, percent) for x, y in zip(one, two, strict=True)], pa.bool_())
                 yield pa.RecordBatch.from_arrays([a.slice(i, j - i).filter(keep), b.slice(i, j - i).filter(keep)], names=["a", "b"])
     return run
 
 
+def _texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null")
+    return texts.join(wanted, "id", "left_semi").dropDuplicates(["id", "text"])
+
+
 def confirm(pairs: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 5,
             percent: int = 75) -> DataFrame:
     """The pairs ``a, b`` whose full shingle sets have ``100 * intersection >= percent * union``."""
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null")
-    texts = texts.join(wanted, "id", "left_semi").dropDuplicates(["id", "text"])
+    texts = _texts(docs, wanted, id_col, text_col)
     one, two = texts.toDF("a", "text_a"), texts.toDF("b", "text_b")
     return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(
         _confirm(length, percent), "a long, b long").distinct()
 
 
-def _tiled(members: DataFrame) -> DataFrame:
-    """Groups as they are compared: one task's group each, or for a large one every pair of its tiles."""
-    tiles = F.ceil(F.col("size") / F.lit(TILE)).cast("int")
-    own = F.pmod(F.xxhash64("rep"), tiles).cast("int")
-    other = F.explode(F.when(tiles == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), tiles - 1)))
-    dealt = members.withColumn("own", own).withColumn("other", other)
-    dealt = dealt.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
-                         "rep", "part", "signature")
+def _sorted(dealt: DataFrame) -> DataFrame:
     return dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "rep")
 
 
+def _tiles(size: Column) -> Column:
+    return F.ceil(size / F.lit(TILE)).cast("int")
+
+
+def _once(members: DataFrame) -> DataFrame:
+    """Every member in one tile of its group, and the group's first class in each tile of a large group."""
+    tile = F.pmod(F.xxhash64("rep"), _tiles(F.col("size"))).cast("int")
+    first = members.where((F.col("size") > TILE) & (F.col("rep") == F.col("first"))).withColumn(
+        "low", F.explode(F.sequence(F.lit(0), _tiles(F.col("size")) - 1)))
+    return _sorted(members.withColumn("low", tile).unionByName(first).withColumn("high", F.col("low")))
+
+
+def _tiled(members: DataFrame) -> DataFrame:
+    """All pairs of members meet: a group in one task, or for a large one every pair of its tiles in one."""
+    tiles = _tiles(F.col("size"))
+    large = members.where(F.col("size") > TILE).withColumn("own", F.pmod(F.xxhash64("rep"), tiles).cast("int")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), tiles - 1)))
+    large = large.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).drop("own", "other")
+    small = members.where(F.col("size") <= TILE).withColumns({"low": F.lit(0), "high": F.lit(0)})
+    return _sorted(small.unionByName(large))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 5,
                     percent: int = 75) -> DataFrame:
     """One row per document: ``id, n_shingles, component_id, kept``.
 
     Documents with equal sets are one class from the start. Under each key the classes of a group are joined by a
-    smallest spanning tree, its edges are confirmed on full sets and united; then every pair under a common key and
-    within the signature distance that is not yet connected is confirmed too. A pair is skipped only if its ends are
-    already in one component, so the components are those of all links. Groups under different keys with the same
+    smallest spanning tree, its edges are confirmed on full sets and united. Where a group is then still in several parts,
+    every pair of its classes within the signature distance and in different parts is compared on full sets, so a pair
+    is skipped only if its ends are already in one component, and the components are those of all links. Groups under different keys with the same
     members are compared once, and large groups over many tasks.
 
     A document without words (null, empty or white space) has size 0 and links with nothing. A null id takes no part: its
@@ -184,13 +210,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.min("id").alias("rep"), F.max("id").alias("last"), F.first("signature").alias("signature")), "classes")
     filed = classes.select("rep", "signature").mapInArrow(_file, "key long, rep long")
     mark = F.xxhash64("rep")
-    groups = filed.groupBy("key").agg(F.count("*").alias("size"), F.sum(F.shiftright(mark, 32)).alias("upper"),
+    groups = filed.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("first"), F.sum(F.shiftright(mark, 32)).alias("upper"),
                                       F.sum(mark.bitwiseAND(0xFFFFFFFF)).alias("lower"))
-    groups = groups.where("size > 1").groupBy("size", "upper", "lower").agg(F.min("key").alias("key")).select("size", "key")
+    groups = groups.where("size > 1").groupBy("size", "upper", "lower").agg(F.min("key").alias("key"), F.min("first").alias("first")).select("size", "key", "first")
     members = filed.join(groups, "key").join(classes.select("rep", "signature"), "rep")
-    members = materialize(members.select("key", "size", "rep", "signature"), "members")
+    members = materialize(members.select("key", "size", "first", "rep", "signature"), "members")
 
-    tree = materialize(_tiled(members.withColumn("part", F.lit(0).cast("long"))).mapInArrow(_tree, "a long, b long").distinct(), "tree")
+    tree = materialize(_once(members).mapInArrow(_tree, "a long, b long").distinct(), "tree")
     links = materialize(confirm(tree, docs, id_col, text_col, length, percent), "confirmed")
     # An id with several texts is a node of several classes.
     rows = known.join(classes.select(*sets, "rep"), sets).select("id", "rep")
@@ -198,12 +224,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     same = rows.join(several, "id").select("a", F.col("rep").alias("b"))
     parts = components(links.unionByName(same))
 
-    part = F.coalesce("component", "rep").alias("part")
-    placed = members.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("key", "size", "rep", "signature", part)
-    mixed = placed.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x != y").select("key")
-    rest = _tiled(placed.join(mixed, "key")).mapInArrow(_across, "a long, b long").distinct()
-    rest = materialize(rest.join(tree, ["a", "b"], "left_anti"), "across")
-    more = materialize(confirm(rest, docs, id_col, text_col, length, percent), "confirmed")
+    # Keys whose classes are still in several parts chain their classes to families; a family is compared once.
+    placed = members.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select(
+        "key", "rep", F.coalesce("component", "rep").alias("part"))
+    mixed = placed.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.min("rep").alias("a")).where("x != y")
+    family = components(placed.join(mixed.select("key", "a"), "key").select("a", F.col("rep").alias("b")))
+    family = materialize(family.select(F.col("node").alias("rep"), F.col("component").alias("key")), "family")
+    counts = family.groupBy("key").agg(F.count("*").alias("size"))
+    texts = _texts(docs, family.select(F.col("rep").alias("id")), id_col, text_col).withColumnRenamed("id", "rep")
+    whole = family.join(counts, "key").join(placed.select("rep", "part").distinct(), "rep").join(
+        classes.select("rep", "signature"), "rep").join(texts, "rep")
+    whole = materialize(whole, "whole")
+    more = materialize(_tiled(whole).mapInArrow(_across(length, percent), "a long, b long").distinct(), "across")
     if not more.isEmpty():
         parts = components(links.unionByName(same).unionByName(more))
 

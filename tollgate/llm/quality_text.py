@@ -37,9 +37,9 @@ _PLACES = (mix(np.arange(900, 900 + max(LENGTHS), dtype=np.uint64)) >> np.uint64
 def _features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Kinds of features of all texts: bucket of each occurrence, whether it counts, and where each text begins.
 
-    Each text is preceded by one space, so no text is without an entry.
+    Each text is preceded by one space, so no text is without an entry, and one follows the last.
     """
-    stream = np.insert(data, offsets[:-1], 32)
+    stream = np.insert(data, offsets, 32)
     starts = offsets[:-1] + np.arange(len(offsets) - 1)
     space = _SPACE[stream]
     begin, end, text = find_words(stream, np.append(starts, len(stream)))
@@ -131,6 +131,11 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = EPOCHS,
     return QualityModel(vectors, weights, bias, vectors @ (weights[1] - weights[0]))
 
 
+def sample_labels(labels: DataFrame, id_col: str = "doc_id", rows: int = FIT_ROWS) -> DataFrame:
+    """At most ``rows`` rows of a label table, those that ``fit`` would take: join texts to these and not to all labels."""
+    return labels.orderBy(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), *labels.columns).limit(rows)
+
+
 def fit(labelled: DataFrame, label_col: str = "label", id_col: str = "doc_id", text_col: str = "text",
         rows: int = FIT_ROWS) -> QualityModel:
     """Learn from at most ``rows`` labelled texts, those with the smallest md5 of their id. Null labels are left out."""

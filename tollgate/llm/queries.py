@@ -119,9 +119,10 @@ def op8_language(spark, folder):
 
 
 def labelled_docs(spark: SparkSession, folder: str, docs: DataFrame) -> DataFrame:
-    """Documents with the quality labels of the rows that may be learned from."""
-    labels = table(spark, folder, "labels").where(id_fold(5) != 0).select("doc_id", F.col("quality").alias("label"))
-    return docs.select("doc_id", "text").join(labels, "doc_id")
+    """Documents with a quality label, of the rows that may be learned from; as many labels as are fitted at most."""
+    labels = table(spark, folder, "labels").where((id_fold(5) != 0) & F.col("quality").isin(0, 1))
+    sample = quality_text.sample_labels(labels.select("doc_id", F.col("quality").alias("label")))
+    return docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
 
 
 @query

@@ -120,3 +120,15 @@ def test_stages_resolve_to_bundles(spark):
             bundles.resolve(versions, model, "production")
     row = bundles.new_version(versions, "m", "three", "local", F.lit("2024-01-01").cast("timestamp"), "run").first()
     assert (row.number, row.stage, row.bundle) == (3, None, "three")
+
+
+def test_a_runs_cut_points_go_with_it(spark):
+    import os
+
+    from tollgate.session import run_folder
+    from tollgate.sources.artifacts import materialize
+
+    with run_folder(spark) as path:
+        kept = materialize(spark.range(10), "numbers").count()
+        assert kept == 10 and len(os.listdir(path.removeprefix("file:"))) == 1
+    assert not os.path.exists(path.removeprefix("file:"))

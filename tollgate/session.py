@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -27,15 +32,40 @@ def build_session(master: str | None = None, app: str = "tollgate", **conf: str)
     return builder.getOrCreate()
 
 
+_run: ContextVar[str | None] = ContextVar("run", default=None)
+
+
+@cache
+def _local_folder() -> str:
+    """One folder of this machine for this process, removed when it ends."""
+    folder = tempfile.mkdtemp(prefix="tollgate-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder for cut points, below the shared folder the cluster names in ``spark.checkpoint.dir``.
+    """A fresh folder for cut points, below the shared folder the cluster names in ``spark.checkpoint.dir``, or below the
+    folder of the run that :func:`run_folder` has opened.
 
     Only a local session without that setting may use this machine's temporary folder: on a cluster the executors
     would each write to their own disk and a lost machine would take its part of the table with it.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    shared = _run.get() or spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="tollgate-")
-    return os.path.join(shared, f"{name}-{uuid.uuid4().hex}")
+        shared = _local_folder()
+    return f"{shared}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def run_folder(spark: SparkSession, name: str = "run") -> Iterator[str]:
+    """Put the cut points of everything inside into one folder, and remove it at the end: write results within."""
+    path = work_folder(spark, name)
+    token = _run.set(path)
+    try:
+        yield path
+    finally:
+        _run.reset(token)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

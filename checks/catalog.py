@@ -982,7 +982,7 @@ def keep_last_runs(spark, folder):
 def approval_gate(spark, folder):
     """Approvals from the events: the user approves a version, in a role that goes with the user."""
     role = F.when(F.col("user_id") % 3 == 0, "data-scientist").when(F.col("user_id") % 3 == 1, "ml-engineer").otherwise("viewer")
-    approvals = src.table(spark, folder, "events").where("event_type = 'click'").select(
+    approvals = src.table(spark, folder, "events").select(
         F.concat(F.lit("model_"), (F.col("event_id") % 25).cast("string")).alias("model"),
         (1 + F.floor(F.col("event_id") / 25) % 27).cast("int").alias("number"),
         F.col("user_id").alias("approver"), role.alias("role"))

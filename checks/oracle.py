@@ -9,6 +9,7 @@ ORACLES: dict[str, str] = {}
 
 KEY = "o_orderkey"
 FEATURES = ["o_totalprice", "n_lines", "avg_discount", "avg_quantity", "avg_tax"]
+# The request record's fields and defaults.
 REQUEST_DEFAULTS = [
     ("mean_radius", 14.0), ("mean_texture", 19.0), ("mean_perimeter", 92.0), ("mean_area", 655.0),
     ("mean_smoothness", 0.096), ("mean_compactness", 0.104), ("mean_concavity", 0.088), ("mean_concave_points", 0.049),
@@ -728,7 +729,7 @@ ORACLES["approval_gate"] = """
 SELECT model, number, count(DISTINCT user_id) AS approvers, count(DISTINCT user_id) FILTER (WHERE user_id % 3 = 1) AS allowed_approvers,
   count(DISTINCT user_id) FILTER (WHERE user_id % 3 = 1) >= 2 AS approved
 FROM (SELECT 'model_' || CAST(event_id % 25 AS VARCHAR) AS model, CAST(1 + (event_id // 25) % 27 AS INTEGER) AS number, user_id
-      FROM events WHERE event_type = 'click') GROUP BY 1, 2"""
+      FROM events) GROUP BY 1, 2"""
 ORACLES["prediction_log_sample"] = sql("scored", f"""
 SELECT o_orderkey, model, prediction, {r('probability')} AS probability FROM scored WHERE substr({h(KEY, 'log')}, 1, 6) < '199999'""")
 ORACLES["stream_monitor"] = f"""

@@ -144,7 +144,7 @@ def fit(labelled: DataFrame, label_col: str = "label", id_col: str = "doc_id", t
         F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("by"))
     sample = sample.orderBy("by", "label", "text").limit(rows).select("label", "text")
     counted = sample.mapInArrow(_count, "label int, buckets binary, counts binary").collect()
-    return train([(r["label"], np.frombuffer(r["buckets"], np.uint16).astype(np.int64), np.frombuffer(r["counts"], np.float32))
+    return train([(r["label"], np.frombuffer(r["buckets"], np.uint16), np.frombuffer(r["counts"], np.float32))
                   for r in counted])
 
 

@@ -5,8 +5,8 @@ vector. A document's vector is the mean
 over all their occurrences in its whole text; a softmax over it gives the class. Vectors and weights are learned
 together by stochastic gradient descent in numpy, one document at a time.
 
-Fitting takes a bounded sample of labelled rows (``FIT_ROWS``, those with the smallest md5 of their id), the only thing
-that reaches the driver: at most ``BUCKETS`` counts per row. Scoring is a pass over the table without a shuffle. As both
+Fitting takes a bounded sample of labelled rows (``FIT_ROWS``, those with the smallest md5 of their id) in one task, and the
+driver gets the learned numbers. Scoring is a pass over the table without a shuffle. As both
 layers are linear up to the softmax, scoring needs one number per bucket, the difference of the two classes' products.
 """
 
@@ -136,6 +136,16 @@ def sample_labels(labels: DataFrame, id_col: str = "doc_id", rows: int = FIT_ROW
     return labels.orderBy(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), *labels.columns).limit(rows)
 
 
+def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Features and training in one task: the sample is bounded, and the driver gets the model alone."""
+    rows = [(x.column(0)[0].as_py(), np.frombuffer(x.column(1)[0].as_py(), np.uint16), np.frombuffer(x.column(2)[0].as_py(), np.float32))
+            for x in _count(batches)]
+    model = train(rows)
+    parts = [model.vectors, model.weights, np.asarray(model.bias, np.float64), model.products.astype(np.float32)]
+    yield pa.RecordBatch.from_arrays([pa.array([None if x is None else x.tobytes()], pa.binary()) for x in parts],
+                                     names=["vectors", "weights", "bias", "products"])
+
+
 def fit(labelled: DataFrame, label_col: str = "label", id_col: str = "doc_id", text_col: str = "text",
         rows: int = FIT_ROWS) -> QualityModel:
     """Learn from at most ``rows`` labelled texts, those with the smallest md5 of their id. Null labels are left out."""
@@ -143,9 +153,14 @@ def fit(labelled: DataFrame, label_col: str = "label", id_col: str = "doc_id", t
         F.col(label_col).cast("int").alias("label"), F.col(text_col).alias("text"),
         F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("by"))
     sample = sample.orderBy("by", "label", "text").limit(rows).select("label", "text")
-    counted = sample.mapInArrow(_count, "label int, buckets binary, counts binary").collect()
-    return train([(r["label"], np.frombuffer(r["buckets"], np.uint16), np.frombuffer(r["counts"], np.float32))
-                  for r in counted])
+    learned = sample.coalesce(1).mapInArrow(_learn, "vectors binary, weights binary, bias binary, products binary").first()
+    if learned is None:  # no partition, no task
+        return train([])
+    vectors, weights, bias, products = (None if x is None else bytes(x) for x in learned)
+    return QualityModel(
+        None if vectors is None else np.frombuffer(vectors, np.float32).reshape(BUCKETS, DIMENSIONS),
+        None if weights is None else np.frombuffer(weights, np.float32).reshape(2, DIMENSIONS),
+        np.frombuffer(bias, np.float64), np.frombuffer(products, np.float32))
 
 
 def score_slice(data: np.ndarray, offsets: np.ndarray, products: np.ndarray, bias: float) -> np.ndarray:

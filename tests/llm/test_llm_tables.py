@@ -159,6 +159,19 @@ def test_windows_grow_over_long_runs_of_copies(spark, monkeypatch):
     assert all(x.n_links == (119 if x.id < 500 else 0) for x in got)
 
 
+def test_a_run_of_near_copies_is_counted_by_tiles(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(near_vectors, "TILE", 64)
+    real = near_vectors.components
+    monkeypatch.setattr(near_vectors, "components", lambda links: seen.append(links.count()) or real(links))
+    r = np.random.default_rng(15)
+    base, n = r.normal(size=16), 1500
+    rows = [(i, (base + r.normal(size=16) * 0.02).tolist()) for i in range(n)] + [(5000 + i, r.normal(size=16).tolist()) for i in range(100)]
+    got = near_vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert all(x.n_links == (n - 1 if x.id < n else 0) for x in got)
+    assert seen[0] < 2 * near_vectors.PASSES * n  # pairs went with the square: 1,124,250
+
+
 def test_nearest_with_all_cells_is_exact(spark, vector_table):
     got = neighbours_index.nearest(vector_table, lambda i: i % 5 == 0, k=5, codes=4, share=1.0).collect()
     good = usable_rows()

@@ -2,8 +2,9 @@
 
 In every pass each vector gets a key, the concatenated signs of its projections on random directions, and all vectors are
 sorted by it. Neighbours in that order are compared: each block of ``BLOCK`` vectors within itself and with the next one.
-Links found in any pass are united. Where a block still links with the last one compared, the window goes on for that
-block, twice as far each time, until it does not: the window is bounded, the length of a run of copies is not.
+What hangs together there is noted as stars, fewer pairs than rows, and the stars of all passes are united. All links lie
+within the components found; they are counted there, tile by tile, each pair of classes once and no pair as a row. A run
+of copies of any length is a chain of blocks in the passes and a number of tiles in the count; no group grows with it.
 
 Two vectors at a cosine of 0.95 agree in a bit with probability 0.9. They meet in a pass if their common prefix leaves fewer
 vectors than a window, 7 bits at 50,000 vectors, so a pass finds such a pair with probability 0.47 and 16 passes miss
@@ -23,8 +24,8 @@ from tollgate.llm.components import components
 from tollgate.llm.vectors import dots, matrix, norms, usable
 from tollgate.sources.artifacts import materialize
 
-PASSES, BITS, BLOCK = 16, 48, 512
-_FOUND = "pass int, block int, a long, b long"
+PASSES, BITS, BLOCK, TILE = 16, 48, 512, 2048
+_FOUND = "a long, b long"
 
 
 def _project(passes: int, seed: int):
@@ -46,38 +47,89 @@ def dots_many(vectors: np.ndarray, axes: np.ndarray) -> np.ndarray:
     return vectors @ axes
 
 
-def _compare(threshold: float, far: int):
-    """Links of a block's own vectors (step 0) with each other and with those that lie some blocks further.
-
-    A row without ends says that the block links with the block ``far`` steps away.
-    """
+def _linked(vectors: np.ndarray, size: np.ndarray, rows: np.ndarray, others: np.ndarray, threshold: float) -> np.ndarray:
+    """Which of ``rows`` link with which of ``others``; what lies at the threshold is settled by exact products."""
+    cosines = (vectors[rows] / size[rows, None]) @ (vectors[others] / size[others, None]).T
+    linked = cosines >= threshold
+    i, j = np.nonzero(np.abs(cosines - threshold) < 1e-9)
+    if len(i):
+        x, y = rows[i], others[j]
+        linked[i, j] = dots(vectors[x], vectors[y]) >= threshold * (size[x] * size[y])
+    return linked
+
+
+def stars(linked: np.ndarray) -> np.ndarray:
+    """For each column the first column that it hangs together with; the rows are the first columns."""
+    m, k = linked.shape
+    root, open_ = np.arange(k), linked.sum(axis=1) > linked[:, :m].diagonal()
+    fresh = np.ones(k, bool)
+    for first in range(m):
+        rows = np.array([first])
+        while open_[rows].any():
+            rows = rows[open_[rows]]
+            open_[rows] = False
+            columns = np.flatnonzero(linked[rows].any(axis=0) & fresh)
+            root[columns], fresh[columns] = first, False
+            rows = np.union1d(columns[columns < m], np.flatnonzero(linked[:, columns].any(axis=1)))
+    return root
+
+
+def _join(threshold: float):
+    """What hangs together in a block and the next one, each vector paired with one of its group: fewer pairs than rows."""
     def run(table: pa.Table) -> pa.Table:
         steps, ids = table.column("step").to_numpy(), table.column("rep").to_numpy()
         vectors = matrix(table.column("vector"))
-        size = norms(vectors)
-        units = vectors / size[:, None]
-        own = np.flatnonzero(steps == 0)
-        within = bool(table.column("within")[0].as_py())
-        rest = np.flatnonzero(steps > 0)
-        ends: list[tuple[np.ndarray, np.ndarray]] = []
-        for others in ([own] if within else []) + [rest]:
-            for at in range(0, len(others), 2 * BLOCK):
-                part = others[at:at + 2 * BLOCK]
-                i, j = np.nonzero(units[own] @ units[part].T >= threshold - 1e-9)
-                i, j = own[i], part[j]
-                keep = dots(vectors[i], vectors[j]) >= threshold * (size[i] * size[j]) if len(i) else np.zeros(0, bool)
-                keep &= (i < j) | (others is rest)
-                ends.append((i[keep], j[keep]))
-        i, j = (np.concatenate([e[k] for e in ends]) if ends else np.zeros(0, np.int64) for k in (0, 1))
-        a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
-        goes_on = bool((steps[j] == far).any())
-        n = len(a) + goes_on
-        key = [pa.array([table.column(c)[0].as_py()] * n, pa.int32()) for c in ("pass", "block")]
-        return pa.table([*key, pa.array([*a.tolist(), *[None] * goes_on], pa.int64()), pa.array([*b.tolist(), *[None] * goes_on], pa.int64())],
-                        names=["pass", "block", "a", "b"])
+        own, rest = np.flatnonzero(steps == 0), np.flatnonzero(steps > 0)
+        order = np.concatenate([own, rest])
+        root = stars(_linked(vectors, norms(vectors), own, order, threshold))
+        moved = np.flatnonzero(root != np.arange(len(root)))
+        a, b = ids[order[root[moved]]], ids[order[moved]]
+        return pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+    return run
+
+
+def _count(threshold: float):
+    """Links between two tiles of a component, or within one: per vector the rows that it links with, no pairs."""
+    def run(table: pa.Table) -> pa.Table:
+        ids, tile, group, weight = (table.column(c).to_numpy() for c in ("rep", "tile", "component", "size"))
+        vectors = matrix(table.column("vector"))
+        size, n = norms(vectors), np.zeros(len(ids), np.int64)
+        low = table.column("low")[0].as_py()
+        same = low == table.column("high")[0].as_py()
+        others = np.arange(len(ids)) if same else np.flatnonzero(tile != low)
+        rows = others if same else np.flatnonzero(tile == low)
+        for at in range(0, len(rows), BLOCK):
+            part = rows[at:at + BLOCK]
+            linked = _linked(vectors, size, part, others, threshold) & (group[part][:, None] == group[others])
+            if same:
+                linked &= part[:, None] != others
+            else:
+                n[others] += weight[part] @ linked
+            n[part] += linked @ weight[others]
+        return pa.table([pa.array(ids), pa.array(n)], names=["a", "n"])
     return run
 
 
+def _count_links(classes: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+    """``a, linked``: for each class the rows of other classes of its component that it links with.
+
+    A component of more than ``TILE`` classes is dealt over tiles by hash, and each two tiles are one task's group; smaller
+    ones share groups of about as many rows. A pair of classes is compared once here, however many passes it met in.
+    """
+    linked = materialize(classes.join(labels.withColumnRenamed("node", "id"), "id").select("rep", "component", "size", "vector"), "linked")
+    large = linked.groupBy("component").agg(F.ceil(F.count("*") / F.lit(TILE)).cast("int").alias("tiles")).where("tiles > 1")
+    buckets = linked.count() // TILE + 1
+    # At most one row for each TILE rows.
+    dealt = linked.join(F.broadcast(large), "component", "left").withColumn(
+        "bucket", F.when(F.col("tiles").isNull(), F.pmod(F.xxhash64("component"), F.lit(buckets)))).withColumn(
+        "owner", F.when(F.col("tiles").isNotNull(), F.col("component"))).withColumn(
+        "tile", F.coalesce(F.pmod(F.xxhash64("rep", F.lit(7)), F.col("tiles")), F.lit(0)).cast("int"))
+    both = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.coalesce("tiles", F.lit(1)) - 1))).select(
+        "bucket", "owner", F.least("tile", "with").alias("low"), F.greatest("tile", "with").alias("high"), "tile", "rep", "component", "size", "vector")
+    got = both.groupBy("bucket", "owner", "low", "high").applyInArrow(_count(threshold), "a long, n long")
+    return got.groupBy("a").agg(F.sum("n").alias("linked"))
+
+
 def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding",
                  passes: int = PASSES, seed: int = 101) -> DataFrame:
     """One row per vector: ``id, n_links, component_id, kept``.
@@ -103,28 +155,11 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
     blocks = dealt.join(starts, ["pass", "part"]).select("pass", place, "rep")
     blocks = materialize(blocks.join(classes.select("rep", "vector"), "rep"), "blocks")
 
-    found, near, far, open_blocks = [], 1, 1, None
-    while True:
-        own = blocks.select("pass", "block", F.lit(0).alias("step"), "rep", "vector")
-        reach = blocks.withColumn("step", F.explode(F.sequence(F.lit(near), F.lit(far)))).select(
-            "pass", (F.col("block") - F.col("step")).alias("block"), "step", "rep", "vector").where("block >= 0")
-        both = own.unionByName(reach)
-        if open_blocks is not None:
-            both = both.join(open_blocks, ["pass", "block"])
-        got = materialize(both.withColumn("within", F.lit(near == 1)).groupBy("pass", "block").applyInArrow(_compare(threshold, far), _FOUND), "found")
-        found.append(got.where("a is not null").select("a", "b"))
-        open_blocks = got.where("a is null").select("pass", "block")
-        if open_blocks.isEmpty():
-            break
-        near, far = far + 1, 2 * far + 1
-    links = found[0]
-    for more in found[1:]:
-        links = links.unionByName(more)
-    links = materialize(links.distinct(), "links")
-
-    sizes = classes.select("rep", "id", "size")
-    ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    linked = ends.join(sizes.select(F.col("rep").alias("b"), "size"), "b").groupBy("a").agg(F.sum("size").alias("linked"))
+    own = blocks.select("pass", "block", F.lit(0).alias("step"), "rep", "vector")
+    after = blocks.where("block > 0").select("pass", (F.col("block") - 1).alias("block"), F.lit(1).alias("step"), "rep", "vector")
+    links = materialize(own.unionByName(after).groupBy("pass", "block").applyInArrow(_join(threshold), _FOUND).distinct(), "links")
+
+    sizes = classes.select("rep", "id")
     # Components of ids: a class stands for its smallest id, and an id with several vectors is a node of several classes.
     named = links.join(sizes.select(F.col("rep").alias("a"), F.col("id").alias("x")), "a").join(
         sizes.select(F.col("rep").alias("b"), F.col("id").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
@@ -132,8 +167,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
     members = materialize(members, "members")
     several = members.groupBy("id").agg(F.min("class_id").alias("a"), F.max("class_id").alias("z")).where("a != z").select("id", "a")
     same = members.join(several, "id").select("a", F.col("class_id").alias("b"))
-    labels = components(named.unionByName(same)).withColumnRenamed("node", "class_id")
-    done = members.join(linked.withColumnRenamed("a", "rep"), "rep", "left").join(labels, "class_id", "left").select(
+    labels = materialize(components(named.unionByName(same)), "labels")
+    linked = _count_links(classes, labels, threshold)
+    done = members.join(linked.withColumnRenamed("a", "rep"), "rep", "left").join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").select(
         "id", (F.col("size") - 1 + F.coalesce("linked", F.lit(0))).cast("long").alias("n_links"),
         F.coalesce("component", "class_id").alias("component_id"))
     # The rows that take no part, as often as they stand in the table.

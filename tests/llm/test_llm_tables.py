@@ -172,6 +172,22 @@ def test_a_run_of_near_copies_is_counted_by_tiles(spark, monkeypatch):
     assert seen[0] < 2 * near_vectors.PASSES * n  # pairs went with the square: 1,124,250
 
 
+def test_links_in_a_dense_group_are_found(spark, monkeypatch):
+    """A third of the rows lies near one direction, at cosines of about 0.88 with each other; pairs are planted among them."""
+    monkeypatch.setattr(near_vectors, "BLOCK", 32)
+    r = np.random.default_rng(21)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    hot = unit(np.sqrt(0.88) * unit(r.normal(size=64)) + np.sqrt(0.12) * unit(r.normal(size=(2000, 64))))
+    partners = near_vectors.plant(hot[:150], 0.952, 22)
+    table = np.concatenate([hot, partners, unit(r.normal(size=(4000, 64)))])
+    cosines = table @ table.T
+    np.fill_diagonal(cosines, 0)
+    want = (cosines >= 0.95).sum(axis=1)
+    got = near_vectors.near_vectors(spark.createDataFrame(list(enumerate(table.tolist())), "vec_id long, embedding array<double>")).collect()
+    found = np.array([x.n_links for x in sorted(got, key=lambda x: x.id)])
+    assert want.sum() >= 300 and (found <= want).all() and found.sum() >= 0.99 * want.sum()
+
+
 def test_nearest_with_all_cells_is_exact(spark, vector_table):
     got = neighbours_index.nearest(vector_table, lambda i: i % 5 == 0, k=5, codes=4, share=1.0).collect()
     good = usable_rows()

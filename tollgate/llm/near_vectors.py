@@ -1,18 +1,21 @@
 """Near-duplicate vectors by sorted projection passes.
 
-In every pass each vector gets a key, the concatenated signs of its projections on random directions, and all vectors are
-sorted by it. Neighbours in that order are compared: each block of ``BLOCK`` vectors within itself and with the next one.
+In every pass each vector gets a key, the sides of random directions on which it lies, and all vectors are sorted by it. A
+direction is cut at the median of a sample's vectors of the same cell so far, so a dense group far from the origin is
+halved as well as any. Each block of ``BLOCK`` vectors is compared within itself and with the next one.
 What hangs together there is noted as stars, fewer pairs than rows, and the stars of all passes are united. All links lie
 within the components found; they are counted there, tile by tile, each pair of classes once and no pair as a row. A run
 of copies of any length is a chain of blocks in the passes and a number of tiles in the count; no group grows with it.
 
-Two vectors at a cosine of 0.95 agree in a bit with probability 0.9. They meet in a pass if their common prefix leaves fewer
-vectors than a window, 7 bits at 50,000 vectors, so a pass finds such a pair with probability 0.47 and 16 passes miss
-three in 100,000. The number of passes must grow with the logarithm of the table to keep that.
+The number of passes is not fixed. ``PLANTED`` sampled vectors get a partner at just the threshold in a random direction, which
+takes part in the passes and joins nothing. Passes are doubled until the share ``RECALL`` of the partners has been linked
+with its vector or that one's component. A random direction tells all differences of one length apart alike, so the
+partners stand for the hardest links wherever the table has mass; links above the threshold are easier.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,27 +27,69 @@ from tollgate.llm.components import components
 from tollgate.llm.vectors import dots, matrix, norms, usable
 from tollgate.sources.artifacts import materialize
 
-PASSES, BITS, BLOCK, TILE = 16, 48, 512, 2048
-_FOUND = "a long, b long"
+PASSES, BLOCK, TILE = 16, 512, 2048
+#: Vectors sampled for the cuts, and numbers in them; sampled vectors that a cell of the sample holds at least.
+SAMPLE, SAMPLE_NUMBERS, LEAST = 16_384, 4_000_000, 8
+#: Planted partners, and the share of them that must be found before passes end.
+PLANTED, RECALL = 1000, 0.999
+_FOUND = "a long, b long, planted boolean"
 
 
-def _project(passes: int, seed: int):
+class Cuts:
+    """The key of one pass: random directions, each with a cut at the median of the sampled vectors of the same cell.
+
+    ``levels`` cuts halve the sample down to ``LEAST`` vectors; the ``more`` that follow have one cut per cell of those.
+    """
+
+    def __init__(self, units: np.ndarray, levels: int, more: int, seed: int):
+        self.axes = np.random.default_rng(seed).normal(size=(units.shape[1], levels + more + 1))
+        places, cell = units @ self.axes, np.zeros(len(units), np.int64)
+        self.cuts = []
+        for k in range(levels):
+            self.cuts.append(_medians(places[:, k], cell, 1 << k))
+            cell = 2 * cell + (places[:, k] >= self.cuts[-1][cell])
+        self.rest = np.stack([_medians(places[:, levels + k], cell, 1 << levels) for k in range(more)]) if more else np.zeros((0, 1 << levels))
+
+    def keys(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The cell of each vector, and its place on one more direction, which orders the vectors of a cell."""
+        places, cell = units @ self.axes, np.zeros(len(units), np.int64)
+        for k, cut in enumerate(self.cuts):
+            cell = 2 * cell + (places[:, k] >= cut[cell])
+        key = cell
+        for k, cut in enumerate(self.rest):
+            key = 2 * key + (places[:, len(self.cuts) + k] >= cut[cell])
+        return key, places[:, -1]
+
+
+def _medians(places: np.ndarray, cell: np.ndarray, cells: int) -> np.ndarray:
+    """The upper median of each cell; zero where a cell has none."""
+    order = np.lexsort((places, cell))
+    counts = np.bincount(cell, minlength=cells)
+    at = np.cumsum(counts) - counts + counts // 2
+    return np.where(counts > 0, np.append(places[order], 0.0)[at], 0.0)
+
+
+def _project(cuts: list[tuple[int, Cuts]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             vectors = matrix(batch.column(1))
-            for p in range(passes):
-                axes = np.random.default_rng(seed + p).normal(size=(vectors.shape[1], BITS))
-                signs = dots_many(vectors, axes) >= 0
-                keys = (signs.astype(np.int64) << np.arange(BITS - 1, -1, -1)).sum(axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array([p] * len(keys), pa.int32()), pa.array(keys), batch.column(0)],
-                                                 names=["pass", "key", "rep"])
+            units = vectors / norms(vectors)[:, None]
+            for p, cut in cuts:
+                key, place = cut.keys(units)
+                yield pa.RecordBatch.from_arrays([pa.array([p] * len(key), pa.int32()), pa.array(key), pa.array(place), batch.column(0)],
+                                                 names=["pass", "key", "place", "rep"])
     return run
 
 
-def dots_many(vectors: np.ndarray, axes: np.ndarray) -> np.ndarray:
-    return vectors @ axes
+def plant(units: np.ndarray, threshold: float, seed: int) -> np.ndarray:
+    """For each unit vector a partner at just the threshold, in a random direction."""
+    step = np.random.default_rng(seed).normal(size=units.shape)
+    step -= (step * units).sum(axis=1, keepdims=True) * units
+    long = np.sqrt((step ** 2).sum(axis=1, keepdims=True))
+    cosine = min(1.0, threshold + 1e-6)
+    return cosine * units + np.sqrt(1 - cosine ** 2) * step / np.where(long > 0, long, 1)
 
 
 def _linked(vectors: np.ndarray, size: np.ndarray, rows: np.ndarray, others: np.ndarray, threshold: float) -> np.ndarray:
@@ -75,16 +120,36 @@ def stars(linked: np.ndarray) -> np.ndarray:
 
 
 def _join(threshold: float):
-    """What hangs together in a block and the next one, each vector paired with one of its group: fewer pairs than rows."""
+    """What hangs together in a block and the next one, each vector paired with one of its group: fewer pairs than rows.
+
+    A planted vector (``of`` is the one that it was made from) joins nothing. It gives one row, ``planted``, if it links here:
+    with its maker if that is here, else with its nearest.
+    """
     def run(table: pa.Table) -> pa.Table:
         steps, ids = table.column("step").to_numpy(), table.column("rep").to_numpy()
+        of = table.column("of").fill_null(0).to_numpy()
+        made = ~table.column("of").is_null().to_numpy()
         vectors = matrix(table.column("vector"))
-        own, rest = np.flatnonzero(steps == 0), np.flatnonzero(steps > 0)
-        order = np.concatenate([own, rest])
-        root = stars(_linked(vectors, norms(vectors), own, order, threshold))
+        size = norms(vectors)
+        own, rest = np.flatnonzero((steps == 0) & ~made), np.flatnonzero((steps > 0) & ~made)
+        order, extra = np.concatenate([own, rest]), np.flatnonzero(made)
+        root = stars(_linked(vectors, size, own, order, threshold))
         moved = np.flatnonzero(root != np.arange(len(root)))
         a, b = ids[order[root[moved]]], ids[order[moved]]
-        return pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        pairs = [(np.minimum(a, b), np.maximum(a, b))]
+        met = np.zeros(0, np.int64)
+        if len(extra) and len(order):
+            linked = _linked(vectors, size, extra, order, threshold)
+            near = np.where(linked, (vectors[extra] / size[extra, None]) @ (vectors[order] / size[order, None]).T, -2)
+            near[linked & (ids[order] == of[extra][:, None])] = 2
+            # Vectors that both lie in the next block meet in that block's own group.
+            near[np.ix_(steps[extra] > 0, steps[order] > 0)] = -2
+            best = near.argmax(axis=1)
+            got = np.flatnonzero(near[np.arange(len(extra)), best] > -2)
+            met = ids[extra[got]]
+            pairs.append((met, ids[order[best[got]]]))
+        a, b = (np.concatenate([x[k] for x in pairs]) for k in (0, 1))
+        return pa.table([pa.array(a), pa.array(b), pa.array(np.arange(len(a)) >= len(a) - len(met))], names=["a", "b", "planted"])
     return run
 
 
@@ -130,6 +195,42 @@ def _count_links(classes: DataFrame, labels: DataFrame, threshold: float) -> Dat
     return got.groupBy("a").agg(F.sum("n").alias("linked"))
 
 
+def _pass_links(vectors: DataFrame, cuts: list[tuple[int, Cuts]], threshold: float) -> DataFrame:
+    """Stars of the blocks of some passes, and what planted vectors met."""
+    spark = vectors.sparkSession
+    keyed = vectors.select("rep", "vector").mapInArrow(_project(cuts), "pass int, key long, place double, rep long")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = keyed.repartitionByRange(parts, "pass", "key", "place", "rep").sortWithinPartitions("pass", "key", "place", "rep").select(
+        "pass", "rep", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("at"))
+    dealt = materialize(dealt, "sorted")
+    counts = dealt.groupBy("pass", "part").agg(F.min("at").alias("low"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("pass").orderBy("part")) - F.col("n")
+    # At most one row per partition and one more per pass.
+    starts = F.broadcast(counts.select("pass", "part", (before - F.col("low")).alias("move")))
+    place = ((F.col("at") + F.col("move")) / F.lit(BLOCK)).cast("int").alias("block")
+    blocks = dealt.join(starts, ["pass", "part"]).select("pass", place, "rep")
+    blocks = materialize(blocks.join(vectors, "rep"), "blocks")
+    own = blocks.select("pass", "block", F.lit(0).alias("step"), "rep", "of", "vector")
+    after = blocks.where("block > 0").select("pass", (F.col("block") - 1).alias("block"), F.lit(1).alias("step"), "rep", "of", "vector")
+    return materialize(own.unionByName(after).groupBy("pass", "block").applyInArrow(_join(threshold), _FOUND).distinct(), "links")
+
+
+def _recall(links: DataFrame, planted: DataFrame, ids: DataFrame, same: DataFrame) -> tuple[float, DataFrame]:
+    """The share of planted vectors that met their maker or its component, and the components of the real ones.
+
+    Components are of ids: a class stands for its smallest id, and an id with several vectors is a node of several classes.
+    """
+    named = links.where("not planted").join(ids.select(F.col("rep").alias("a"), F.col("id").alias("x")), "a").join(
+        ids.select(F.col("rep").alias("b"), F.col("id").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    labels = materialize(components(named.unionByName(same)), "labels")
+    met = links.where("planted").select(F.col("a").alias("rep"), "b").join(F.broadcast(planted.select("rep", "of")), "rep")
+    where = lambda rep, name: ids.select(F.col("rep").alias(rep), F.col("id").alias("node")).join(labels, "node", "left").select(
+        rep, F.coalesce("component", "node").alias(name))
+    found = met.join(where("b", "x"), "b").join(where("of", "y"), "of").where("x = y").select("rep").distinct().count()
+    n = planted.count()
+    return found / n if n else 1.0, labels
+
+
 def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding",
                  passes: int = PASSES, seed: int = 101) -> DataFrame:
     """One row per vector: ``id, n_links, component_id, kept``.
@@ -142,32 +243,35 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
     spark = rows.sparkSession
     classes = materialize(rows.groupBy("vector").agg(F.min("id").alias("id"), F.count("*").alias("size")).select(
         F.xxhash64("vector", "id").alias("rep"), "id", "size", "vector"), "classes")
-    keyed = classes.select("rep", "vector").mapInArrow(_project(passes, seed), "pass int, key long, rep long")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = keyed.repartitionByRange(parts, "pass", "key", "rep").sortWithinPartitions("pass", "key", "rep").select(
-        "pass", "rep", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("at"))
-    dealt = materialize(dealt, "sorted")
-    counts = dealt.groupBy("pass", "part").agg(F.min("at").alias("low"), F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("pass").orderBy("part")) - F.col("n")
-    # At most one row per partition and one more per pass.
-    starts = F.broadcast(counts.select("pass", "part", (before - F.col("low")).alias("move")))
-    place = ((F.col("at") + F.col("move")) / F.lit(BLOCK)).cast("int").alias("block")
-    blocks = dealt.join(starts, ["pass", "part"]).select("pass", place, "rep")
-    blocks = materialize(blocks.join(classes.select("rep", "vector"), "rep"), "blocks")
-
-    own = blocks.select("pass", "block", F.lit(0).alias("step"), "rep", "vector")
-    after = blocks.where("block > 0").select("pass", (F.col("block") - 1).alias("block"), F.lit(1).alias("step"), "rep", "vector")
-    links = materialize(own.unionByName(after).groupBy("pass", "block").applyInArrow(_join(threshold), _FOUND).distinct(), "links")
-
-    sizes = classes.select("rep", "id")
-    # Components of ids: a class stands for its smallest id, and an id with several vectors is a node of several classes.
-    named = links.join(sizes.select(F.col("rep").alias("a"), F.col("id").alias("x")), "a").join(
-        sizes.select(F.col("rep").alias("b"), F.col("id").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    ids = classes.select("rep", "id")
     members = rows.join(classes.select("vector", "rep", F.col("id").alias("class_id"), "size"), "vector").select("id", "rep", "class_id", "size")
     members = materialize(members, "members")
     several = members.groupBy("id").agg(F.min("class_id").alias("a"), F.max("class_id").alias("z")).where("a != z").select("id", "a")
-    same = members.join(several, "id").select("a", F.col("class_id").alias("b"))
-    labels = materialize(components(named.unionByName(same)), "labels")
+    same = materialize(members.join(several, "id").select("a", F.col("class_id").alias("b")), "same")
+
+    # The sample: at most SAMPLE vectors and SAMPLE_NUMBERS numbers on the driver.
+    n = classes.count()
+    width = classes.select(F.size("vector")).first()[0] if n else 1
+    some = classes.orderBy(F.xxhash64("rep", F.lit(seed)), "rep").limit(max(1, min(SAMPLE, SAMPLE_NUMBERS // width))).select("rep", "vector").toArrow()
+    reps = some.column("rep").to_numpy()[:PLANTED]
+    units = matrix(some.column("vector")) if n else np.zeros((0, 1))
+    units = units / norms(units)[:, None]
+    depth = max(0, math.ceil(math.log2(max(1, n) / BLOCK))) + 3
+    levels = min(depth, int(math.log2(max(1, len(units) / LEAST))))
+    partners = plant(units[:PLANTED], threshold, seed - 1)
+    planted = spark.createDataFrame([(-1 - i, int(r), v) for i, (r, v) in enumerate(zip(reps, partners.tolist(), strict=True))],
+                                    "rep long, of long, vector array<double>")
+    every_one = materialize(classes.select("rep", F.lit(None).cast("long").alias("of"), "vector").unionByName(planted), "planted")
+
+    links, done_passes, more = None, 0, passes
+    while True:
+        cuts = [(p, Cuts(units, levels, depth - levels, seed + p)) for p in range(done_passes, done_passes + more)]
+        got = _pass_links(every_one, cuts, threshold)
+        done_passes, more = done_passes + more, done_passes + more
+        links = got if links is None else materialize(links.unionByName(got).distinct(), "links")
+        recall, labels = _recall(links, planted, ids, same)
+        if recall >= RECALL:
+            break
     linked = _count_links(classes, labels, threshold)
     done = members.join(linked.withColumnRenamed("a", "rep"), "rep", "left").join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").select(
         "id", (F.col("size") - 1 + F.coalesce("linked", F.lit(0))).cast("long").alias("n_links"),

@@ -268,6 +268,17 @@ def test_language_of_odd_texts_and_learning(spark, odd, none):
     assert {x.lang_pred for x in language.identify(odd, untaught).collect()} == {"und"}
 
 
+def test_language_is_learned_behind_a_shared_header(spark):
+    r = random.Random(14)
+    say = {"aa": "kamo teli sura nabi".split(), "bb": "schrund pfelk wirtz".split()}
+    header = "".join(f"Clause {i} of the terms holds for every reader of page {i * i}.\n" for i in range(60)) + "1234567890 " * 300 + "\n"
+    body = lambda lang: " ".join(r.choice(say[lang]) for _ in range(60))
+    rows = [(i, header + body(lang), lang) for i, lang in enumerate(["aa", "bb"] * 30)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    probe = spark.createDataFrame([(i, body(lang), lang) for i, lang in enumerate(["aa", "bb"] * 10)], "doc_id long, text string, lang string")
+    assert all(x.lang == x.lang_pred for x in language.identify(probe, model, keep=("doc_id", "lang")).collect())
+
+
 def test_language_held_out_accuracy(spark, folder):
     got = queries.QUERIES["op8_language"](spark, folder).join(
         spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang"), "doc_id")

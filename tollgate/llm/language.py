@@ -1,7 +1,7 @@
 """Language of a text by cross-parsing: each language's suffix automaton cuts the text into longest matches.
 
-Per language a bounded sample of labelled texts (``FIT_TEXTS`` texts, ``FIT_LETTERS`` letters of each) is made one reference
-string and its suffix automaton. A text is read once per language: a phrase goes on while the automaton has a way, so it
+Per language a bounded sample of labelled texts (``FIT_TEXTS`` texts, ``FIT_LETTERS`` letters of each, drawn from all of the text) is
+made one reference string and its suffix automaton. A text is read once per language: a phrase goes on while the automaton has a way, so it
 is the longest match with any part of the reference, and the next phrase begins where it ends. A phrase costs the bits
 that name a place in the reference, so the count of phrases is normalised by the logarithm of its length, and the
 language with the smallest cost wins.
@@ -28,6 +28,8 @@ FIT_TEXTS = 120
 FIT_LETTERS = 250
 SEGMENT = 512
 UNKNOWN = "und"
+#: A passage: some 50 characters of a line and sentence, and the word that begins there.
+PASSAGE = r"[^\r\n.!?。！？]{1,50}[^\s.!?。！？]{0,20}"
 #: Letters with a symbol of their own; rarer ones share a symbol that no reference holds.
 ALPHABET = 250
 _SLICE = 6 << 20
@@ -124,14 +126,24 @@ def build(references: dict[str, list[str]], letters: int = FIT_LETTERS) -> Langu
 
 def fit(labelled: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text",
         texts: int = FIT_TEXTS, letters: int = FIT_LETTERS) -> LanguageModel:
-    """Learn from ``texts`` texts per language, those with the smallest md5 of their id. Rows without text or language are left out."""
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
+    """Learn from ``texts`` texts per language, those with the smallest md5 of their id. Rows without a letter or language are left out.
+
+    The letters of a text are drawn from all of it: passages (sentences and lines, cut where they are long) by the md5 of
+    the passage until there are ``letters``. A passage that several of a language's texts hold is drawn from one of them.
+    """
+    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"),
         F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("by"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("by", "text"))
-    # Enough characters for the letters that are taken, however many of them are not letters.
-    sample = rows.withColumn("place", place).where(F.col("place") <= texts).select(
-        "lang", "place", F.substring("text", 1, 8 * letters).alias("text"))
+    chosen = rows.withColumn("place", place).where(F.col("place") <= texts)
+    passages = chosen.select("lang", "place", F.explode(F.expr(f"regexp_extract_all(text, r'{PASSAGE}', 0)")).alias("passage")).select(
+        "lang", "place", F.trim("passage").alias("passage")).where(F.col("passage").rlike(r"\p{L}"))
+    once = passages.groupBy("lang", "passage").agg(F.min("place").alias("place")).withColumn("draw", F.md5("passage"))
+    size = F.length(F.regexp_replace("passage", r"[^\p{L}\p{M}]+", ""))
+    before = F.sum(size).over(Window.partitionBy("lang", "place").orderBy("draw", "passage").rowsBetween(Window.unboundedPreceding, -1))
+    drawn = once.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < letters)
+    sample = drawn.groupBy("lang", "place").agg(F.array_sort(F.collect_list(F.struct("draw", "passage"))).alias("drawn")).select(
+        "lang", "place", F.array_join("drawn.passage", "\n").alias("text"))
     references: dict[str, list[str]] = {}
     for row in sample.orderBy("lang", "place").collect():
         references.setdefault(row["lang"], []).append(row["text"])

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -340,6 +341,33 @@ def test_licence_sentences_and_rules(spark, none):
     assert all(cue.search(s) for s in licences.SENTENCES)
 
 
+def test_licences_in_wrapped_texts_and_usual_headers(spark):
+    def wrap(text, mark="", width=72):
+        return "\n".join(mark + line for line in textwrap.wrap(text, width))
+
+    mit = "\n\n".join(wrap(x) for x in (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
+        "(the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, "
+        "merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished "
+        "to do so, subject to the following conditions:",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."))
+    bsd = wrap("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+               "conditions are met:") + "\n\n" + wrap(
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.") + "\n" + wrap(
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer "
+        "in the documentation and/or other materials provided with the distribution.")
+    gpl = wrap("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as "
+               "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "// ")
+    apache = ("Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. "
+              "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law")
+    mpl = wrap("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", " * ")
+    texts = [mit, bsd, gpl, apache, wrap(apache, "# "), mpl, "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+             mit.replace("\n", "\r\n"), "Some words\n" + gpl, "This is free and unencumbered software released into the public\ndomain."]
+    got = licences.scan_licences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [r.licences for r in sorted(got, key=lambda r: r.doc_id)] == [
+        "MIT", "BSD-2-Clause", "GPL-3.0-or-later", "Apache-2.0", "Apache-2.0", "MPL-2.0", "CC-BY-4.0", "MIT", "GPL-3.0-or-later", "Unlicense"]
+
+
 def test_digests_are_those_of_the_tokens(spark, folder):
     path = queries.tokenizer_path()
     docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 20").select("doc_id", "text")

@@ -1,7 +1,8 @@
 """License scans by sentence rules: sentences to known identifiers, then sequences of identifiers to licences.
 
-A text is cut into sentences (at line ends and after ``.``, ``!`` or ``?`` before a space), each sentence is normalised (lower case,
-one spelling of "licence", punctuation dropped except dots inside numbers) and looked up. Unknown sentences are left out; the
+A text is cut into pieces (at line ends, and after ``.``, ``!``, ``?`` or ``;`` before a space), which are normalised (lower case, one
+spelling of "licence", punctuation and comment marks dropped except dots inside numbers). A sentence is known if it equals a
+run of whole pieces, so it may be wrapped over lines. What is between known sentences is left out; the
 identifiers that remain, in order, are matched against ordered rules. A rule takes all its runs of identifiers before
 the next rule looks, so a full licence text is not also read as a shorter licence that shares sentences with it.
 
@@ -11,6 +12,9 @@ known sentence and is not cut at all.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,27 +84,37 @@ RULES = [
 ]
 
 #: Every known sentence and every naming sentence holds one of these.
-CUES = r"(?i)licen[cs]e|rights|warrant|permission|redistribut|public domain|cc0|cc by|creative commons|under"
+CUES = r"(?i)licen[cs]e|rights|warrant|permission|redistribut|public domain|cc0|cc by|creative commons|under|unencumbered"
 NAMING = r"^(?:(?:this|the) [a-z]+ (?:is|are) )?(?:licensed|released|distributed|published|available|provided) under (?:the )?(?:terms of )?(?:the )?(.+)$"
 
 
-def sentences(text: Column) -> Column:
-    ended = F.regexp_replace(text, r"([.!?])[ \t]+", "$1\n")
-    return F.split(ended, r"[\r\n]+")
+def pieces(text: Column) -> Column:
+    """The normalised pieces of a text, one a line: cut at line ends, after ``.``, ``!``, ``?`` and ``;`` before a space, and before a link."""
+    ended = F.regexp_replace(F.regexp_replace(text, r"([.!?;])[ \t]+", "$1\n"), r"[ \t]+(?=<?https?://)", "\n")
+    low = F.translate(ended, "ABCDEFGHIJKLMNOPQRSTUVWXYZ\r", "abcdefghijklmnopqrstuvwxyz\n")
+    plain = F.regexp_replace(low, r"[^a-z0-9.\n]+", " ")
+    numbers = F.regexp_replace(F.regexp_replace(plain, r"\.([^0-9]|$)", "$1"), r"(^|[^0-9])\.", "$1")
+    return F.regexp_replace(F.regexp_replace(numbers, "licence", "license"), r"^[ \n]+|[ \n]+$|( )?\n[ \n]*", "\n")
+
 
+def _any(of: Iterable[str]) -> str:
+    """Any of some wordings, the longest first, with a line end for any of its spaces."""
+    return "|".join(re.escape(x).replace("\\ ", "[ \\n]") for x in sorted(of, key=lambda x: (-len(x), x)))
 
-def normalise(sentence: Column) -> Column:
-    low = F.translate(sentence, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    plain = F.regexp_replace(low, r"[^a-z0-9.]+", " ")
-    numbers = F.regexp_replace(F.regexp_replace(plain, r"\.([^0-9]|$)", "$1"), r"(^|[^0-9])\.", "$1")
-    return F.trim(F.regexp_replace(numbers, "licence", "license"))
+
+#: A naming sentence as in ``NAMING``, also with "a" or "an" before the name and the words 'the "License"' after it.
+_NAMED = (r"(?:(?:this|the) [a-z]+ (?:is|are) )?(?:licensed|released|distributed|published|available|provided) under "
+          r"(?:the )?(?:terms of )?(?:the |an? )?").replace(" ", r"[ \n]")
+_NAME = rf"(?:{_any(NAMES)})"
+#: A known or naming sentence: a run of whole pieces, so a sentence may be wrapped anywhere.
+KNOWN = rf"(?m)^(?:{_any(SENTENCES)}|{_NAMED}{_NAME}(?:[ \n]the[ \n]license)?)$"
 
 
 def identify(sentence: Column) -> Column:
-    """The identifier of a normalised sentence, null if it is not known."""
+    """The identifier of a sentence that ``KNOWN`` found, its line ends made spaces."""
     known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
     named = F.create_map(*[F.lit(x) for pair in NAMES.items() for x in pair])
-    name = F.try_element_at(named, F.regexp_extract(sentence, NAMING, 1))
+    name = F.try_element_at(named, F.regexp_extract(sentence, rf"^{_NAMED}({_NAME})(?: the license)?$", 1))
     return F.coalesce(F.try_element_at(known, sentence), F.concat(F.lit("named:"), name))
 
 
@@ -112,7 +126,7 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     without a known sentence have 0 and empty text. Rows are independent, so ties and repeats do not matter.
     """
     text = F.col(text_col)
-    found = F.when(text.rlike(CUES), F.filter(F.transform(sentences(text), lambda s: identify(normalise(s))), lambda x: x.isNotNull()))
+    found = F.when(text.rlike(CUES), F.transform(F.regexp_extract_all(pieces(text), F.lit(KNOWN), F.lit(0)), lambda s: identify(F.translate(s, "\n", " "))))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(found, F.array().cast("array<string>")).alias("ids"))
     marked = rows.withColumn("left", F.array_join(F.transform("ids", lambda x: F.concat(F.lit("<"), x, F.lit(">"))), ""))
     # Each rule in turn: note the licence if its run is there, and take the run out (a bar keeps the rest apart).
@@ -129,7 +143,10 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def oracle_sql() -> str:
-    """The same scan in SQL, from the same tables of sentences, names and rules."""
+    """The same scan in SQL, from the same tables of sentences, names and rules, for sentences that stand in one line.
+
+    It does not join wrapped lines and does not know the wider forms of naming sentences.
+    """
     quote = lambda x: "'" + x.replace("'", "''") + "'"
     pairs = lambda table: ", ".join(f"({quote(a)}, {quote(b)})" for a, b in table.items())
     steps = []

@@ -93,6 +93,25 @@ def hash_spans(data: np.ndarray, begin: np.ndarray, end: np.ndarray, fold: bool
     return mix(spans + (end - begin).astype(np.uint64))
 
 
+def spread(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places of spans that begin at ``begin`` and have ``sizes`` places, one span after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(begin - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+def distinct_spans(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first span of each distinct content, and which of them each span equals. Spans with equal hashes are compared byte
+    by byte, so that nothing rests on the hashes."""
+    _, first, which = np.unique(hash_spans(data, begin, end, fold=False), return_index=True, return_inverse=True)
+    sizes, apart = end - begin, begin[first][which] - begin
+    at = spread(begin, sizes)
+    if (sizes[first][which] != sizes).any() or (data[np.minimum(at + np.repeat(apart, sizes), len(data) - 1)] != data[at]).any():
+        whole, place = data.tobytes(), {}
+        which = np.array([place.setdefault(whole[a:b], len(place)) for a, b in zip(begin.tolist(), end.tolist(), strict=True)], np.int64)
+        first = np.unique(which, return_index=True)[1]
+    return first, which
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the lower-cased words of all texts in order, and the number of words in each text."""
     begin, end, text = find_words(data, offsets)

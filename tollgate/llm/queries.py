@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tollgate.llm import (
-    bpe, interpolation, language, licences, mixing, near_text, near_vectors, neighbours_index, quality_text, sharding)
+    bpe, byte_bpe, interpolation, language, licences, mixing, near_text, near_vectors, neighbours_index, quality_text, sharding,
+    whitening, word_runs)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -166,3 +167,48 @@ k AS (SELECT a, count(*) AS n FROM e GROUP BY a)
 SELECT t.vec_id, coalesce(k.n, 0)::BIGINT AS n_links, coalesce(m.component_id, t.vec_id) AS component_id,
        coalesce(m.component_id, t.vec_id) = t.vec_id AS kept
 FROM embeddings t LEFT JOIN k ON k.a = t.vec_id LEFT JOIN m ON m.node = t.vec_id"""
+
+
+@query
+def op11_whitening(spark, folder):
+    white = whitening.whiten(table(spark, folder, "embeddings").select("vec_id", "embedding"))
+    return white.withColumnRenamed("id", "vec_id")
+
+
+def made_periodic(text: Column, doc_id: Column) -> Column:
+    """The text, or for a tenth of the ids the text with its end replaced by repetitions of the words where that begins."""
+    h = F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")))
+    g = F.floor(h / 10)
+
+    def repeat(words: Column) -> Column:
+        n = F.size(words)
+        a = (g % n).cast("int")
+        p = (F.floor((n - a) / (g % 8 + 3)) + 1).cast("int")
+        return F.when(n > 0, F.array_join(F.transform(
+            F.sequence(F.lit(0), n - 1), lambda i: F.get(words, F.when(i < a, i).otherwise(a + (i - a) % p))), " "))
+
+    words = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    return F.when(h % 10 == 0, F.transform(F.array(words), repeat)[0]).otherwise(text)
+
+
+@query
+def op12_word_runs(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", made_periodic(F.col("text"), F.col("doc_id")).alias("text"))
+    found = word_runs.collapse_runs(docs)
+    # Runs come by start and period, so the first of those with the greatest exponent is the one wanted.
+    best = F.reduce("runs", F.lit(None).cast("struct<start: long, length: long, period: long>"), lambda b, r: F.when(
+        b.isNull() | (r["length"] * b["period"] > b["length"] * r["period"]), r).otherwise(b))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    found = found.withColumns({"best": best, "lines": F.array_join(lines, "")})
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"), F.sha2("lines", 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query
+def op13_byte_bpe(spark, folder):
+    encoded = byte_bpe.encode(table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), decoded=True)
+    return encoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))

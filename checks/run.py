@@ -8,8 +8,9 @@ import time
 
 import duckdb
 
+from checks import flows  # registers its queries
 from checks.catalog import QUERIES
-from checks.oracle import ORACLES
+from checks.oracle_flows import ORACLES
 from tollgate.session import build_session
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "

@@ -100,7 +100,8 @@ def _pool(n: tuple, mean: tuple, variance: tuple) -> tuple[float, float]:
 
 
 def fit_forest(df: DataFrame, key: str, features: Sequence[str], label: str = "label", n_estimators: int = 100,
-               max_depth: int = 10, seed: int = P.SEED, partitions: int = P.TrainingParams.forest_partitions) -> PipelineModel:
+               max_depth: int = 10, seed: int = P.SEED, partitions: int = P.TrainingParams.forest_partitions,
+               bootstrap: bool = True) -> PipelineModel:
     """Random forest with gini splits and the square root of the features per node.
 
     The same seed gives another forest when rows arrive in another order, so the rows are put into key order first,
@@ -109,7 +110,7 @@ def fit_forest(df: DataFrame, key: str, features: Sequence[str], label: str = "l
     ordered = df.select(key, *features, label).repartition(partitions, key_hash(key, seed)).sortWithinPartitions(key)
     forest = RandomForestClassifier(
         labelCol=label, featuresCol="__features", numTrees=n_estimators, maxDepth=max_depth, impurity="gini",
-        featureSubsetStrategy="sqrt", seed=seed)
+        featureSubsetStrategy="sqrt", bootstrap=bootstrap, seed=seed)
     return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="__features"), forest]).fit(ordered)
 
 

@@ -61,7 +61,11 @@ def respond(model: GaussianModel, requests: DataFrame, version: object, key: str
     """The answer to each request: id, prediction, rounded probability, tier, version and reasons."""
     fields = list(P.REQUEST_DEFAULTS)
     kept = [c for c in requests.columns if c not in fields and c != "unknown_fields"]
-    scored = score(model, requests, [*kept, *fields])
+    return answers(score(model, requests, [*kept, *fields]), kept, version, key)
+
+
+def answers(scored: DataFrame, kept: Sequence[str], version: object, key: str = "event_id") -> DataFrame:
+    """The answers from requests with their fields, prediction and probability, whichever model made these."""
     return scored.select(
         *kept,
         short_id(key).alias("patient_id"),

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tollgate.session import work_folder
+from tollgate.session import run_folder, work_folder
 
 CHAIN_ENTRY = T.StructType([
     T.StructField("action", T.StringType()),
@@ -64,6 +66,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settle(spark: SparkSession, build: Callable[[], DataFrame], name: str) -> DataFrame:
+    """Write the table that ``build`` makes, remove the cut points it made on its way, and read the table back."""
+    path = work_folder(spark, name)
+    with run_folder(spark, f"{name}-steps"):
+        df = build()
+        write_table(df, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def write_manifests(manifests: DataFrame, path: str) -> str:
     """One JSON text per row. Absent fields stay absent; the text is written as it is."""
     manifests.select("manifest").write.mode("overwrite").text(path)

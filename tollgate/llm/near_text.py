@@ -22,13 +22,15 @@ from pyspark.sql import functions as F
 
 from tollgate.llm.arrays import mix, runs_of, shingle_sets, slices, text_bytes
 from tollgate.llm.components import components
-from tollgate.sources.artifacts import materialize
+from tollgate.sources.artifacts import materialize, settle
 
 VALUES, CHUNKS, WIDTH = 64, 16, 4
 #: The guaranteed distance: one error per chunk, and one more in each but the last would still leave a chunk with one.
 DISTANCE = 2 * CHUNKS - 1
 #: Rows compared at once; a larger group is dealt over tiles of this size, or over all pairs of them.
 TILE = 512
+#: Ids that are sent to all tasks at most, to pick out their texts: some 40 MB.
+IDS_SENT = 1_000_000
 
 _FACTORS = mix(np.arange(1, VALUES + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -110,23 +112,22 @@ def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def _across(length: int, percent: int):
-    """The links of each group whose ends lie in different parts: within the distance, and confirmed on full sets."""
+def _across(percent: int):
+    """Pairs in each group whose ends lie in different parts, within the signature distance and near enough in size."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs_of(batches, ["key", "low", "high"]):
-            parts = table.column("part").to_numpy()
-            if (parts == parts[0]).all():
-                continue
-            ids, values = table.column("rep").to_numpy(), _signatures(table)
-            data, offsets = text_bytes(table.column("text"))
-            sets = [s for i, j in slices(offsets) for s in shingle_sets(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i], length)]
-            size = np.array([len(s) for s in sets])
+            asks = table.column("asks").to_numpy(zero_copy_only=False)
+            ids, parts, size = (table.column(c).to_numpy() for c in ("rep", "part", "n_shingles"))
+            values = _signatures(table)
+            other = np.flatnonzero(~asks)
             found = []
-            for i in range(len(ids) - 1):
-                other = np.flatnonzero((parts[i + 1:] != parts[i]) & (100 * np.minimum(size[i], size[i + 1:]) >= percent * np.maximum(size[i], size[i + 1:]))) + i + 1
-                if len(other):
-                    other = other[(values[other] != values[i]).sum(axis=1) <= DISTANCE]
-                    found += [(int(ids[i]), int(ids[k])) for k in other.tolist() if _linked(sets[i], sets[k], percent)]
+            for i in np.flatnonzero(asks).tolist():
+                near = other[(parts[other] != parts[i]) & (100 * np.minimum(size[i], size[other]) >= percent * np.maximum(size[i], size[other]))]
+                near = near[(values[near] != values[i]).sum(axis=1) <= DISTANCE]
+                found += [(int(ids[i]), int(ids[k])) for k in near.tolist()]
+                if len(found) >= 10_000:
+                    yield _pairs(found)
+                    found = []
             yield _pairs(found)
     return run
 
@@ -149,7 +150,9 @@ def _confirm(length: int, percent: int):
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The distinct texts of the wanted ids. Up to ``IDS_SENT`` ids go to the texts; beyond it both are shuffled."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null")
+    wanted = F.broadcast(wanted) if wanted.count() <= IDS_SENT else wanted
     return texts.join(wanted, "id", "left_semi").dropDuplicates(["id", "text"])
 
 
@@ -157,6 +160,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col:
             percent: int = 75) -> DataFrame:
     """The pairs ``a, b`` whose full shingle sets have ``100 * intersection >= percent * union``."""
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    wanted = materialize(wanted, "wanted")
     texts = _texts(docs, wanted, id_col, text_col)
     one, two = texts.toDF("a", "text_a"), texts.toDF("b", "text_b")
     return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(
@@ -179,14 +183,20 @@ def _once(members: DataFrame) -> DataFrame:
     return _sorted(members.withColumn("low", tile).unionByName(first).withColumn("high", F.col("low")))
 
 
-def _tiled(members: DataFrame) -> DataFrame:
-    """All pairs of members meet: a group in one task, or for a large one every pair of its tiles in one."""
-    tiles = _tiles(F.col("size"))
-    large = members.where(F.col("size") > TILE).withColumn("own", F.pmod(F.xxhash64("rep"), tiles).cast("int")).withColumn(
-        "other", F.explode(F.sequence(F.lit(0), tiles - 1)))
-    large = large.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).drop("own", "other")
-    small = members.where(F.col("size") <= TILE).withColumns({"low": F.lit(0), "high": F.lit(0)})
-    return _sorted(small.unionByName(large))
+def _mixed(placed: DataFrame) -> DataFrame:
+    """The members of groups in several parts, dealt so that each member outside its group's largest part meets all others:
+    a group in one task, or for a large one every tile of the former with every tile of all."""
+    counts = placed.groupBy("key", "part").agg(F.count("*").alias("n"))
+    groups = counts.groupBy("key").agg(F.sum("n").alias("all"), F.max("n").alias("most"), F.max_by("part", F.struct("n", "part")).alias("largest"))
+    groups = materialize(groups.where("all > most"), "mixed")
+    rows = placed.join(groups, "key")
+    mine, every = _tiles(F.col("all") - F.col("most")), _tiles(F.col("all"))
+    tile = F.xxhash64("rep")
+    asks = rows.where("part != largest").withColumns({
+        "asks": F.lit(True), "low": F.pmod(tile, mine).cast("int"), "high": F.explode(F.sequence(F.lit(0), every - 1))})
+    others = rows.withColumns({
+        "asks": F.lit(False), "low": F.explode(F.sequence(F.lit(0), mine - 1)), "high": F.pmod(tile, every).cast("int")})
+    return _sorted(asks.unionByName(others).drop("all", "most", "largest"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 5,
@@ -195,28 +205,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Documents with equal sets are one class from the start. Under each key the classes of a group are joined by a
     smallest spanning tree, its edges are confirmed on full sets and united. Where a group is then still in several parts,
-    every pair of its classes within the signature distance and in different parts is compared on full sets, so a pair
+    every pair of its classes within the signature distance and in different parts is confirmed too, so a pair
     is skipped only if its ends are already in one component, and the components are those of all links. Groups under different keys with the same
-    members are compared once, and large groups over many tasks.
+    members are compared once, and large groups over many tasks. A key is one of 64 that each class has, so a group that holds
+    a third of all classes is less than a hundredth of the rows that are dealt by key.
 
     A document without words (null, empty or white space) has size 0 and links with nothing. A null id takes no part: its
     component is null and it is not kept by that name. Rows that repeat an id are one document with several texts.
-    Ties do not matter. Other columns are not looked at.
+    Ties do not matter. Other columns are not looked at. Hashes of 64 bits stand for words and shingles: two of a billion different ones
+    are equal with odds of 1 to 37, and that changes one set by one element.
     """
+    return settle(docs.sparkSession, lambda: _near_duplicates(docs, id_col, text_col, length, percent), "near-documents")
+
+
+def candidates(classes: DataFrame) -> DataFrame:
+    """``key, size, first, rep, n_shingles, signature``: classes (rep, n_shingles, signature) by the keys they share with
+    others; of several groups with the same members one."""
+    filed = classes.select("rep", "signature").mapInArrow(_file, "key long, rep long")
+    groups = filed.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("first")).where("size > 1")
+    # Written, so that the join's sides are plain exchanges, whose larger partitions Spark can split.
+    filed = materialize(filed.join(materialize(groups, "groups"), "key"), "filed")
+    mark = F.xxhash64("rep")
+    marks = filed.groupBy("key", "size").agg(F.sum(F.shiftright(mark, 32)).alias("upper"), F.sum(mark.bitwiseAND(0xFFFFFFFF)).alias("lower"))
+    once = marks.groupBy("size", "upper", "lower").agg(F.min("key").alias("key")).select("key")
+    return filed.join(once, "key").join(classes.select("rep", "n_shingles", "signature"), "rep")
+
+
+def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, length: int, percent: int) -> DataFrame:
     signed = materialize(sign(docs, id_col, text_col, length), "signatures")
     sets = ["n_shingles", "set_a", "set_b"]
     known = signed.where("id is not null and n_shingles > 0")
     classes = materialize(known.groupBy(*sets).agg(
         F.min("id").alias("rep"), F.max("id").alias("last"), F.first("signature").alias("signature")), "classes")
-    filed = classes.select("rep", "signature").mapInArrow(_file, "key long, rep long")
-    mark = F.xxhash64("rep")
-    groups = filed.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("first"), F.sum(F.shiftright(mark, 32)).alias("upper"),
-                                      F.sum(mark.bitwiseAND(0xFFFFFFFF)).alias("lower"))
-    groups = groups.where("size > 1").groupBy("size", "upper", "lower").agg(F.min("key").alias("key"), F.min("first").alias("first")).select("size", "key", "first")
-    members = filed.join(groups, "key").join(classes.select("rep", "signature"), "rep")
-    members = materialize(members.select("key", "size", "first", "rep", "signature"), "members")
+    members = materialize(candidates(classes), "members")
 
-    tree = materialize(_once(members).mapInArrow(_tree, "a long, b long").distinct(), "tree")
+    tree = materialize(_once(members.drop("n_shingles")).mapInArrow(_tree, "a long, b long").distinct(), "tree")
     links = materialize(confirm(tree, docs, id_col, text_col, length, percent), "confirmed")
     # An id with several texts is a node of several classes.
     rows = known.join(classes.select(*sets, "rep"), sets).select("id", "rep")
@@ -224,18 +247,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     same = rows.join(several, "id").select("a", F.col("rep").alias("b"))
     parts = components(links.unionByName(same))
 
-    # Keys whose classes are still in several parts chain their classes to families; a family is compared once.
     placed = members.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "key", "rep", F.coalesce("component", "rep").alias("part"))
-    mixed = placed.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.min("rep").alias("a")).where("x != y")
-    family = components(placed.join(mixed.select("key", "a"), "key").select("a", F.col("rep").alias("b")))
-    family = materialize(family.select(F.col("node").alias("rep"), F.col("component").alias("key")), "family")
-    counts = family.groupBy("key").agg(F.count("*").alias("size"))
-    texts = _texts(docs, family.select(F.col("rep").alias("id")), id_col, text_col).withColumnRenamed("id", "rep")
-    whole = family.join(counts, "key").join(placed.select("rep", "part").distinct(), "rep").join(
-        classes.select("rep", "signature"), "rep").join(texts, "rep")
-    whole = materialize(whole, "whole")
-    more = materialize(_tiled(whole).mapInArrow(_across(length, percent), "a long, b long").distinct(), "across")
+        "key", "rep", "n_shingles", "signature", F.coalesce("component", "rep").alias("part"))
+    across = _mixed(placed).mapInArrow(_across(percent), "a long, b long").distinct()
+    across = materialize(across.join(tree, ["a", "b"], "left_anti"), "across")
+    more = materialize(confirm(across, docs, id_col, text_col, length, percent), "confirmed")
     if not more.isEmpty():
         parts = components(links.unionByName(same).unionByName(more))
 

@@ -3,19 +3,24 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import functions as F
 
-from checks.catalog import FEATURES, KEY, _closed_form, _request_model, _requests, _split_table, _versions, query, tidy
+from checks.catalog import (
+    FEATURES, KEY, _audit_log, _closed_form, _drift_pair, _request_model, _requests, _split_table, _versions, query, tidy)
 from tollgate import params as P
-from tollgate.operators import evaluate, forest, models, registry
+from tollgate.functions.scalars import key_hash
+from tollgate.operators import as_of, audit, balance, drift, evaluate, forest, lineage, models, quality, registry
 from tollgate.plans import release, training
 from tollgate.session import work_folder
 from tollgate.sources import artifacts as store
 from tollgate.sources import bundles
 from tollgate.sources import registry_tables as reg
+from tollgate.sources import requests as req
 from tollgate.sources import tables as src
 from tollgate.sources.registry_log import RegistryLog, StaleEntriesError
+from tollgate.streaming import monitor
 from tollgate.streaming import scoring as stream_scoring
 
 
@@ -146,3 +151,120 @@ def stream_score_stage(spark, folder):
     answered = spark.read.parquet(output).select("event_id", "prediction", "probability", "risk_level", "model_version", F.lit(None).cast("string").alias("problem"))
     refused = spark.read.parquet(rejects).select("event_id", "problem")
     return tidy(answered.unionByName(refused, allowMissingColumns=True))
+
+
+# --- Neighbours by hashing --------------------------------------------------------------------------------------------
+
+@query("smote_hashed")
+def smote_hashed(spark, folder):
+    """Vectors of 64 columns, balanced by hashed neighbours: rows per class, and whether the new ones lie within their class."""
+    names = [f"e{i}" for i in range(64)]
+    label = F.when(F.col("label") < 6, 0).when(F.col("label") < 9, 1).otherwise(2).alias("label")
+    table = store.materialize(src.table(spark, folder, "embeddings").select(
+        "vec_id", label, *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)]), "wide")
+    made = store.materialize(balance.smote(table, "vec_id", names, hashed=True), "balanced")
+    edges = table.groupBy("label").agg(*[e for n in names for e in (F.min(n).alias(f"{n}_low"), F.max(n).alias(f"{n}_high"))])
+    inside = reduce(lambda a, b: a & b, [F.col(n).between(F.col(f"{n}_low") - 1e-9, F.col(f"{n}_high") + 1e-9) for n in names])
+    return made.join(edges, "label").groupBy("label").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("synthetic").alias("n_synthetic"), F.count_distinct("vec_id").alias("n_keys"),
+        F.bool_and(inside).alias("inside"))
+
+
+# --- As of, over hops, in parts ---------------------------------------------------------------------------------------
+
+@query("scored_by_version")
+def scored_by_version(spark, folder):
+    """The version in production when each order was scored; half of all orders are scored by one model."""
+    events = store.materialize(reg.promotion_events(spark, folder), "events")
+    scored = reg.scored_orders(spark, folder).select(
+        KEY, F.when(key_hash(KEY, "hot") < "80", "breast_cancer_0").otherwise(F.col("model")).alias("model"), F.col("o_orderdate").alias("ts"))
+    return as_of.as_of(scored, as_of.production_changes(events), ["model"], "ts", "at", ["production"]).drop("ts")
+
+
+@query("lineage_hops")
+def lineage_hops(spark, folder):
+    """Two of three versions were imported from a lower number of another model or their own; some run in a circle."""
+    versions = _versions(spark, folder)
+    name = lambda m, n: F.concat(m, F.lit("/"), n.cast("string"))
+    h = key_hash(name(F.col("model"), F.col("number")), "import")
+    source = (
+        F.when(h < "08", name(F.col("model"), F.col("number")))
+        .when(h < "18", name(F.col("model"), F.col("number") + 1))
+        .when(h < "a8", name(F.col("model"), F.col("number") - 1)))
+    links = versions.select(name(F.col("model"), F.col("number")).alias("node"), source.alias("source"))
+    return lineage.lineage_hops(links)
+
+
+@query("drift_from_profile")
+def drift_from_profile(spark, folder):
+    """The reference's profile is stored; the current half comes in two parts, whose profiles are merged."""
+    _, shifted = _drift_pair(spark, folder)
+    kept = shifted.where("NOT is_current")
+    profile = drift.reference_profile(kept, ["value", "hour"], ["event_type"])
+    path = store.write_table(profile, work_folder(spark, "profile"))
+    stored = spark.read.parquet(path)
+    parts = [drift.fold_profile(shifted.where(F.col("is_current") & (F.col("hour") % 2 == i)), stored, ["event_type"]) for i in (0, 1)]
+    return tidy(drift.drift_from_profile(stored, drift.merge_profiles(*parts)))
+
+
+@query("retention_apply")
+def retention_apply(spark, folder):
+    """The log as it is on storage after removal, and again after a second one."""
+    path = store.write_table(_audit_log(spark, folder), work_folder(spark, "audit"), ("month",))
+    audit.apply_retention(spark, path, "2024-04-10")
+    audit.apply_retention(spark, path, "2024-04-10")
+    return tidy(spark.read.parquet(path).drop("month"))
+
+
+@query("retention_dry_run")
+def retention_dry_run(spark, folder):
+    path = store.write_table(_audit_log(spark, folder), work_folder(spark, "audit"), ("month",))
+    return tidy(audit.retention_plan(spark.read.parquet(path), "2024-04-10"))
+
+
+@query("dq_incremental")
+def dq_incremental(spark, folder):
+    """The gate from the stored states of three parts of a table, whose copies lie in different parts."""
+    table = src.dirty_lineitem(spark, folder)
+    path = work_folder(spark, "states")
+    parts = store.materialize(table.withColumn("__part", F.monotonically_increasing_id() % 3), "parts")
+    for i in range(3):
+        quality.quality_state(parts.where(F.col("__part") == i), table.columns).write.mode("append").parquet(path)
+    return tidy(quality.quality_verdict(quality.merged_measures(spark.read.parquet(path), len(table.columns))))
+
+
+@query("comparison_pair_of_run")
+def comparison_pair_of_run(spark, folder):
+    """As ``comparison_pair``, in a run that has a version of every other model."""
+    versions = _versions(spark, folder)
+    own = versions.where(key_hash("model", "run") < "80").groupBy("model").agg(F.min("number").alias("number"))
+    return registry.comparison_pair(versions.withColumn("stage", F.when(key_hash("model", "empty") < "80", None).otherwise(F.col("stage"))), own)
+
+
+@query("retrain_trigger_all_columns")
+def retrain_trigger_all_columns(spark, folder):
+    _, shifted = _drift_pair(spark, folder)
+    columns = drift.drift_columns(shifted, ["value", "hour"], ["event_type"])
+    return tidy(drift.retrain_trigger(drift.drift_score(columns)))
+
+
+@query("stream_monitor_late")
+def stream_monitor_late(spark, folder):
+    """The last file brings rows two days after their time: the watermark has passed them and they are dropped."""
+    events, source = req.read_events(spark, folder), work_folder(spark, "events")
+    late = (F.col("event_id") % 10 == 0) & (F.col("ts") < F.lit("2024-01-10").cast("timestamp_ntz"))
+    events.where(~late).write.mode("append").parquet(source)
+    output, state = work_folder(spark, "windows"), work_folder(spark, "state")
+
+    def run():
+        scores = req.stream_events(spark, source, "*.parquet").select(
+            F.col("ts").cast("timestamp").alias("ts"), (F.col("value") > 50).cast("int").alias("prediction"),
+            (F.col("value") / (F.col("value") + 50)).alias("probability"))
+        monitor.start_monitor(monitor.window_summary(scores), output, state).awaitTermination()
+
+    run()
+    events.where(late).write.mode("append").parquet(source)
+    run()
+    events.limit(0).unionByName(monitor.closing_rows(events), allowMissingColumns=True).write.mode("append").parquet(source)
+    run()
+    return tidy(spark.read.parquet(output))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tollgate import params as P
 from tollgate.functions.scalars import key_hash
+from tollgate.sources.artifacts import materialize
 
 
 def audit_log(promotions: DataFrame, runs: DataFrame, project: str = P.PROJECT) -> DataFrame:
@@ -41,6 +42,36 @@ def retained(log: DataFrame, as_of: str, tier: str = "standard") -> DataFrame:
     return log.where((F.col("month") >= F.trunc(oldest, "month")) & (F.col("date") >= oldest))
 
 
+def retention_plan(log: DataFrame, as_of: str, tier: str = "standard") -> DataFrame:
+    """The dry run: per month what is kept and removed, and whether its partition is kept, dropped or rewritten."""
+    oldest = F.date_sub(F.to_date(F.lit(as_of)), P.RETENTION_DAYS[tier])
+    kept = F.count_if(F.col("date") >= oldest)
+    months = log.groupBy("month").agg(kept.alias("kept"), (F.count(F.lit(1)) - kept).alias("removed"))
+    action = F.when(F.col("removed") == 0, "keep").when(F.col("kept") == 0, "drop").otherwise("rewrite")
+    return months.withColumn("action", action)
+
+
+def apply_retention(spark: SparkSession, path: str, as_of: str, tier: str = "standard") -> DataFrame:
+    """Remove from a log that is stored by month what is older than the tier keeps, and return the plan that was carried out.
+
+    Months without anything to keep go as folders, the month in which the border lies is written anew, and all other files stay as they are.
+    A repeated call finds nothing more to remove. Dropping comes last, so a call that fails in between can be repeated.
+    """
+    log = spark.read.parquet(path)
+    plan = materialize(retention_plan(log, as_of, tier), "retention")
+    months = {r["month"]: r["action"] for r in plan.collect()}  # as many rows as months
+    border = [m for m, action in months.items() if action == "rewrite"]
+    if border:
+        kept = materialize(retained(log.where(F.col("month").isin(border)), as_of, tier), "border")
+        kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
+    fs = spark._jvm.org.apache.hadoop.fs
+    for month, action in months.items():
+        if action == "drop":
+            folder = fs.Path(f"{path}/month={month}")
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return plan
+
+
 def keep_last_runs(runs: DataFrame, keep: int = P.KEEP_LAST_RUNS, by: str = "flow") -> DataFrame:
     """The newest runs of each flow. Spark applies the rank limit before the shuffle, so each task sends ``keep`` rows."""
     newest = Window.partitionBy(by).orderBy(F.col("start_time").desc(), F.col("run_id").desc())

@@ -78,3 +78,54 @@ def drift_score(columns: DataFrame, limit: float = P.DRIFT_ALERT, by: Sequence[s
 
 def retrain_trigger(score: DataFrame) -> DataFrame:
     return score.withColumn("retrain", F.col("alert"))
+
+
+def reference_profile(df: DataFrame, numeric: Sequence[str], categories: Sequence[str] = (), bins: int = BINS) -> DataFrame:
+    """What drift needs of a reference table, to be stored once: ``column, edges, bin, n``.
+
+    A numeric column has the values that cut it into ``bins`` parts of equal size, exact, and the rows in each part; a text
+    column its categories (``edges`` is null) and their rows. Its size is that of the bins and categories.
+    """
+    long = df.unpivot([], list(numeric), "column", "value").where(F.col("value").isNotNull() & ~F.isnan("value"))
+    counted = materialize(long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")), "value_counts")
+    ranked = running_totals(counted, "value", ["n"], ["column"])
+    # The cut after a share of the rows is the value of the row that completes it.
+    place = lambda i: F.ceil(F.col("n_total") * F.lit(i) / F.lit(bins))
+    cuts = [F.min(F.when(F.col("n_below") + F.col("n") >= place(i), F.col("value"))).alias(f"e{i}") for i in range(1, bins)]
+    edges = ranked.groupBy("column").agg(*cuts).select("column", F.array(*[f"e{i}" for i in range(1, bins)]).alias("edges"))
+    return fold_profile(df, materialize(edges, "edges"), categories)
+
+
+def fold_profile(df: DataFrame, profile: DataFrame, categories: Sequence[str] = ()) -> DataFrame:
+    """The profile of another table over the numeric columns and edges of ``profile``: one pass, a few rows per task."""
+    edges = [(r["column"], r["edges"]) for r in profile.where("edges IS NOT NULL").select("column", "edges").distinct().collect()]
+    parts = []
+    for column, cuts in edges:
+        value = F.col(column).cast("double")
+        place = sum(((value > F.lit(c)).cast("int") for c in cuts), F.lit(0)).cast("string")
+        parts.append(F.struct(F.lit(column).alias("column"), F.lit(cuts).cast("array<double>").alias("edges"),
+                              F.when(F.col(column).isNotNull() & ~F.isnan(value), place).alias("bin")))
+    for column in categories:
+        parts.append(F.struct(F.lit(column).alias("column"), F.lit(None).cast("array<double>").alias("edges"), F.col(column).cast("string").alias("bin")))
+    rows = df.select(F.inline(F.array(*parts))).where("bin IS NOT NULL")
+    return rows.groupBy("column", "edges", "bin").agg(F.count(F.lit(1)).alias("n"))
+
+
+def merge_profiles(*profiles: DataFrame) -> DataFrame:
+    """The profile of all tables together. Those with the same edges add up; categories that only some have are kept."""
+    whole = profiles[0]
+    for more in profiles[1:]:
+        whole = whole.unionByName(more)
+    return whole.groupBy("column", "edges", "bin").agg(F.sum("n").alias("n"))
+
+
+def drift_from_profile(reference: DataFrame, current: DataFrame) -> DataFrame:
+    """``column, psi, drifted`` of two profiles over the same edges. A bin or category that one of them lacks counts as empty there."""
+    both = reference.select("column", "bin", F.col("n").alias("ref"), F.lit(0).cast("long").alias("cur")).unionByName(
+        current.select("column", "bin", F.lit(0).cast("long").alias("ref"), F.col("n").alias("cur")))
+    bins = materialize(both.groupBy("column", "bin").agg(F.sum("ref").alias("ref"), F.sum("cur").alias("cur")), "bins")
+    totals = bins.groupBy("column").agg(F.sum("ref").cast("double").alias("refs"), F.sum("cur").cast("double").alias("curs"))
+    share = lambda part, whole: F.col(part) / F.nullif(F.col(whole), F.lit(0.0))
+    joined = bins.join(totals, "column")
+    return joined.groupBy("column").agg(F.sum(_psi(share("ref", "refs"), share("cur", "curs"))).alias("psi")).withColumn(
+        "drifted", F.col("psi") > DRIFTED_PSI)

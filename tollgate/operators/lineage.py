@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tollgate import params as P
 from tollgate.functions.scalars import flag_sum
 from tollgate.operators.registry import stage_holders
+from tollgate.sources.artifacts import materialize
 
 
 def lineage_trace(versions: DataFrame, runs: DataFrame, artifacts: DataFrame, predictions: DataFrame | None = None) -> DataFrame:
@@ -30,6 +31,32 @@ def lineage_trace(versions: DataFrame, runs: DataFrame, artifacts: DataFrame, pr
     return trace
 
 
+def lineage_hops(links: DataFrame, node: str = "node", source: str = "source") -> DataFrame:
+    """Follow import links to their origin over any number of hops: ``node, origin, hops, looped``.
+
+    ``links`` has one row for each version and where it was imported from (null if it was trained here). In each round every
+    version takes over the source of its source, so the number of rounds is the logarithm of the longest chain. What is open
+    when no chain can be longer runs in a circle or into one: it has no origin. A source without a row of its own is
+    an origin. A version with several sources is an error of the registry; the smallest counts.
+    """
+    one = links.where(F.col(node).isNotNull()).groupBy(F.col(node).alias("node")).agg(F.min(source).alias("source"))
+    one = materialize(one, "links")
+    # A version's place: where its walk stands, the hops so far, and whether that is an origin.
+    inner = one.where(F.col("source").isNotNull())
+    ends = inner.join(inner.select(F.col("node").alias("source"), F.lit(True).alias("goes_on")), "source", "left")
+    state = materialize(ends.select("node", F.col("source").alias("at"), F.lit(1).cast("long").alias("hops"), F.col("goes_on").isNull().alias("done")), "hops")
+    open_, reach = state.where("not done").count(), 1
+    longest = open_
+    while open_ and reach <= longest:
+        step = state.select(F.col("node").alias("at"), F.col("at").alias("next"), F.col("hops").alias("more"), F.col("done").alias("ends"))
+        moved = state.where("not done").join(step, "at").select("node", F.col("next").alias("at"), (F.col("hops") + F.col("more")).alias("hops"), F.col("ends").alias("done"))
+        state = materialize(state.where("done").unionByName(moved), "hops")
+        open_, reach = state.where("not done").count(), 2 * reach
+    roots = one.where(F.col("source").isNull()).select("node", F.col("node").alias("at"), F.lit(0).cast("long").alias("hops"), F.lit(True).alias("done"))
+    return state.unionByName(roots).select(
+        "node", F.when(F.col("done"), F.col("at")).alias("origin"), F.when(F.col("done"), F.col("hops")).alias("hops"), (~F.col("done")).alias("looped"))
+
+
 def run_metrics(runs: DataFrame, artifacts: DataFrame, output_metrics: DataFrame, versions: DataFrame,
                 version_metrics: DataFrame) -> DataFrame:
     """Metrics of each run: from outputs named like metrics of steps named like evaluation, else from its version.

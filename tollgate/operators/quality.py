@@ -69,6 +69,20 @@ def quality_measures(df: DataFrame, columns: Sequence[str], by: Sequence[str] =
     return measures.select("*", ratio(F.col("missing_cells"), cells).alias("missing_fraction"))
 
 
+def quality_state(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """What the gate needs of one part of a table, to be stored with it: one row of 256 bits and two counts per distinct row."""
+    return _distinct_rows(df, columns, [])
+
+
+def merged_measures(states: DataFrame, columns: int) -> DataFrame:
+    """The measures of the whole table from the states of its parts, one after the other in ``states``; rows that repeat across parts are found."""
+    hashes = [f"__hash{i}" for i in range(4)]
+    rows = states.groupBy(*hashes).agg(F.sum("n").alias("n"), F.sum("missing").alias("missing"))
+    measures = rows.agg(*[F.coalesce(F.sum(x), F.lit(0)).cast("bigint").alias(name) for x, name in (
+        (F.col("n"), "n_rows"), (F.col("missing"), "missing_cells"), (F.col("n") - 1, "duplicate_rows"))])
+    return measures.select("*", ratio(F.col("missing_cells"), F.col("n_rows") * columns).alias("missing_fraction"))
+
+
 def quality_verdict(measures: DataFrame, min_rows: int | Column = P.MIN_ROWS,
                     max_missing: float = P.MAX_MISSING_FRACTION) -> DataFrame:
     """Add the checks in their order and the first one that fails. Repeated rows only warn."""

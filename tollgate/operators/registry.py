@@ -82,13 +82,21 @@ def look_up(wanted: DataFrame, versions: DataFrame, metrics: DataFrame) -> DataF
         *wanted.columns, how.alias("chosen_by"), number.alias("number"), number.isNotNull().alias("found"))
 
 
-def comparison_pair(versions: DataFrame) -> DataFrame:
-    """Per model the champion (in staging) and challenger (newest trained in staging); each falls back to the newest."""
+def comparison_pair(versions: DataFrame, run_versions: DataFrame | None = None) -> DataFrame:
+    """Per model the champion (in staging) and challenger (newest trained in staging).
+
+    Each falls back to the version that the comparing run itself trained or was given (``run_versions``: model, number, one row for a
+    model), and without one to the newest.
+    """
     trained = latest_trained_in(versions).select("model", F.col("number").alias("trained"))
-    return stage_holders(versions).join(trained, "model").select(
+    pairs = stage_holders(versions).join(trained, "model")
+    own = F.lit(None).cast("int")
+    if run_versions is not None:
+        pairs, own = pairs.join(run_versions.select("model", F.col("number").alias("own")), "model", "left"), F.col("own")
+    return pairs.select(
         "model",
-        F.coalesce("staging", "latest").alias("champion"),
-        F.coalesce("trained", "latest").alias("challenger"),
+        F.coalesce("staging", own, "latest").alias("champion"),
+        F.coalesce("trained", own, "latest").alias("challenger"),
     )
 
 

@@ -38,6 +38,18 @@ def test_split_descends_into_large_prefixes(spark, monkeypatch):
     assert {r.id for r in split.stratified_split(df, "id").where("split = 'test'").collect()} == expected
 
 
+@pytest.mark.parametrize("literal, rows", [(0, 50_000), (64, 3)])
+def test_split_by_tables_and_by_fine_ranges_is_the_same(spark, monkeypatch, literal, rows):
+    df = labelled(spark, 700).withColumn("label", F.col("id") % 5)
+    expected = {r.id: r.split for r in split.stratified_split(df, "id", test_size=0.23).collect()}
+    monkeypatch.setattr(split, "PREFIX_STEP", 1)
+    monkeypatch.setattr(split, "LITERAL_CLASSES", literal)
+    monkeypatch.setattr(split, "RANGE_ROWS", rows)
+    assert {r.id: r.split for r in split.stratified_split(df, "id", test_size=0.23).collect()} == expected
+    none = split.stratified_split(df, "id", test_size=0.0)
+    assert none.where("split = 'test'").count() == 0
+
+
 def test_split_rejects_a_class_with_one_row(spark):
     df = spark.createDataFrame([(1, 0), (2, 0), (3, 1)], "id long, label int")
     with pytest.raises(split.SplitError):

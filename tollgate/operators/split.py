@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tollgate import params as P
@@ -12,6 +14,10 @@ from tollgate.functions.scalars import key_hash
 from tollgate.sources.artifacts import materialize
 
 PREFIX_STEP = 3  # hex digits of a range of keys: 4096 ranges per class, and 4096 in the range that holds the cut
+#: Up to so many classes the cuts are found by a few counts and are literals; with more they are tables.
+LITERAL_CLASSES = 64
+#: Hashes of the ranges that hold the cuts, fetched at most; larger ranges are counted more finely first.
+RANGE_ROWS = 50_000
 
 
 class SplitError(ValueError):
@@ -20,17 +26,22 @@ class SplitError(ValueError):
 
 @dataclass(frozen=True)
 class SplitCut:
-    """Per class the last test row in hash order (null if it has none): rows up to it are test rows."""
+    """Per class the last test row in hash order (null if it has none): rows up to it are test rows. A table, or literals."""
 
     key: str
     label: str
     seed: int
-    cuts: DataFrame  # label, last
+    cuts: DataFrame | None = None  # label, last
+    literals: tuple[tuple[object, str | None], ...] = ()
 
     def assign(self, df: DataFrame) -> DataFrame:
-        """Add ``split``, null where the label is. The join's other side has one row per class."""
+        """Add ``split``, null where the label is: a comparison per row, or a join whose other side has one row per class."""
+        h = key_hash(self.key, self.seed)
+        if self.cuts is None:
+            test = reduce(Column.__or__, [(F.col(self.label) == F.lit(c)) & (h <= last) for c, last in self.literals if last], F.lit(False))
+            return df.withColumn("split", F.when(F.col(self.label).isNotNull(), F.when(test, "test").otherwise("train")))
         cuts = self.cuts.select(F.col("label").alias("__label"), F.col("last").alias("__last"))
-        part = F.when(key_hash(self.key, self.seed) <= F.col("__last"), "test").otherwise("train")
+        part = F.when(h <= F.col("__last"), "test").otherwise("train")
         joined = df.join(cuts, F.col(self.label) == F.col("__label"), "left")
         return joined.select(*df.columns, F.when(F.col(self.label).isNotNull(), part).alias("split"))
 
@@ -55,18 +66,61 @@ def fit_split(df: DataFrame, key: str, label: str = "label", test_size: float =
     16-millionth of the class is left to be sorted. Classes of any number and size stay in tables; a class of any size is
     spread over all tasks. ``key`` is the row identity: a repeated key raises, whatever the size of the table.
     """
-    hashed = df.where(F.col(label).isNotNull()).select(F.col(label).alias("label"), key_hash(key, seed).alias("h"))
-    hashed = materialize(hashed, "hashed")
-    if not hashed.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+    held = df.where(F.col(label).isNotNull())
+    if not held.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
         raise SplitError(f"'{key}' is not unique")
+    hashed = held.select(F.col(label).alias("label"), key_hash(key, seed).alias("h"))
+    found = _ranges(hashed, PREFIX_STEP).limit(16**PREFIX_STEP * LITERAL_CLASSES + 1).collect()
+    classes = {r["label"] for r in found}
+    if len(classes) <= LITERAL_CLASSES and not any(c != c for c in classes):
+        return SplitCut(key, label, seed, literals=_literal_cuts(hashed, found, test_size))
+    hashed = materialize(hashed, "hashed")
     ranges = materialize(_ranges(hashed, PREFIX_STEP), "ranges")
     sizes = materialize(class_test_sizes(ranges.groupBy("label").agg(F.sum("n").alias("n")), test_size), "sizes")
-    small = [r["label"] for r in sizes.where("n < 2").orderBy("label").limit(10).collect()]
-    if small:
-        raise SplitError(f"classes with fewer than 2 rows, the first of them: {small}")
+    _refuse_small(r["label"] for r in sizes.where("n < 2").orderBy("label").limit(10).collect())
     return SplitCut(key, label, seed, materialize(_cuts(hashed, ranges, sizes.select("label", "size")), "cuts"))
 
 
+def _refuse_small(labels) -> None:
+    if small := list(labels):
+        raise SplitError(f"classes with fewer than 2 rows, the first of them: {small}")
+
+
+def _literal_cuts(hashed: DataFrame, found: list, test_size: float) -> tuple[tuple[object, str | None], ...]:
+    """The cuts of few classes: the counts of the ranges say in which one a cut lies; that range is counted more finely until
+    its hashes are few enough to be fetched and sorted."""
+    counts: dict[object, int] = {}
+    for r in found:
+        counts[r["label"]] = counts.get(r["label"], 0) + r["n"]
+    _refuse_small(sorted(c for c, n in counts.items() if n < 2)[:10])
+    total = sum(counts.values())
+    n_train = total - math.ceil(test_size * total)
+    exact = {c: float(n * n_train) / total for c, n in counts.items()}
+    train = {c: math.floor(x) for c, x in exact.items()}
+    for c in sorted(counts, key=lambda c: (-(exact[c] - train[c]), c))[:n_train - sum(train.values())]:
+        train[c] += 1
+    rank = {c: n - train[c] for c, n in counts.items() if n > train[c]}
+    depth = PREFIX_STEP
+    while rank:
+        at, held = {}, 0
+        for c in rank:
+            for r in sorted((r for r in found if r["label"] == c), key=lambda r: r["prefix"]):
+                if rank[c] <= r["n"]:
+                    at[c], held = r["prefix"], held + r["n"]
+                    break
+                rank[c] -= r["n"]
+        inside = hashed.where(reduce(Column.__or__, [(F.col("label") == F.lit(c)) & F.col("h").startswith(p) for c, p in at.items()]))
+        if held <= RANGE_ROWS or depth >= 32:
+            hashes: dict[object, list] = {}
+            for r in inside.collect():
+                hashes.setdefault(r["label"], []).append(r["h"])
+            last = {c: sorted(hashes[c])[k - 1] for c, k in rank.items()}
+            return tuple((c, last.get(c)) for c in counts)
+        depth += PREFIX_STEP
+        found = _ranges(inside, depth).collect()
+    return tuple((c, None) for c in counts)
+
+
 def _ranges(hashed: DataFrame, depth: int) -> DataFrame:
     return hashed.groupBy("label", F.substring("h", 1, depth).alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
 

@@ -65,7 +65,7 @@ def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
 
 
 def _file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each signature under its 64 keys: a chunk's number, the place left out and the three values that remain."""
+    """Each signature under its 64 keys: the three values of a chunk that remain, hashed to 58 bits, and the chunk and place left out."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -77,6 +77,7 @@ def _file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for k in range(WIDTH):
                     if k != out:
                         key = mix((key << np.uint64(16) | values[:, chunk, k]) + np.uint64(k))
+                key = key & ~np.uint64(63) | np.uint64(chunk * WIDTH + out)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids)], names=["key", "rep"])
 
 
@@ -112,10 +113,24 @@ def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
 
 
+def first_shared(one: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """The first of the 64 keys that a signature shares with each of others; 64 if none."""
+    same = (others == one).reshape(len(others), CHUNKS, WIDTH)
+    wrong = WIDTH - same.sum(axis=2)
+    # Without errors every key of a chunk is shared, the first of which leaves out place 0; with one, the one that leaves out the error.
+    slot = np.where(wrong == 0, 0, same.argmin(axis=2)) + WIDTH * np.arange(CHUNKS)
+    return np.where(wrong <= 1, slot, VALUES).min(axis=1)
+
+
 def _across(percent: int):
-    """Pairs in each group whose ends lie in different parts, within the signature distance and near enough in size."""
+    """Pairs in each group whose ends lie in different parts, within the signature distance and near enough in size.
+
+    A pair that meets under several keys is given under the first of them only. Of groups with the same members the one under the first
+    key is kept (see ``candidates``), so that one is always there.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs_of(batches, ["key", "low", "high"]):
+            slot = table.column("key")[0].as_py() & (VALUES - 1)
             asks = table.column("asks").to_numpy(zero_copy_only=False)
             ids, parts, size = (table.column(c).to_numpy() for c in ("rep", "part", "n_shingles"))
             values = _signatures(table)
@@ -124,6 +139,7 @@ def _across(percent: int):
             for i in np.flatnonzero(asks).tolist():
                 near = other[(parts[other] != parts[i]) & (100 * np.minimum(size[i], size[other]) >= percent * np.maximum(size[i], size[other]))]
                 near = near[(values[near] != values[i]).sum(axis=1) <= DISTANCE]
+                near = near[first_shared(values[i], values[near]) == slot] if len(near) else near
                 found += [(int(ids[i]), int(ids[k])) for k in near.tolist()]
                 if len(found) >= 10_000:
                     yield _pairs(found)
@@ -227,7 +243,8 @@ def candidates(classes: DataFrame) -> DataFrame:
     filed = materialize(filed.join(materialize(groups, "groups"), "key"), "filed")
     mark = F.xxhash64("rep")
     marks = filed.groupBy("key", "size").agg(F.sum(F.shiftright(mark, 32)).alias("upper"), F.sum(mark.bitwiseAND(0xFFFFFFFF)).alias("lower"))
-    once = marks.groupBy("size", "upper", "lower").agg(F.min("key").alias("key")).select("key")
+    first = F.struct(F.col("key").bitwiseAND(VALUES - 1), "key")
+    once = marks.groupBy("size", "upper", "lower").agg(F.min(first)["key"].alias("key")).select("key")
     return filed.join(once, "key").join(classes.select("rep", "n_shingles", "signature"), "rep")
 
 

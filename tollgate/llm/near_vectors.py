@@ -24,14 +24,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tollgate.llm.components import components
-from tollgate.llm.vectors import dots, matrix, norms, usable
-from tollgate.sources.artifacts import materialize
+from tollgate.llm.vectors import by_width, dots, matrix, norms, usable
+from tollgate.sources.artifacts import materialize, settle
 
-PASSES, BLOCK, TILE = 16, 512, 2048
+PASSES, BLOCK, TILE = 8, 512, 2048
+#: Blocks of one task's group; only the one that follows them is sent a second time.
+SPAN = 8
 #: Vectors sampled for the cuts, and numbers in them; sampled vectors that a cell of the sample holds at least.
 SAMPLE, SAMPLE_NUMBERS, LEAST = 16_384, 4_000_000, 8
 #: Planted partners, and the share of them that must be found before passes end.
 PLANTED, RECALL = 1000, 0.999
+#: Passes after which all tiles are compared instead, so that a table that no direction tells apart comes to an end.
+MOST_PASSES = 256
 _FOUND = "a long, b long, planted boolean"
 
 
@@ -120,36 +124,36 @@ def stars(linked: np.ndarray) -> np.ndarray:
 
 
 def _join(threshold: float):
-    """What hangs together in a block and the next one, each vector paired with one of its group: fewer pairs than rows.
+    """What hangs together in each leading block and the next one, each vector paired with one of its block: fewer pairs than rows.
 
     A planted vector (``of`` is the one that it was made from) joins nothing. It gives one row, ``planted``, if it links here:
     with its maker if that is here, else with its nearest.
     """
     def run(table: pa.Table) -> pa.Table:
-        steps, ids = table.column("step").to_numpy(), table.column("rep").to_numpy()
+        blocks, ids, lead = table.column("block").to_numpy(), table.column("rep").to_numpy(), table.column("lead").to_numpy()
         of = table.column("of").fill_null(0).to_numpy()
         made = ~table.column("of").is_null().to_numpy()
         vectors = matrix(table.column("vector"))
         size = norms(vectors)
-        own, rest = np.flatnonzero((steps == 0) & ~made), np.flatnonzero((steps > 0) & ~made)
-        order, extra = np.concatenate([own, rest]), np.flatnonzero(made)
-        root = stars(_linked(vectors, size, own, order, threshold))
-        moved = np.flatnonzero(root != np.arange(len(root)))
-        a, b = ids[order[root[moved]]], ids[order[moved]]
-        pairs = [(np.minimum(a, b), np.maximum(a, b))]
-        met = np.zeros(0, np.int64)
-        if len(extra) and len(order):
-            linked = _linked(vectors, size, extra, order, threshold)
-            near = np.where(linked, (vectors[extra] / size[extra, None]) @ (vectors[order] / size[order, None]).T, -2)
-            near[linked & (ids[order] == of[extra][:, None])] = 2
-            # Vectors that both lie in the next block meet in that block's own group.
-            near[np.ix_(steps[extra] > 0, steps[order] > 0)] = -2
-            best = near.argmax(axis=1)
-            got = np.flatnonzero(near[np.arange(len(extra)), best] > -2)
-            met = ids[extra[got]]
-            pairs.append((met, ids[order[best[got]]]))
-        a, b = (np.concatenate([x[k] for x in pairs]) for k in (0, 1))
-        return pa.table([pa.array(a), pa.array(b), pa.array(np.arange(len(a)) >= len(a) - len(met))], names=["a", "b", "planted"])
+        pairs, met = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for block in np.unique(blocks[lead]).tolist():
+            own, rest = np.flatnonzero((blocks == block) & ~made), np.flatnonzero((blocks == block + 1) & ~made)
+            order, extra = np.concatenate([own, rest]), np.flatnonzero(made & ((blocks == block) | (blocks == block + 1)))
+            root = stars(_linked(vectors, size, own, order, threshold))
+            moved = np.flatnonzero(root != np.arange(len(root)))
+            a, b = ids[order[root[moved]]], ids[order[moved]]
+            pairs.append((np.minimum(a, b), np.maximum(a, b)))
+            if len(extra) and len(order):
+                linked = _linked(vectors, size, extra, order, threshold)
+                near = np.where(linked, (vectors[extra] / size[extra, None]) @ (vectors[order] / size[order, None]).T, -2)
+                near[linked & (ids[order] == of[extra][:, None])] = 2
+                # Vectors that both lie in the next block meet when that is the first.
+                near[np.ix_(blocks[extra] > block, blocks[order] > block)] = -2
+                best = near.argmax(axis=1)
+                got = np.flatnonzero(near[np.arange(len(extra)), best] > -2)
+                met.append((ids[extra[got]], ids[order[best[got]]]))
+        a, b = (np.concatenate([x[k] for x in pairs + met]) for k in (0, 1))
+        return pa.table([pa.array(a), pa.array(b), pa.array(np.arange(len(a)) >= len(a) - sum(len(x) for x, _ in met))], names=["a", "b", "planted"])
     return run
 
 
@@ -210,9 +214,21 @@ def _pass_links(vectors: DataFrame, cuts: list[tuple[int, Cuts]], threshold: flo
     place = ((F.col("at") + F.col("move")) / F.lit(BLOCK)).cast("int").alias("block")
     blocks = dealt.join(starts, ["pass", "part"]).select("pass", place, "rep")
     blocks = materialize(blocks.join(vectors, "rep"), "blocks")
-    own = blocks.select("pass", "block", F.lit(0).alias("step"), "rep", "of", "vector")
-    after = blocks.where("block > 0").select("pass", (F.col("block") - 1).alias("block"), F.lit(1).alias("step"), "rep", "of", "vector")
-    return materialize(own.unionByName(after).groupBy("pass", "block").applyInArrow(_join(threshold), _FOUND).distinct(), "links")
+    group = F.floor(F.col("block") / SPAN).cast("int")
+    own = blocks.select("pass", group.alias("group"), "block", F.lit(True).alias("lead"), "rep", "of", "vector")
+    after = blocks.where((F.col("block") % SPAN == 0) & (F.col("block") > 0)).select(
+        "pass", (group - 1).alias("group"), "block", F.lit(False).alias("lead"), "rep", "of", "vector")
+    return materialize(own.unionByName(after).groupBy("pass", "group").applyInArrow(_join(threshold), _FOUND).distinct(), "links")
+
+
+def _all_tiles(vectors: DataFrame, threshold: float) -> DataFrame:
+    """What passes give, from all pairs of tiles: exact, each two tiles one task's group, and quadratic in their number."""
+    tiles = vectors.count() // BLOCK + 1
+    dealt = vectors.withColumn("tile", F.pmod(F.xxhash64("rep", F.lit(5)), F.lit(tiles)).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
+    first = F.col("tile") <= F.col("with")
+    both = dealt.select(F.least("tile", "with").alias("low"), F.greatest("tile", "with").alias("high"), F.when(first, 0).otherwise(1).alias("block"),
+                        first.alias("lead"), "rep", "of", "vector")
+    return materialize(both.groupBy("low", "high").applyInArrow(_join(threshold), _FOUND).distinct(), "links")
 
 
 def _recall(links: DataFrame, planted: DataFrame, ids: DataFrame, same: DataFrame) -> tuple[float, DataFrame]:
@@ -237,9 +253,29 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
 
     Equal vectors are one class, compared once: a member links with all others of its class and of the classes that it
     links with. Null, zero and broken vectors (see ``usable``) have no links and are their own component; so does a null
-    id, whose component is null and which is not kept by that name. Rows that repeat an id are counted as rows.
+    id, whose component is null and which is not kept by that name. Rows that repeat an id are counted as rows. Vectors of
+    different widths are not compared: each width is a table of its own (an id with vectors of two widths has a row for each).
     """
+    return settle(vectors.sparkSession, lambda: _near_vectors(vectors, threshold, id_col, vector_col, passes, seed), "near-vectors")
+
+
+def _near_vectors(vectors: DataFrame, threshold: float, id_col: str, vector_col: str, passes: int, seed: int) -> DataFrame:
     rows = materialize(usable(vectors, id_col, vector_col), "vectors")
+    done = by_width(rows, lambda same: _of_one_width(same, threshold, passes, seed))
+    if done is None:
+        done = rows.sparkSession.createDataFrame([], "id long, n_links long, component_id long")
+    done = materialize(done, "done")
+    # The rows that take no part, as often as they stand in the table.
+    every = vectors.select(F.col(id_col).cast("long").alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+    out = every.join(done.groupBy("id").agg(F.count("*").alias("m")), "id", "left").withColumn(
+        "n", F.col("n") - F.coalesce("m", F.lit(0))).where("n > 0").withColumn("again", F.explode(F.expr("sequence(1, n)")))
+    rest = out.join(done.groupBy("id").agg(F.min("component_id").alias("c")), "id", "left").select(
+        "id", F.lit(0).cast("long").alias("n_links"), F.coalesce("c", "id").alias("component_id"))
+    return done.unionByName(rest).withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)))
+
+
+def _of_one_width(rows: DataFrame, threshold: float, passes: int, seed: int) -> DataFrame:
+    """``id, n_links, component_id`` of vectors that take part and have one width."""
     spark = rows.sparkSession
     classes = materialize(rows.groupBy("vector").agg(F.min("id").alias("id"), F.count("*").alias("size")).select(
         F.xxhash64("vector", "id").alias("rep"), "id", "size", "vector"), "classes")
@@ -272,14 +308,10 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
         recall, labels = _recall(links, planted, ids, same)
         if recall >= RECALL:
             break
+        if done_passes >= MOST_PASSES:
+            _, labels = _recall(_all_tiles(every_one, threshold), planted, ids, same)
+            break
     linked = _count_links(classes, labels, threshold)
-    done = members.join(linked.withColumnRenamed("a", "rep"), "rep", "left").join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").select(
+    return members.join(linked.withColumnRenamed("a", "rep"), "rep", "left").join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").select(
         "id", (F.col("size") - 1 + F.coalesce("linked", F.lit(0))).cast("long").alias("n_links"),
         F.coalesce("component", "class_id").alias("component_id"))
-    # The rows that take no part, as often as they stand in the table.
-    every = vectors.select(F.col(id_col).cast("long").alias("id")).groupBy("id").agg(F.count("*").alias("n"))
-    out = every.join(done.groupBy("id").agg(F.count("*").alias("m")), "id", "left").withColumn(
-        "n", F.col("n") - F.coalesce("m", F.lit(0))).where("n > 0").withColumn("again", F.explode(F.expr("sequence(1, n)")))
-    rest = out.join(done.groupBy("id").agg(F.min("component_id").alias("c")), "id", "left").select(
-        "id", F.lit(0).cast("long").alias("n_links"), F.coalesce("c", "id").alias("component_id"))
-    return done.unionByName(rest).withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)))

@@ -20,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tollgate.llm.vectors import dots, matrix, norms, usable
+from tollgate.llm.vectors import by_width, dots, matrix, norms, usable
 from tollgate.sources.artifacts import materialize
 
 FIT_VECTORS = 20_000
 CODES = 32
 BUNDLE, CHUNK = 8_192, 20_000
-#: Share of all entries whose cells a query walks, and the least number of them.
+#: A query walks cells that hold this share of all entries and this number of them on top.
 SHARE, LEAST = 0.4, 2_000
 
 
@@ -36,7 +36,7 @@ class Codebooks:
     second: np.ndarray
 
     def distances(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        half = self.first.shape[1]
+        half, units = self.first.shape[1], _two_halves(units)
         return tuple(((x * x).sum(axis=1)[:, None] - 2 * x @ c.T + (c * c).sum(axis=1))
                      for x, c in ((units[:, :half], self.first), (units[:, half:], self.second)))
 
@@ -45,6 +45,11 @@ class Codebooks:
         return one.argmin(axis=1) * len(self.second) + two.argmin(axis=1)
 
 
+def _two_halves(units: np.ndarray) -> np.ndarray:
+    """A single component gets a zero beside it, so that there are two halves."""
+    return np.hstack([units, np.zeros((len(units), 1))]) if units.shape[1] == 1 else units
+
+
 def _centroids(points: np.ndarray, codes: int, rounds: int, seed: int) -> np.ndarray:
     random = np.random.default_rng(seed)
     distinct = np.unique(points, axis=0)
@@ -58,13 +63,13 @@ def _centroids(points: np.ndarray, codes: int, rounds: int, seed: int) -> np.nda
 
 
 def fit(vectors: DataFrame, codes: int = CODES, rows: int = FIT_VECTORS, rounds: int = 12, seed: int = 11) -> Codebooks | None:
-    """Codebooks from a table ``id, vector``; None if it is empty."""
+    """Codebooks from a table ``id, vector`` of one width; None if it is empty."""
     sample = vectors.withColumn("by", F.md5(F.col("id").cast("string"))).orderBy("by", "vector").limit(rows)
     got = sample.select("vector").toArrow().column("vector")
     if not len(got):
         return None
     points = matrix(got)
-    points = points / norms(points)[:, None]
+    points = _two_halves(points / norms(points)[:, None])
     half = points.shape[1] // 2
     return Codebooks(_centroids(points[:, :half], codes, rounds, seed), _centroids(points[:, half:], codes, rounds, seed + 1))
 
@@ -154,13 +159,17 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", ve
 
     Candidates are all rows but those with the query's id. Null, zero and broken vectors take no part (see ``usable``).
     Ties go to the smaller id. An id that repeats among queries is asked once, with its smallest vector; among
-    candidates each row counts. With fewer than k candidates all are returned; an empty table returns nothing.
+    candidates each row counts. With fewer than k candidates all are returned; an empty table returns nothing. Vectors of
+    different widths are not compared: each width is searched by itself, and an id among queries of two widths is asked in both.
     """
     rows = materialize(usable(vectors, id_col, vector_col), "vectors")
+    found = by_width(rows, lambda same: _nearest(same, is_query, k, codes, share, least))
+    return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double") if found is None else found
+
+
+def _nearest(rows: DataFrame, is_query, k: int, codes: int, share: float, least: int) -> DataFrame:
     spark = rows.sparkSession
     books = fit(rows, codes)
-    if books is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     shared = spark.sparkContext.broadcast(books)
     indexed = materialize(rows.mapInArrow(_assign(shared), "id long, vector array<double>, cell int"), "indexed")
     sizes = np.zeros(len(books.first) * len(books.second), np.int64)
@@ -176,7 +185,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", ve
                 bundle, room = bundle + 1, BUNDLE
             starts[cell], room = bundle, room - int(sizes[cell])
     total = int(sizes.sum())
-    wanted = max(least, int(share * total), k + 1)
+    wanted = least + int(share * total) + k
     plan = spark.sparkContext.broadcast((sizes, starts, parts))
     queries = rows.where(is_query(F.col("id"))).groupBy("id").agg(F.min("vector").alias("vector"))
     chunks = queries.count() // CHUNK + 1

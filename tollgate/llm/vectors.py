@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -9,16 +12,20 @@ from pyspark.sql import functions as F
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """``id, vector`` of the vectors that take part, as doubles: not null, not zero, all components there and finite.
-
-    If lengths differ, those of the most frequent length take part (of the longer one on a tie). A null id takes no part.
-    """
+    """``id, vector`` of the vectors that take part, as doubles: not null, not zero, all components there and finite. A null
+    id takes no part."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
     bad = F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = rows.where(F.col("id").isNotNull() & F.col("vector").isNotNull() & ~F.coalesce(bad, F.lit(True))
+    return rows.where(F.col("id").isNotNull() & F.col("vector").isNotNull() & ~F.coalesce(bad, F.lit(True))
                       & F.exists("vector", lambda x: x != 0))
-    lengths = rows.groupBy(F.size("vector").alias("length")).count().orderBy(F.desc("count"), F.desc("length")).first()
-    return rows.where(F.size("vector") == (lengths["length"] if lengths else 0))
+
+
+def by_width(rows: DataFrame, run: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
+    """``run`` on the vectors of each width, one width after the other: vectors of different widths have no cosine. None if
+    there are no vectors."""
+    widths = sorted(r[0] for r in rows.select(F.size("vector")).distinct().collect())
+    parts = [run(rows.where(F.size("vector") == w) if len(widths) > 1 else rows) for w in widths]
+    return reduce(DataFrame.unionByName, parts) if parts else None
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:

@@ -167,7 +167,7 @@ def test_interpolation_equals_brute_force(spark, none):
                 cells[place(h) << 32 | z << 16 | y] += 1
     keys = sorted(cells)
     weights = interpolation.learn_weights(np.array(keys), np.array([cells[c] for c in keys], float), k, v)
-    assert np.allclose(weights.sum(axis=1), 1) and (weights > 0).all()
+    assert np.allclose(weights.sum(axis=1), 1) and (weights[1:] > 0).all() and weights[0, 0] == 0
     want = []
     for (i, _), (x, w) in zip(texts, tokens):
         base = sum(math.log10((total[1][(b,)] + 0.5) / (n + 0.5 * (v + 1))) for b in w[1:])
@@ -187,7 +187,9 @@ def test_interpolation_equals_brute_force(spark, none):
         h = context(total, a)
         q = weights[place(h)]
         p = sum(q[0] * total[2][(a, b)] / max(h, 1) + q[1] * c / n + q[2] / (v + 1) for (b,), c in total[1].items()) + q[2] / (v + 1)
-        assert p == pytest.approx(1 if h else 1 - q[0])
+        assert p == pytest.approx(1)
+    untrained = interpolation.interpolated_scores(df, F.lit(interpolation.SCORED)).collect()
+    assert all(x.score == 0 and x.train_tokens == 0 and x.n_known == 0 for x in untrained)
 
 
 def test_packed_numbers_round_trip():
@@ -234,14 +236,18 @@ def test_lexicon_is_minimal_and_finds_its_words(tmp_path):
     assert lexicon.ids[lexicon.starts[place]:lexicon.starts[place + 1]].tolist() == bpe.Encoder(vocabulary).encode([b"axing"])[0].tolist()
 
 
-def test_cross_parsing_equals_a_greedy_parse():
+@pytest.mark.parametrize("segment, table", [(512, 4_000_000), (7, 4_000_000), (3, 0)])
+def test_cross_parsing_equals_a_greedy_parse(monkeypatch, segment, table):
+    monkeypatch.setattr(language, "SEGMENT", segment)
+    monkeypatch.setattr(language, "TABLE", table)
     r = random.Random(2)
     text = "".join(r.choice("ab c") for _ in range(300))
     reference = [r.randrange(1, 5) for _ in range(200)]
     table = language.automaton(reference, 7)
     joined = bytes(reference)
-    for _ in range(30):
-        probe = [r.randrange(1, 7) for _ in range(r.randrange(1, 100))]
+    for k in range(60):
+        # Some repeat the reference, so that walks from different states stay apart for long.
+        probe = [r.randrange(1, 7) for _ in range(r.randrange(1, 100))] if k % 2 else [6, *reference[3:150], *reference[:60]] * 2
         at = count = 0
         while at < len(probe):
             n = 1
@@ -281,6 +287,50 @@ def test_language_is_learned_behind_a_shared_header(spark):
     assert all(x.lang == x.lang_pred for x in language.identify(probe, model, keep=("doc_id", "lang")).collect())
 
 
+def test_letters_of_any_alphabet_and_whole_texts_count(spark):
+    """Two thousand letters in each language, which the texts share only by their order; and what tells them apart stands last."""
+    r = random.Random(15)
+    letters = [chr(0x4E00 + i) for i in range(2000)]
+    steps = {"aa": 7, "bb": 11}
+
+    def write(lang, n):
+        at = r.randrange(2000)
+        return "".join(letters[(at + k * steps[lang]) % 2000] for k in range(n))
+
+    rows = [(i, write(lang, 900), lang) for i, lang in enumerate(["aa", "bb"] * 20)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(set(model.symbol.tolist())) > 2000
+    probe = [(100 + i, "12 " * 5000 + write(lang, 300), lang) for i, lang in enumerate(["aa", "bb"] * 10)]
+    got = language.identify(spark.createDataFrame(probe, "doc_id long, text string, lang string"), model, keep=("doc_id", "lang")).collect()
+    assert all(x.lang == x.lang_pred for x in got)
+
+
+def test_scores_follow_from_phrases_and_bits(spark):
+    """The whole score by a plain reading: fold, greedy phrases over the reference, bits, shares."""
+    texts = {"aa": ["kamo teli sura nabi", "teli kamo"], "bb": ["schrund pfelk wirtz", "pfelk"]}
+    rows = [(i, t, lang) for i, (lang, t) in enumerate((x, t) for x, ts in texts.items() for t in ts)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    order = {lang: sorted((hashlib.md5(str(i).encode()).hexdigest(), t) for i, t, x in rows if x == lang) for lang in texts}
+    plain = lambda t: re.sub(r"[^a-z]+", " ", t.lower())
+    reference = {lang: "".join(plain(t) + " " for _, t in found) for lang, found in order.items()}
+
+    def cost(text, lang):
+        at = n = 0
+        while at < len(text):
+            end = at + 1
+            while end < len(text) and text[at:end] in reference[lang] and text[at:end + 1] in reference[lang]:
+                end += 1
+            at, n = end, n + 1
+        return n * math.log2(len(reference[lang]) + 1)
+
+    for probe in ("Kamo, PFELK sura!", "wirtz", "zzz", "nabi teli"):
+        costs = {lang: cost(plain(probe), lang) for lang in texts}
+        got = language.identify(spark.createDataFrame([(1, probe)], "doc_id long, text string"), model).first()
+        best = min(costs.values())
+        assert abs(got.score - 1 / sum(2 ** (best - c) for c in costs.values())) < 1e-9
+        assert costs[got.lang_pred] == best
+
+
 def test_language_held_out_accuracy(spark, folder):
     got = queries.QUERIES["op8_language"](spark, folder).join(
         spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang"), "doc_id")
@@ -296,6 +346,57 @@ def test_quality_on_odd_texts_and_one_class(spark, odd, none):
     assert quality_text.score(none, quality_text.fit(none.withColumn("label", F.lit(0)))).count() == 0
 
 
+def test_quality_scores_by_a_plain_reading(spark):
+    """Words, pairs of words and runs of bytes counted one by one; the score is the softmax of the mean of their numbers."""
+    r = np.random.default_rng(12)
+    products = r.normal(size=quality_text.BUCKETS).astype(np.float32)
+    mask = (1 << 32) - 1
+    texts = ["one two two  three", "", "a", "Ünder\tone", "x" * 40, "two two"]
+
+    def span(word, fold):
+        data = np.frombuffer(word, np.uint8)
+        return int(arrays.hash_spans(data, np.array([0]), np.array([len(data)]), fold=fold)[0])
+
+    def numbers(text):
+        words = re.findall(rb"[^\x20\x09-\x0d]+", text.encode())
+        top = 64 - quality_text.BITS
+        out = [span(w, False) >> top for w in words]
+        out += [int(arrays.mix(np.array([span(b, True) ^ span(a, True)], np.uint64))[0]) >> top for a, b in zip(words, words[1:])]
+        stream = b" " + text.encode() + b" "
+        for n in quality_text.LENGTHS:
+            for at in range(len(stream) - n + 1):
+                gram = stream[at:at + n]
+                if not any(c in b" \t\n\v\f\r" for c in gram[1:-1]):
+                    total = 0
+                    for k, c in enumerate(gram):
+                        total += (2654435761 if c in b" \t\n\v\f\r" else int(quality_text._LETTERS[c])) * int(quality_text._PLACES[k])
+                    total &= mask
+                    total ^= total >> 15
+                    total = total * ((0x85EBCA6B | 1) + 2 * n) & mask
+                    out.append(total >> (32 - quality_text.BITS))
+        return out
+
+    data, offsets = arrays.text_bytes(pa.array(texts))
+    got = quality_text.score_slice(data, offsets, products, 0.25)
+    for text, score in zip(texts, got.tolist(), strict=True):
+        found = numbers(text)
+        mean = sum(float(products[b]) for b in found) / max(1, len(found))
+        assert score == pytest.approx(1 / (1 + math.exp(-(mean + 0.25))), abs=1e-6), text
+
+
+def test_quality_learns_both_sides(spark):
+    """Held-out texts of both labels: each is predicted, and the order is far from chance."""
+    r = random.Random(16)
+    good, bad = "river stone window garden paper morning".split(), "buy click win free cash now".split()
+    write = lambda label: " ".join(r.choice((good if label else bad) + ["the", "of", "and"]) for _ in range(r.randrange(8, 40)))
+    rows = [(i, write(i % 2), i % 2) for i in range(300)]
+    train, test = (spark.createDataFrame(x, "doc_id long, text string, label int") for x in (rows[:200], rows[200:]))
+    got = quality_text.score(test, quality_text.fit(train), keep=("doc_id", "label")).collect()
+    ones, zeros = ([x.quality for x in got if x.label == label] for label in (1, 0))
+    assert sum(x >= 0.3 for x in ones) >= 0.95 * len(ones) and sum(x < 0.3 for x in zeros) >= 0.95 * len(zeros)
+    assert sum(a > b for a in ones for b in zeros) >= 0.99 * len(ones) * len(zeros)
+
+
 def test_quality_learns_and_repeats(spark):
     r = random.Random(6)
     good = [" ".join(r.choice("river stone light over under walked home".split()) for _ in range(60)) for _ in range(60)]
@@ -369,6 +470,30 @@ def test_licences_in_wrapped_texts_and_usual_headers(spark):
         "MIT", "BSD-2-Clause", "GPL-3.0-or-later", "Apache-2.0", "Apache-2.0", "MPL-2.0", "CC-BY-4.0", "MIT", "GPL-3.0-or-later", "Unlicense"]
 
 
+def test_licence_families_tags_headings_and_holders(spark):
+    grant, source, binary = full("bsd-grant"), full("bsd-source"), full("bsd-binary")
+    names = "Neither the name of {} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    probes = {
+        "BSD-3-Clause": [f"{grant}\n{source}\n{binary}\n{names.format('the University')}", f"{grant} {source} {binary} {names.format('Example Corp., Inc.')}",
+                         textwrap.fill(f"{grant} {source} {binary}") + "\n" + textwrap.fill(names.format("the Regents of the University of Somewhere"))],
+        "BSD-2-Clause": [f"{grant}\n{source}\n{binary}"], "AGPL-3.0-or-later": [full("agpl3-later") + " " + full("gpl-hope") + " " + full("agpl-see")],
+        "LGPL-2.1-or-later": [full("lgpl21-later")], "LGPL-3.0-or-later": [textwrap.fill(full("lgpl3-later"))],
+        "BSL-1.0": ["Distributed under the Boost Software License, Version 1.0.", full("boost-grant")], "Zlib": [full("zlib-warranty") + "\n" + full("zlib-grant")],
+        "MIT": ["// SPDX-License-Identifier: MIT", "Licensed under the MIT license, see LICENSE for details.", "The MIT License (MIT)", "MIT License"],
+        "GPL-2.0-or-later": ["# SPDX-License-Identifier: GPL-2.0-or-later"], "": ["We talked about the MIT license and licences at large.", "rights of way"]}
+    rows = [(text, want) for want, texts in probes.items() for text in texts]
+    got = licences.scan_licences(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.licences, r.n_unmatched) for r in got} == {i: (w, 0) for i, (_, w) in enumerate(rows)}
+    # The same in SQL, where a sentence stands in one line.
+    import duckdb
+    con = duckdb.connect()
+    plain = [(i, t) for i, (t, _) in enumerate(rows) if "\n" not in t.replace(".\n", ". ").replace(":\n", ": ") and "Inc. " not in t]
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", plain)
+    found = {x[0]: x[3] for x in con.execute(licences.oracle_sql()).fetchall()}
+    assert found == {i: rows[i][1] for i, _ in plain}
+
+
 def test_digests_are_those_of_the_tokens(spark, folder):
     path = queries.tokenizer_path()
     docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 20").select("doc_id", "text")

@@ -31,7 +31,7 @@ from tollgate.sources.artifacts import materialize
 #: Words of the lexicon: the most frequent ones, as many counts as fit. A word's bytes are at most WORD_BYTES.
 LEXICON_WORDS = 50_000
 WORD_BYTES = 48
-_SLICE, _TALLY = 3 << 20, 8 << 20
+_SLICE, _TALLY = 2 << 20, 4 << 20
 
 
 def byte_characters() -> list[str]:
@@ -323,7 +323,7 @@ def encode(docs: DataFrame, path: str, lexicon: str, text_col: str = "text", kee
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists, *more],
                                                  names=[*part.schema.names[:-1], "ids", *["decoded"] * decoded])
 
-    inner = docs.select(*[F.col(c) for c in keep], F.col(text_col).alias("__text"))
+    inner = docs.select(*[F.col(c) for c in keep], F.col(text_col).alias("\x00text"))
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema.fields[:-1])
     return inner.mapInArrow(run, f"{types}, ids array<int>" + ", decoded string" * decoded)
 

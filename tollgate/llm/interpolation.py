@@ -199,7 +199,8 @@ class Mixture:
 def learn_weights(cells: np.ndarray, number: np.ndarray, kept: int, distinct: int, rounds: int = 80) -> np.ndarray:
     """Expectation-maximisation of the three weights of each set over a histogram of deleted tokens.
 
-    A set starts from the weights of all sets together, and keeps them where it has no deleted token. No weight is zero.
+    A set starts from the weights of all sets together, and keeps them where it has no deleted token. No weight is zero, but that
+    of bigrams in the set of contexts never seen.
     """
     place, x, y = cells >> 32, (cells >> 16 & 0xFFFF) - 1, (cells & 0xFFFF) - 1
     one = np.where(y >= 0, np.exp2(y / FINE) / max(kept, 1), 0.0)
@@ -216,7 +217,10 @@ def learn_weights(cells: np.ndarray, number: np.ndarray, kept: int, distinct: in
         return weights / weights.sum(axis=1, keepdims=True)
 
     pooled = fit(np.zeros(len(cells), np.int64), np.full((1, 3), 1 / 3)) if len(cells) else np.full((1, 3), 1 / 3)
-    return fit(place, np.repeat(pooled, 64, axis=0))
+    weights = fit(place, np.repeat(pooled, 64, axis=0))
+    # After a context that was never seen no bigram has a share, so its weight goes to the other two.
+    weights[0] = [0.0, *weights[0, 1:] / weights[0, 1:].sum()]
+    return weights
 
 
 def _score(model: Mixture):
@@ -265,6 +269,8 @@ def interpolated_scores(docs: DataFrame, role: Column, id_col: str = "doc_id", t
     cells = counted.where(F.col("kind") == CELLS).select("first", "second").mapInArrow(_list_cells, "cell long, n long")
     cells = cells.groupBy("cell").agg(F.sum("n").alias("n")).orderBy("cell").collect()  # bounded by the cells there are
     weights = learn_weights(np.array([r["cell"] for r in cells], np.int64), np.array([r["n"] for r in cells], float), k, v)
+    if not n:  # nothing was learned: all tokens are unknown, and that is the one unknown token
+        weights[:] = [0.0, 0.0, 1.0]
     scored = counted.where(F.col("kind") == DOCUMENT).select("doc_id", "role", "first", "second").mapInArrow(
         _score(Mixture(n, v, weights)), "doc_id long, role int, n_tokens long, n_known long, base_score double, score double")
     return scored.withColumn("train_tokens", F.lit(n).cast("long"))

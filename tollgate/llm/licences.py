@@ -30,6 +30,8 @@ SENTENCES = {
     "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "bsd-source",
     "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "bsd-binary",
     "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-names",
+    "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed": "bsd-warranty",
+    "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software": "mit-liability",
     "you may not use this file except in compliance with the license": "apache-comply",
     "you may obtain a copy of the license at": "apache-copy",
     "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "apache-basis",
@@ -38,10 +40,31 @@ SENTENCES = {
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "gpl3-later",
     "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "gpl-hope",
     "see the gnu general public license for more details": "gpl-see",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version": "agpl3-later",
+    "see the gnu affero general public license for more details": "agpl-see",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2.1 of the license or at your option any later version": "lgpl21-later",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "lgpl3-later",
+    "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "lgpl-hope",
+    "see the gnu lesser general public license for more details": "lgpl-see",
+    "this software is provided as is without any express or implied warranty": "zlib-warranty",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "zlib-grant",
+    "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following": "boost-grant",
     "this is free and unencumbered software released into the public domain": "unlicense",
     "this source code form is subject to the terms of the mozilla public license v. 2.0": "mpl2",
     "this source code form is subject to the terms of the mozilla public license v 2.0": "mpl2",
 }
+#: Sentences with a place for a holder's name, as patterns: up to twelve words stand there.
+_HOLDER = r"[a-z0-9.]+(?: [a-z0-9.]+){0,11}"
+SLOTTED = {
+    rf"neither the names? of {_HOLDER} nor the names of (?:its|their|the|any) contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-names",
+    rf"the names? of {_HOLDER} may not be used to endorse or promote products derived from this software without specific prior written permission": "bsd-names",
+    rf"this software is provided by {_HOLDER} as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed": "bsd-warranty",
+}
+# Public short identifiers that a tag may name.
+TAGGED = ["MIT", "ISC", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "Unlicense", "Zlib", "BSL-1.0", "CC0-1.0",
+          "GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later",
+          "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "CC-BY-4.0", "CC-BY-SA-4.0"]
+TAGS = {x.lower().replace("-", " "): x for x in TAGGED}
 # How licences are named after "licensed under" and the like, normalised, and their public short identifiers.
 NAMES = {
     "apache license version 2.0": "Apache-2.0", "apache license 2.0": "Apache-2.0", "apache 2.0 license": "Apache-2.0",
@@ -50,7 +73,7 @@ NAMES = {
     "gnu general public license": "GPL", "gnu general public license version 2": "GPL-2.0", "gnu general public license version 3": "GPL-3.0",
     "gnu gpl version 2": "GPL-2.0", "gnu gpl version 3": "GPL-3.0", "gpl v2": "GPL-2.0", "gpl v3": "GPL-3.0",
     "gnu lesser general public license version 2.1": "LGPL-2.1", "gnu lesser general public license version 3": "LGPL-3.0",
-    "gnu affero general public license version 3": "AGPL-3.0", "cc0 1.0": "CC0-1.0",
+    "gnu affero general public license version 3": "AGPL-3.0", "cc0 1.0": "CC0-1.0", "boost software license version 1.0": "BSL-1.0", "zlib license": "Zlib",
 }
 #: The Creative Commons kinds, each with every version: ``cc by nc 4.0`` and ``creative commons attribution noncommercial 4.0``.
 CC_KINDS = {"by": "attribution", "by sa": "attribution sharealike", "by nd": "attribution noderivatives", "by nc": "attribution noncommercial",
@@ -65,11 +88,14 @@ for _kind, _long in CC_KINDS.items():
 
 #: Rules in order: a run of identifiers, and the licence it stands for. Whole texts come before their parts.
 RULES = [
+    (("mit-grant", "mit-notice", "mit-warranty", "mit-liability"), "MIT"),
     (("mit-grant", "mit-notice", "mit-warranty"), "MIT"),
     (("mit-grant", "mit-notice"), "MIT"),
     (("isc-grant", "isc-warranty"), "ISC"),
     (("isc-grant",), "ISC"),
+    (("bsd-grant", "bsd-source", "bsd-binary", "bsd-names", "bsd-warranty"), "BSD-3-Clause"),
     (("bsd-grant", "bsd-source", "bsd-binary", "bsd-names"), "BSD-3-Clause"),
+    (("bsd-grant", "bsd-source", "bsd-binary", "bsd-warranty"), "BSD-2-Clause"),
     (("bsd-grant", "bsd-source", "bsd-binary"), "BSD-2-Clause"),
     (("named:Apache-2.0", "apache-comply", "apache-copy", "apache-basis", "apache-see"), "Apache-2.0"),
     (("named:Apache-2.0", "apache-comply", "apache-copy"), "Apache-2.0"),
@@ -77,14 +103,23 @@ RULES = [
     (("gpl2-later",), "GPL-2.0-or-later"),
     (("gpl3-later", "gpl-hope", "gpl-see"), "GPL-3.0-or-later"),
     (("gpl3-later",), "GPL-3.0-or-later"),
+    (("agpl3-later", "gpl-hope", "agpl-see"), "AGPL-3.0-or-later"),
+    (("agpl3-later",), "AGPL-3.0-or-later"),
+    (("lgpl21-later", "lgpl-hope", "lgpl-see"), "LGPL-2.1-or-later"),
+    (("lgpl21-later",), "LGPL-2.1-or-later"),
+    (("lgpl3-later", "lgpl-hope", "lgpl-see"), "LGPL-3.0-or-later"),
+    (("lgpl3-later",), "LGPL-3.0-or-later"),
+    (("zlib-warranty", "zlib-grant"), "Zlib"),
+    (("zlib-grant",), "Zlib"),
+    (("boost-grant",), "BSL-1.0"),
     (("unlicense",), "Unlicense"),
     (("mpl2",), "MPL-2.0"),
-    *[((f"named:{x}",), x) for x in sorted(set(NAMES.values()))],
+    *[((f"named:{x}",), x) for x in sorted({*NAMES.values(), *TAGGED})],
     (("all-rights",), "All-Rights-Reserved"),
 ]
 
 #: Every known sentence and every naming sentence holds one of these.
-CUES = r"(?i)licen[cs]e|rights|warrant|permission|redistribut|public domain|cc0|cc by|creative commons|under|unencumbered"
+CUES = r"(?i)licen[cs]e|rights|warrant|permission|redistribut|public domain|cc0|cc by|creative commons|under|unencumbered|liable|spdx"
 NAMING = r"^(?:(?:this|the) [a-z]+ (?:is|are) )?(?:licensed|released|distributed|published|available|provided) under (?:the )?(?:terms of )?(?:the )?(.+)$"
 
 
@@ -106,16 +141,31 @@ def _any(of: Iterable[str]) -> str:
 _NAMED = (r"(?:(?:this|the) [a-z]+ (?:is|are) )?(?:licensed|released|distributed|published|available|provided) under "
           r"(?:the )?(?:terms of )?(?:the |an? )?").replace(" ", r"[ \n]")
 _NAME = rf"(?:{_any(NAMES)})"
-#: A known or naming sentence: a run of whole pieces, so a sentence may be wrapped anywhere.
-KNOWN = rf"(?m)^(?:{_any(SENTENCES)}|{_NAMED}{_NAME}(?:[ \n]the[ \n]license)?)$"
+#: What may follow the name: the words 'the "License"', and where to look for it.
+_TAIL = r"(?: the license)?(?: see (?:the )?(?:license|copying|[a-z0-9. ]{1,60} for (?:details|more information))[a-z0-9. ]{0,80})?"
+_TAG = r"spdx license identifier "
+
+
+def _spaced(pattern: str) -> str:
+    """The pattern with a line end for any of its spaces."""
+    return re.sub(r"(?<!\[)(?<!\. ) (?!\]|\{)", r"[ \\n]", pattern)
+
+
+#: A known or naming sentence, a tag, or a heading that is a licence's name: a run of whole pieces, so a sentence may be wrapped anywhere.
+KNOWN = (rf"(?m)^(?:{_any(SENTENCES)}|{'|'.join(_spaced(x) for x in SLOTTED)}|{_NAMED}{_NAME}{_spaced(_TAIL)}|{_spaced(_TAG)}(?:{_any(TAGS)})"
+         rf"|(?:the[ \n])?{_NAME}(?:[ \n]mit)?)$")
 
 
 def identify(sentence: Column) -> Column:
     """The identifier of a sentence that ``KNOWN`` found, its line ends made spaces."""
     known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
     named = F.create_map(*[F.lit(x) for pair in NAMES.items() for x in pair])
-    name = F.try_element_at(named, F.regexp_extract(sentence, rf"^{_NAMED}({_NAME})(?: the license)?$", 1))
-    return F.coalesce(F.try_element_at(known, sentence), F.concat(F.lit("named:"), name))
+    tags = F.create_map(*[F.lit(x) for pair in TAGS.items() for x in pair])
+    name = F.coalesce(F.try_element_at(named, F.regexp_extract(sentence, rf"^{_NAMED}({_NAME}){_TAIL}$", 1)),
+                      F.try_element_at(tags, F.regexp_extract(sentence, f"^{_TAG}(.+)$", 1)),
+                      F.try_element_at(named, F.regexp_extract(sentence, rf"^(?:the )?({_NAME})(?: mit)?$", 1)))
+    slots = [F.when(sentence.rlike(f"^{pattern}$"), x) for pattern, x in SLOTTED.items()]
+    return F.coalesce(F.try_element_at(known, sentence), *slots, F.concat(F.lit("named:"), name))
 
 
 def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -154,14 +204,17 @@ def oracle_sql() -> str:
         mark = quote("".join(f"<{x}>" for x in run))
         steps.append(f"r{n + 1} AS (SELECT doc_id, replace(marks, {mark}, '|') AS marks, CASE WHEN contains(marks, {mark}) "
                      f"THEN list_append(got, {quote(licence)}) ELSE got END AS got FROM r{n})")
+    slots = " ".join(f"WHEN regexp_full_match(norm.s, {quote(pattern)}) THEN {quote(x)}" for pattern, x in SLOTTED.items())
     return rf"""
-WITH known(s, id) AS (VALUES {pairs(SENTENCES)}), named(s, id) AS (VALUES {pairs(NAMES)}),
+WITH known(s, id) AS (VALUES {pairs(SENTENCES)}), named(s, id) AS (VALUES {pairs(NAMES)}), tagged(s, id) AS (VALUES {pairs(TAGS)}),
 cut AS (SELECT doc_id, unnest(string_split_regex(regexp_replace(coalesce(text, ''), '([.!?])[ \t]+', E'\\1\n', 'g'), '[\r\n]+')) AS s,
                generate_subscripts(string_split_regex(regexp_replace(coalesce(text, ''), '([.!?])[ \t]+', E'\\1\n', 'g'), '[\r\n]+'), 1) AS i FROM documents),
 low AS (SELECT doc_id, i, regexp_replace(translate(s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9.]+', ' ', 'g') AS s FROM cut),
 norm AS (SELECT doc_id, i, trim(replace(regexp_replace(regexp_replace(s, '\.([^0-9]|$)', '\1', 'g'), '(^|[^0-9])\.', '\1', 'g'), 'licence', 'license')) AS s FROM low),
-ids AS (SELECT doc_id, i, coalesce(k.id, 'named:' || n.id) AS id FROM norm LEFT JOIN known k ON k.s = norm.s
-        LEFT JOIN named n ON n.s = regexp_extract(norm.s, '{NAMING}', 1) WHERE k.id IS NOT NULL OR n.id IS NOT NULL),
+ids AS (SELECT * FROM (SELECT doc_id, i, coalesce(k.id, CASE {slots} END, 'named:' || coalesce(n.id, t.id, g.id)) AS id FROM norm LEFT JOIN known k ON k.s = norm.s
+        LEFT JOIN named n ON n.s = regexp_replace(regexp_extract(norm.s, '{NAMING}', 1), '{_TAIL}$', '')
+        LEFT JOIN tagged t ON t.s = regexp_extract(norm.s, '^{_TAG}(.+)$', 1)
+        LEFT JOIN named g ON g.s = regexp_extract(norm.s, '^(?:the )?(.+?)(?: mit)?$', 1)) WHERE id IS NOT NULL),
 seq AS (SELECT doc_id, count(*) AS n, string_agg(id, ' ' ORDER BY i) AS sentences, string_agg('<' || id || '>', '' ORDER BY i) AS marks FROM ids GROUP BY doc_id),
 r0 AS (SELECT doc_id, marks, []::VARCHAR[] AS got FROM seq), {", ".join(steps)}
 SELECT d.doc_id, coalesce(q.n, 0)::BIGINT AS n_sentences, coalesce(q.sentences, '') AS sentences,

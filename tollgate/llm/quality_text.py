@@ -172,18 +172,20 @@ def score_slice(data: np.ndarray, offsets: np.ndarray, products: np.ndarray, bia
 
 
 def score(docs: DataFrame, model: QualityModel, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The ``keep`` columns, ``quality`` (0 to 1, higher: label 1 likelier). Null and empty texts get the bias alone."""
+    """The ``keep`` columns, ``quality`` (0 to 1, higher: label 1 likelier). Null and empty texts get the bias alone.
+    Repeated ids and texts are rows like any other, equal texts score alike, and an empty table stays empty."""
     products, bias = model.products.astype(np.float32), float(model.bias[1] - model.bias[0])
     shared = docs.sparkSession.sparkContext.broadcast(products)  # BUCKETS numbers, whatever the data
+    kept = text_col in keep  # a text that is kept is not sent twice
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_bytes(batch.column(batch.num_columns - 1))
+            data, offsets = text_bytes(batch.column(keep.index(text_col) if kept else len(keep)))
             for i, j in slices(offsets):
                 got = score_slice(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i], shared.value, bias)
                 part = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(got)], names=[*part.schema.names[:-1], "quality"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:len(keep)], pa.array(got)], names=[*keep, "quality"])
 
-    inner = docs.select(*[F.col(c) for c in keep], F.col(text_col).alias("__text"))
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema.fields[:-1])
+    inner = docs.select(*[F.col(c) for c in keep], *[] if kept else [F.col(text_col).alias("\x00text")])
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema.fields[:len(keep)])
     return inner.mapInArrow(run, f"{types}, quality double")

@@ -107,8 +107,8 @@ def train_register_score(spark, folder):
         KEY, F.lit(step).alias("step"), "model_stage", "model_version", F.col("probability").between(0, 1).alias("scored"))
     parts = [store.materialize(served("first"), "served")]
 
-    params = replace(P.ENVIRONMENTS["staging"], enable_pca=True, max_features_for_pca=len(FEATURES) - 1, n_estimators=20, min_recall=0.6,
-                     enable_resampling=False)
+    params = replace(P.ENVIRONMENTS["staging"], enable_pca=True, max_features_for_pca=len(FEATURES) - 1, n_estimators=5,
+                     enable_resampling=False, enable_governance=False)
     run = training.training_flow(table, KEY, FEATURES, params)
     state, second = release.register_run(state, name, run, FEATURES, at("03"), "run-2")
     decisions += [promote(second, "04", skip_validation=True), promote(second, "05", skip_validation=True, force=True)]

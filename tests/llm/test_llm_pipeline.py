@@ -57,15 +57,21 @@ def families(n, size, seed=3):
     return rows
 
 
-def test_compared_pairs_grow_with_the_table(spark, monkeypatch):
-    """Families of documents that are like, but no copies: what is confirmed on texts is in proportion to the documents."""
-    seen = {}
-    real = near_text.confirm
+def test_compared_texts_grow_with_the_table(spark, monkeypatch):
+    """Families of documents that are like, but no copies: texts that are sent to be compared are in proportion to the documents."""
+    seen, sent = {}, []
+    real = near_text._mixed
+
+    def spy(placed):
+        out = real(placed)
+        if "text" in placed.columns:
+            sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_text, "_mixed", spy)
     for n in (1_000, 10_000):
-        counts = []
-        monkeypatch.setattr(near_text, "confirm", lambda pairs, *a, **b: (counts.append(pairs.count()), real(pairs, *a, **b))[1])
         found = near_text.near_duplicates(spark.createDataFrame(families(n, 5), "doc_id long, text string"))
         assert found.where("not kept").count() == 0
-        seen[n] = sum(counts)
+        seen[n] = sent.pop()
     assert seen[1_000] < 2_000
     assert seen[10_000] <= 13 * max(seen[1_000], 10)

@@ -29,6 +29,8 @@ VALUES, CHUNKS, WIDTH = 64, 16, 4
 DISTANCE = 2 * CHUNKS - 1
 #: Rows compared at once; a larger group is dealt over tiles of this size, or over all pairs of them.
 TILE = 512
+#: Bytes of text on each side of a tile; a longer text is alone.
+TILE_BYTES = 2 << 20
 #: Ids that are sent to all tasks at most, to pick out their texts: some 40 MB.
 IDS_SENT = 1_000_000
 
@@ -122,28 +124,68 @@ def first_shared(one: np.ndarray, others: np.ndarray) -> np.ndarray:
     return np.where(wrong <= 1, slot, VALUES).min(axis=1)
 
 
+class _Groups:
+    """Which rows hang together so far: a label for each."""
+
+    def __init__(self, labels: np.ndarray):
+        self.labels = np.unique(labels, return_inverse=True)[1]
+
+    def join(self, i: int, k: int) -> bool:
+        """Put two rows' groups together; false if they are."""
+        one, two = self.labels[i], self.labels[k]
+        if one == two:
+            return False
+        self.labels[self.labels == two] = one
+        return True
+
+
+def _near(table: pa.Table, percent: int, slot: int | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """For each asking row the other rows in different parts that lie within the signature distance and are near enough in
+    size, the closest first; with ``slot`` only those with which it shares no earlier key."""
+    asks = table.column("asks").to_numpy(zero_copy_only=False)
+    parts, size, values = table.column("part").to_numpy(), table.column("n_shingles").to_numpy(), _signatures(table)
+    other = np.flatnonzero(~asks)
+    for i in np.flatnonzero(asks).tolist():
+        near = other[(parts[other] != parts[i]) & (100 * np.minimum(size[i], size[other]) >= percent * np.maximum(size[i], size[other]))]
+        away = (values[near] != values[i]).sum(axis=1)
+        near = near[away <= DISTANCE][np.argsort(away[away <= DISTANCE], kind="stable")]
+        if slot is not None and len(near):
+            near = near[first_shared(values[i], values[near]) == slot]
+        if len(near):
+            yield i, near
+
+
 def _across(percent: int):
-    """Pairs in each group whose ends lie in different parts, within the signature distance and near enough in size.
+    """What hangs together across the parts of each group by signatures: fewer pairs than rows.
 
-    A pair that meets under several keys is given under the first of them only. Of groups with the same members the one under the first
+    A pair that meets under several keys counts under the first of them only. Of groups with the same members the one under the first
     key is kept (see ``candidates``), so that one is always there.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs_of(batches, ["key", "low", "high"]):
-            slot = table.column("key")[0].as_py() & (VALUES - 1)
-            asks = table.column("asks").to_numpy(zero_copy_only=False)
-            ids, parts, size = (table.column(c).to_numpy() for c in ("rep", "part", "n_shingles"))
-            values = _signatures(table)
-            other = np.flatnonzero(~asks)
-            found = []
-            for i in np.flatnonzero(asks).tolist():
-                near = other[(parts[other] != parts[i]) & (100 * np.minimum(size[i], size[other]) >= percent * np.maximum(size[i], size[other]))]
-                near = near[(values[near] != values[i]).sum(axis=1) <= DISTANCE]
-                near = near[first_shared(values[i], values[near]) == slot] if len(near) else near
-                found += [(int(ids[i]), int(ids[k])) for k in near.tolist()]
-                if len(found) >= 10_000:
-                    yield _pairs(found)
-                    found = []
+            ids = table.column("rep").to_numpy()
+            groups, found = _Groups(ids), []
+            for i, near in _near(table, percent, table.column("key")[0].as_py() & (VALUES - 1)):
+                for label in np.unique(groups.labels[near]).tolist():
+                    k = int(near[np.argmax(groups.labels[near] == label)]) if (groups.labels[near] == label).any() else i
+                    if groups.join(i, k):
+                        found.append((int(ids[i]), int(ids[k])))
+            yield _pairs(found)
+    return run
+
+
+def _verify(length: int, percent: int):
+    """Links across the parts of each family, confirmed on full sets, as far as they join what is still apart."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in runs_of(batches, ["key", "low", "high"]):
+            ids, groups, found = table.column("rep").to_numpy(), _Groups(table.column("part").to_numpy()), []
+            data, offsets = text_bytes(table.column("text"))
+            sets = [s for i, j in slices(offsets) for s in shingle_sets(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i], length)]
+            for i, near in _near(table, percent):
+                for k in near.tolist():
+                    if groups.labels[i] != groups.labels[k] and _linked(sets[i], sets[k], percent):
+                        groups.join(i, k)
+                        found.append((int(ids[i]), int(ids[k])))
             yield _pairs(found)
     return run
 
@@ -201,18 +243,22 @@ def _once(members: DataFrame) -> DataFrame:
 
 def _mixed(placed: DataFrame) -> DataFrame:
     """The members of groups in several parts, dealt so that each member outside its group's largest part meets all others:
-    a group in one task, or for a large one every tile of the former with every tile of all."""
-    counts = placed.groupBy("key", "part").agg(F.count("*").alias("n"))
-    groups = counts.groupBy("key").agg(F.sum("n").alias("all"), F.max("n").alias("most"), F.max_by("part", F.struct("n", "part")).alias("largest"))
+    a group in one task, or for a large one every tile of the former with every tile of all. Tiles are bounded in rows and in bytes of text."""
+    size = F.octet_length("text") if "text" in placed.columns else F.lit(0)
+    counts = placed.groupBy("key", "part").agg(F.count("*").alias("n"), F.sum(size).alias("size"))
+    groups = counts.groupBy("key").agg(
+        F.sum("n").alias("all"), F.max("n").alias("most"), F.max_by("part", F.struct("n", "part")).alias("largest"),
+        F.sum("size").alias("bytes"), F.max_by("size", F.struct("n", "part")).alias("of_largest"))
     groups = materialize(groups.where("all > most"), "mixed")
     rows = placed.join(groups, "key")
-    mine, every = _tiles(F.col("all") - F.col("most")), _tiles(F.col("all"))
+    tiles = lambda n, size: F.greatest(_tiles(n), F.ceil(size / F.lit(TILE_BYTES)).cast("int"))
+    mine, every = tiles(F.col("all") - F.col("most"), F.col("bytes") - F.col("of_largest")), tiles(F.col("all"), F.col("bytes"))
     tile = F.xxhash64("rep")
     asks = rows.where("part != largest").withColumns({
         "asks": F.lit(True), "low": F.pmod(tile, mine).cast("int"), "high": F.explode(F.sequence(F.lit(0), every - 1))})
     others = rows.withColumns({
         "asks": F.lit(False), "low": F.explode(F.sequence(F.lit(0), mine - 1)), "high": F.pmod(tile, every).cast("int")})
-    return _sorted(asks.unionByName(others).drop("all", "most", "largest"))
+    return _sorted(asks.unionByName(others).drop("all", "most", "largest", "bytes", "of_largest"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 5,
@@ -221,8 +267,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Documents with equal sets are one class from the start. Under each key the classes of a group are joined by a
     smallest spanning tree, its edges are confirmed on full sets and united. Where a group is then still in several parts,
-    every pair of its classes within the signature distance and in different parts is confirmed too, so a pair
-    is skipped only if its ends are already in one component, and the components are those of all links. Groups under different keys with the same
+    its classes within the signature distance and in different parts hang together as families, and every such pair of a family
+    is compared on full sets, so a pair is skipped only if its ends are already in one component, and the components are those of all links. Groups under different keys with the same
     members are compared once, and large groups over many tasks. A key is one of 64 that each class has, so a group that holds
     a third of all classes is less than a hundredth of the rows that are dealt by key.
 
@@ -266,9 +312,14 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, length: int, p
 
     placed = members.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select(
         "key", "rep", "n_shingles", "signature", F.coalesce("component", "rep").alias("part"))
-    across = _mixed(placed).mapInArrow(_across(percent), "a long, b long").distinct()
-    across = materialize(across.join(tree, ["a", "b"], "left_anti"), "across")
-    more = materialize(confirm(across, docs, id_col, text_col, length, percent), "confirmed")
+    across = materialize(_mixed(placed).mapInArrow(_across(percent), "a long, b long").distinct(), "across")
+    # What hangs together by signatures is a family; its texts are sent to its tiles and compared there.
+    family = components(across).select(F.col("node").alias("rep"), F.col("component").alias("key"))
+    family = materialize(family.join(placed.select("rep", "part").distinct(), "rep"), "family")
+    texts = _texts(docs, family.select(F.col("rep").alias("id")).distinct(), id_col, text_col).withColumnRenamed("id", "rep")
+    whole = family.join(classes.select("rep", "n_shingles", "signature"), "rep").join(texts, "rep")
+    whole = materialize(whole.select("key", "rep", "n_shingles", "signature", "part", "text"), "whole")
+    more = materialize(_mixed(whole).mapInArrow(_verify(length, percent), "a long, b long").distinct(), "confirmed")
     if not more.isEmpty():
         parts = components(links.unionByName(same).unionByName(more))
 

@@ -81,3 +81,34 @@ def test_monitor_drops_late_rows_and_resumes(spark, tmp_path):
     add([400])
     rows = {r.window_start.hour: (r.n, round(r.positive_rate, 6), round(r.mean_probability, 6)) for r in spark.read.parquet(output).collect()}
     assert rows == {0: (3, round(2 / 3, 6), 0.6), 1: (1, 1.0, 0.8), 3: (2, 0.5, 0.5), 5: (1, 0.0, 0.2)}
+
+
+def test_bodies_of_one_row_group_are_made_by_many_tasks(spark, folder):
+    bodies = req.request_bodies(req.read_events(spark, folder))
+    assert bodies.rdd.getNumPartitions() == req.PARTS_PER_CORE * spark.sparkContext.defaultParallelism
+    rows = req.request_bodies(spark.createDataFrame([(None, None), (7, None), (7, None)], "event_id long, ts timestamp_ntz")).collect()
+    assert sorted(r.event_id is None for r in rows) == [False, False, True]
+    assert {r.body for r in rows if r.event_id is None} == {"{}"} and len({r.body for r in rows}) == 2
+
+
+def test_odd_bodies(spark):
+    bodies = ['{"mean_radius": 1.25, "mean_area": 3}', '{"mean_radius": "1.25"}', '{"mean_radius": 1, "mean_radius": 2}', '{"mean_radius": 1, "age": 3}',
+              '{"mean_radius": true}', '{"mean_radius": "NaN"}', "{}", "", None, '{"mean_area": 12345678901234567890}']
+    df = spark.createDataFrame(list(enumerate(bodies)), "event_id long, body string")
+    found = [(r.mean_radius, r.mean_area, r.unknown_fields, r.problem) for r in req.parse_requests(df).orderBy("event_id").collect()]
+    radius, area = P.REQUEST_DEFAULTS["mean_radius"], P.REQUEST_DEFAULTS["mean_area"]
+    assert found[:5] == [(1.25, 3.0, [], None), (1.25, area, [], None), (None, None, [], "a name is given twice"), (1.0, area, ["age"], None),
+                         (None, None, [], "not a number: mean_radius")]
+    assert found[5][0] != found[5][0] and found[5][3] is None
+    assert found[6] == (radius, area, [], None)
+    assert [f[3] for f in found[7:9]] == ["body is not a JSON object"] * 2
+    assert found[9] == (radius, 12345678901234567890.0, [], None)
+
+
+def test_a_wide_score_is_the_same_number_outside_fused_code(spark, folder, model, monkeypatch):
+    parsed = req.valid_requests(req.parse_requests(req.request_bodies(req.read_events(spark, folder))))
+    z = lambda: {r.event_id: r.z for r in parsed.select("event_id", model.log_odds().alias("z")).collect()}
+    wide = z()
+    assert "aggregate(" in parsed.select(model.log_odds().alias("z"))._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(models, "WIDE", 10 ** 6)
+    assert wide == z()

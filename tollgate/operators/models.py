@@ -22,6 +22,9 @@ from tollgate.functions.scalars import key_hash
 from tollgate.operators.features import Scaler
 
 SMALLEST_VARIANCE = 1e-9
+#: With more features a score is kept out of Spark's fused code, where it makes a method too long for the JVM to compile: it
+#: starts from a sum over an array, which is not fused. The value is the same.
+WIDE = 16
 
 
 @dataclass(frozen=True)
@@ -36,6 +39,8 @@ class GaussianModel:
 
     def log_odds(self) -> Column:
         z = F.lit(log(self.prior[1] / self.prior[0]))
+        if len(self.features) > WIDE:
+            z = F.reduce(F.array(z), F.lit(0.0), lambda a, x: a + x)
         for i, name in enumerate(self.features):
             x = self.scaler.expression(name) if self.scaler else F.col(name)
             (m0, m1), (v0, v1) = self.mean[i], self.variance[i]

@@ -21,6 +21,8 @@ EVENTS = T.StructType([
 #: Read as text: numbers and numeric text look alike, and what is not a number can be told from what is missing.
 REQUEST = T.StructType([T.StructField(name, T.StringType()) for name in P.REQUEST_DEFAULTS])
 FIELDS = tuple(P.REQUEST_DEFAULTS)
+#: Parts that made bodies are dealt into, for each core of the session.
+PARTS_PER_CORE = 4
 
 
 def read_events(spark: SparkSession, folder: str) -> DataFrame:
@@ -41,7 +43,9 @@ def request_bodies(events: DataFrame) -> DataFrame:
     # Two hashes give a byte for each of the 30 fields, and one more. Each step is a projection of its own: a hash or
     # byte that is used more than once is then computed once.
     digits = F.concat(key_hash("event_id", "a"), key_hash("event_id", "b"))
-    hashed = events.select("event_id", "ts", digits.alias("__digits"))
+    # A file of few row groups would leave all this, and the parsing, to a few tasks, so the rows are dealt out first.
+    spread = events.select("event_id", "ts").repartition(PARTS_PER_CORE * events.sparkSession.sparkContext.defaultParallelism)
+    hashed = spread.select("event_id", "ts", digits.alias("__digits"))
     level = lambda i: F.conv(F.substring("__digits", 2 * i + 1, 2), 16, 10).cast("int").alias(f"__{i}")
     levels = hashed.select("event_id", "ts", *[level(i) for i in range(len(FIELDS) + 1)])
     known = [
@@ -82,8 +86,9 @@ def parse_requests(requests: DataFrame, body: str = "body") -> DataFrame:
 
 def _rows_where(parsed: DataFrame, condition: Column, columns: list[str]) -> DataFrame:
     """The rows for which a computed condition holds. A plain filter would be pushed below the parsing and repeat all of it;
-    a generator that makes one row or none stays where it is."""
-    return parsed.select(F.inline(F.when(condition, F.array(F.struct(*columns)))))
+    a generator that makes one row or none stays where it is. It is a filter of an array, which Spark does not fuse with the projections
+    around it: all in one are a method too long for the JVM to compile."""
+    return parsed.select(F.inline(F.filter(F.array(F.struct(*columns)), lambda _: condition)))
 
 
 def valid_requests(parsed: DataFrame) -> DataFrame:

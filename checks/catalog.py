@@ -545,12 +545,17 @@ def coefficient_round_trip(spark, folder):
     return tidy(scoring.score(models.GaussianModel.from_table(stored, FEATURES), table.where("split = 'test'"), [KEY]))
 
 
-def _request_model(spark, folder):
-    """A model for requests, fitted on all of them with a rule for the harmless class."""
-    parsed = req.parse_requests(_requests(spark, folder))
+def _labelled_requests(requests):
+    """All requests, parsed and stored, with a rule for the harmless class."""
+    parsed = req.parse_requests(requests)
     labelled = parsed.withColumn("label", (F.col("mean_radius") + F.col("worst_radius") + F.col("worst_texture")
                                            < 14.0 + 16.0 + 25.0).cast("int"))
-    return models.fit_gaussian(store.materialize(labelled, "requests"), list(P.REQUEST_DEFAULTS))
+    return store.materialize(labelled, "requests")
+
+
+def _request_model(spark, folder):
+    """A model for requests, fitted on all of them."""
+    return models.fit_gaussian(_labelled_requests(_requests(spark, folder)), list(P.REQUEST_DEFAULTS))
 
 
 def _flat_answers(answers: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from checks.catalog import (
-    FEATURES, KEY, _audit_log, _closed_form, _drift_pair, _request_model, _requests, _split_table, _versions, query, tidy)
+    FEATURES, KEY, _audit_log, _closed_form, _drift_pair, _labelled_requests, _requests, _split_table, _versions, query, tidy)
 from tollgate import params as P
 from tollgate.functions.scalars import key_hash
 from tollgate.operators import as_of, audit, balance, drift, evaluate, forest, lineage, models, quality, registry
@@ -125,10 +125,10 @@ def stream_score_stage(spark, folder):
     """Even events arrive, the other version is promoted, odd events arrive; the body of every third is broken. Answers and
     rejects, each written by the batch that read them."""
     fields = list(P.REQUEST_DEFAULTS)
-    first = _request_model(spark, folder)
-    parsed = stream_scoring.valid_requests(stream_scoring.parse_requests(_requests(spark, folder).where("event_id % 2 = 1")))
-    labelled = parsed.withColumn("label", (F.col("mean_radius") + F.col("worst_radius") + F.col("worst_texture") < 55.0).cast("int"))
-    second = models.fit_gaussian(store.materialize(labelled, "requests"), fields)
+    requests = store.materialize(_requests(spark, folder), "made")
+    labelled = _labelled_requests(requests)
+    first = models.fit_gaussian(labelled, fields)
+    second = models.fit_gaussian(stream_scoring.valid_requests(labelled.where("event_id % 2 = 1")), fields)
     paths = [bundles.save_bundle(bundles.Bundle(tuple(fields), m), spark, work_folder(spark, "bundle")) for m in (first, second)]
     versions = spark.createDataFrame(
         [("requests", 1, "staging", paths[0]), ("requests", 2, None, paths[1])], "model string, number int, stage string, bundle string")
@@ -140,8 +140,7 @@ def stream_score_stage(spark, folder):
                         .alias("m")).select("model", "number", "m.metric", "m.value"), log)
 
     broken = F.element_at(F.array(F.lit("not json"), F.lit('{"mean_radius": null}'), F.lit(None).cast("string")), (F.col("event_id") % 9 / 3 + 1).cast("int"))
-    bodies = store.materialize(_requests(spark, folder).withColumn(
-        "body", F.when(F.col("event_id") % 3 == 0, broken).otherwise(F.col("body"))), "bodies")
+    bodies = requests.withColumn("body", F.when(F.col("event_id") % 3 == 0, broken).otherwise(F.col("body")))
     source, output, rejects, checkpoint = (work_folder(spark, n) for n in ("arrived", "answers", "rejects", "state"))
     for number in (1, 2):
         release.promote_version(state, "requests", number, "production", at(f"0{number + 1}"), force=True)

@@ -55,6 +55,24 @@ def test_null_features_go_right_and_no_forest_scores_null(spark):
     assert {r["probability"] for r in forest.score_nodes(rows, nodes.limit(0), ["id"]).collect()} == {None}
 
 
+def test_rows_walk_no_further_than_the_deepest_leaf(spark):
+    """A chain of three cuts, a stump and a tree that is one leaf."""
+    leaf = (None, None, None, None, 1)
+    rows = [(0, 0, "a", 1.0, 1, 2, 9, 0.5), (0, 1, *leaf, 0.1), (0, 2, "b", 2.0, 3, 4, 8, 0.5), (0, 3, *leaf, 0.2), (0, 4, "a", 3.0, 5, 6, 7, 0.5),
+            (0, 5, *leaf, 0.3), (0, 6, *leaf, 0.4), (1, 0, "b", 5.0, 1, 2, 9, 0.5), (1, 1, *leaf, 0.6), (1, 2, *leaf, 0.8), (2, 0, *leaf, 1.0)]
+    nodes = spark.createDataFrame(rows, "tree int, node int, feature string, cut double, left int, right int, rows long, share double")
+    inner = nodes.where("left is not null").collect()
+    assert [forest._levels(inner, most) for most in (30, 3, 2)] == [3, 3, 2]
+    assert forest._levels([r for r in inner if r["tree"] == 1], 30) == 1 and forest._levels([], 30) == 0
+    table = spark.createDataFrame([(1, 0.0, 9.0), (2, 2.0, 1.0), (3, 2.0, 9.0), (4, 9.0, 9.0), (5, None, None)], "id long, a double, b double")
+    scored = forest.score_nodes(table, nodes, ["id"])
+    got = {r["id"]: r["probability"] for r in scored.collect()}
+    want = {1: 0.1 + 0.8, 2: 0.2 + 0.6, 3: 0.3 + 0.8, 4: 0.4 + 0.8, 5: 0.4 + 0.8}
+    assert got == pytest.approx({k: (v + 1.0) / 3 for k, v in want.items()}, abs=1e-15)
+    leaves = nodes.where("node = 0 and tree = 2")
+    assert {r["probability"] for r in forest.score_nodes(table, leaves, ["id"]).collect()} == {1.0}
+
+
 ENTRY = "model string, number int, seq int, to_stage string"
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from tollgate.session import work_folder
@@ -42,10 +42,12 @@ def forest_nodes(model: PipelineModel, df: DataFrame, features: Sequence[str]) -
 def score_nodes(df: DataFrame, nodes: DataFrame, keep: Sequence[str], deepest: int = DEEPEST) -> DataFrame:
     """Kept columns, prediction and probability of class 1: the mean share of the leaves that a row reaches.
 
-    Every row walks down all trees in one projection. The nodes travel as one row, whose size is that of the forest and
-    not of the data; rows are not shuffled. A feature that is null goes right, as nothing says it lies below the cut; an empty forest scores null.
+    Every row walks down all trees in one projection, as many steps as the forest has levels. The nodes travel as one row, whose
+    size is that of the forest and not of the data; rows are not shuffled. A feature that is null goes right, as nothing says it
+    lies below the cut; an empty forest scores null.
     """
-    features = sorted(r["feature"] for r in nodes.where("feature IS NOT NULL").select("feature").distinct().collect())
+    inner = nodes.where("left IS NOT NULL OR feature IS NOT NULL").select("tree", "node", "feature", "left", "right").collect()
+    features = sorted({r["feature"] for r in inner if r["feature"] is not None})
     place = F.array_position(F.array(*[F.lit(f) for f in features]), F.col("feature")).cast("int") - 1 if features else F.lit(None).cast("int")
     fields = F.struct("node", place.alias("feature"), "cut", "left", "right", "share")
     trees = nodes.groupBy("tree").agg(F.sort_array(F.collect_list(fields)).alias("nodes"))
@@ -54,13 +56,21 @@ def score_nodes(df: DataFrame, nodes: DataFrame, keep: Sequence[str], deepest: i
     rows = df.withColumn("__values", values).crossJoin(F.broadcast(forest))  # one row
 
     def leaf(tree):
-        def step(at, _):
-            node = tree["nodes"][at]
+        def step(node, _):
             down = F.when(F.get(F.col("__values"), node["feature"]) <= node["cut"], node["left"]).otherwise(node["right"])
-            return F.when(node["left"].isNull(), at).otherwise(down)
+            return F.when(node["left"].isNull(), node).otherwise(tree["nodes"][down])
 
-        return tree["nodes"][F.reduce(F.sequence(F.lit(1), F.lit(deepest)), F.lit(0), step)]["share"]
+        return F.reduce(F.array_repeat(F.lit(0), _levels(inner, deepest)), tree["nodes"][0], step)["share"]
 
     shares = F.transform("__trees", leaf)
     scored = rows.withColumn("__p", F.reduce(shares, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size("__trees"), F.lit(0)))
     return scored.select(*keep, (F.col("__p") > 0.5).cast("int").alias("prediction"), F.col("__p").alias("probability"))
+
+
+def _levels(inner: Sequence[Row], deepest: int) -> int:
+    """Steps from the root to the deepest leaf of any tree, at most ``deepest``."""
+    below = {(r["tree"], r["node"]): [(r["tree"], r["left"]), (r["tree"], r["right"])] for r in inner if r["left"] is not None}
+    at, levels = {(tree, 0) for tree, _ in below}, 0
+    while levels < deepest and (at := {n for node in at for n in below.get(node, ())}):
+        levels += 1
+    return levels

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tollgate.llm import bpe, language, mixing, near_text, quality_text
 from tollgate.llm.queries import id_fold, labelled_docs, table, tokenizer_path
-from tollgate.sources.artifacts import settle
+from tollgate.sources.artifacts import materialize, settle  # noqa: F401 (a stage by itself is written with materialize)
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document stays if its quality score reaches this.

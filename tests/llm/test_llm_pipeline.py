@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from tollgate.llm import near_text
+from tollgate.llm import components, near_text
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -75,3 +75,29 @@ def test_compared_texts_grow_with_the_table(spark, monkeypatch):
         seen[n] = sent.pop()
     assert seen[1_000] < 2_000
     assert seen[10_000] <= 13 * max(seen[1_000], 10)
+
+
+def test_few_links_take_few_tasks(spark, monkeypatch):
+    """Whatever the number of shuffle partitions, a round on few pairs leaves them in few files; more pairs give the same components."""
+    written, real = [], components.materialize
+
+    def spy(df, name):
+        out = real(df, name)
+        written.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(components, "materialize", spy)
+    links = [(i, i + 1) for i in range(200)] + [(500 + 7 * i % 100, 500 + 31 * i % 100) for i in range(60)] + [(3, 2), (9, 9), (None, 1)]
+    conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        few = sorted(components.components(spark.createDataFrame(links, "a long, b long")).collect())
+        assert len(written) > 2 and max(written[1:]) <= components.FEW
+        monkeypatch.setattr(components, "SENT", 0)
+        assert sorted(components.components(spark.createDataFrame(links, "a long, b long")).collect()) == few
+        assert all(r["component"] == 0 for r in few if r["node"] <= 200)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

@@ -308,7 +308,7 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, length: int, p
     rows = known.join(classes.select(*sets, "rep"), sets).select("id", "rep")
     several = rows.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a != z").select("id", "a")
     same = rows.join(several, "id").select("a", F.col("rep").alias("b"))
-    parts = components(links.unionByName(same))
+    parts = materialize(components(links.unionByName(same)), "parts")
 
     placed = members.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select(
         "key", "rep", "n_shingles", "signature", F.coalesce("component", "rep").alias("part"))
@@ -321,7 +321,7 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, length: int, p
     whole = materialize(whole.select("key", "rep", "n_shingles", "signature", "part", "text"), "whole")
     more = materialize(_mixed(whole).mapInArrow(_verify(length, percent), "a long, b long").distinct(), "confirmed")
     if not more.isEmpty():
-        parts = components(links.unionByName(same).unionByName(more))
+        parts = components(parts.toDF("a", "b").unionByName(more))
 
     labels = parts.withColumnRenamed("node", "rep")
     of_set = classes.join(labels, "rep", "left").select(*sets, F.coalesce("component", "rep").alias("component_id"))
